@@ -16,6 +16,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_classifier import QualityClassifier
 
@@ -23,8 +29,16 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QualityClassifier.fit(docs, table(spark, sf_dir, "labels")).score_documents(docs)
 
 
+def op7_direct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .direct_codes import write_and_read
+
+    return write_and_read(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_direct_codes": op7_direct_codes,
 }
 ORACLES: dict[str, str] = {}
