@@ -35,10 +35,17 @@ def op7_direct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_and_read(table(spark, sf_dir, "documents"))
 
 
+def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentence_pieces import encoding_digest
+
+    return encoding_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_direct_codes": op7_direct_codes,
+    "op10_sentence_pieces": op10_sentence_pieces,
 }
 ORACLES: dict[str, str] = {}
