@@ -53,6 +53,12 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_matroska_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_digest
+
+    return media_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -60,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_direct_codes": op7_direct_codes,
+    "op9_matroska_media": op9_matroska_media,
     "op10_sentence_pieces": op10_sentence_pieces,
 }
 ORACLES: dict[str, str] = {}
