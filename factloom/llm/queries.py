@@ -59,6 +59,13 @@ def op9_matroska_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import Toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return Toxicity.fit(docs, table(spark, sf_dir, "labels")).score_documents(docs)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -66,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_direct_codes": op7_direct_codes,
+    "op8_toxicity": op8_toxicity,
     "op9_matroska_media": op9_matroska_media,
     "op10_sentence_pieces": op10_sentence_pieces,
 }
