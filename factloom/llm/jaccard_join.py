@@ -39,12 +39,8 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE
 def keep_first(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> DataFrame:
     """One document of each component: the one with the least doc_id, once even if its row is repeated."""
     parts = jaccard_components(docs, percent, n)
-    names = parts.where("n_shingles = 0 or doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    held = docs.withColumn("__row", F.row_number().over(_same_id())) if docs.columns else docs
-    return held.where("__row = 1 or doc_id is null").drop("__row").join(names, docs["doc_id"].eqNullSafe(names["doc_id"]), "left_semi")
-
-
-def _same_id():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    least = F.lit(-(1 << 63))
+    names = parts.where("n_shingles = 0 or doc_id is null or doc_id = component_id").select(F.coalesce("doc_id", least).alias("__doc")).distinct()
+    keyed = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("bigint"), least), "__key": F.xxhash64(F.col("text").cast("string"))})
+    one = keyed.join(names.hint("shuffle_hash"), "__doc", "left_semi").groupBy("__doc", "__key").agg(F.first(F.struct(*docs.columns)).alias("__row"))
+    return one.select("__row.*")
