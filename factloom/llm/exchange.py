@@ -14,23 +14,15 @@ from typing import Any
 
 import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches
+from .packed import expand, squeeze  # noqa: F401
 
 _ROW = "chunk bigint, at bigint, raw binary"
 
 
-def squeeze(x: Any) -> bytes:
-    return zstandard.compress(pickle.dumps(x, protocol=5), 1)
-
-
-def expand(raw: bytes) -> Any:
-    return pickle.loads(zstandard.decompress(raw))
-
-
 def exchange(
     df: DataFrame,
     ranges: int,

@@ -100,15 +100,20 @@ def link(buckets: DataFrame, sets: DataFrame, percent: int, frequent: int = FREQ
     tested: list[DataFrame] = []
     labels: DataFrame | None = None
     open_ = kept(_labelled(buckets, None))
-    while not open_.isEmpty():
+    sets = kept(sets.join(open_.select("id").distinct().hint("shuffle_hash"), "id", "left_semi"))
+    going = True
+    while going and not open_.isEmpty():
         asked = open_.where("c <> lc").groupBy(F.col("id").alias("b"), F.col("leader").alias("a")).agg(F.count("*").alias("shared"))
         if tested:
             asked = asked.join(reduce(DataFrame.unionByName, tested), ["a", "b"], "left_anti")
         pairs = kept(asked.groupBy("b").agg(F.max(F.struct("shared", F.negative("a").alias("less"))).alias("m")).select(F.negative("m.less").alias("a"), "b"))
         tested.append(pairs)
         links = kept(verify(pairs, sets, percent))
-        if links.isEmpty():
+        linked = links.count()
+        if not linked:
             break
+        # rounds go on while leaders catch most of what they are asked of; the rest is few
+        going = 2 * linked >= pairs.count()
         found.append(links)
         labels = components(reduce(DataFrame.unionByName, found))
         open_ = kept(_labelled(open_.select("key", "id"), labels))

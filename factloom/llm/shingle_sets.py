@@ -6,8 +6,8 @@ over the whole corpus and answers the chunks with the shingles that two or more
 have. Only those can be common to two documents, so a document's shared shingles and
 its set size are all that an exact Jaccard similarity needs.
 
-Equal sets within a chunk are dealt once, and a shingle of several documents of a chunk
-is dealt once with their number, so that a hot shingle costs a range one entry a chunk.
+Equal sets within a chunk are dealt once, and a shingle of many documents of a chunk
+is dealt once with their number, so that a hot shingle costs a range a few entries a chunk.
 """
 
 from __future__ import annotations
@@ -21,11 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, map_batches
+from .packed import expand, squeeze
 from .textcore import U64, grams, hash_spans, mix, texts_of, words_of
 
 SHINGLE, PERCENT = 5, 75
 #: Text bytes that make one range of the hash space.
 RANGE_BYTES = 12 << 20
+#: A shingle of more documents of one chunk is dealt as one entry with their number.
+HOT = 12
 _LOW48 = U64((1 << 48) - 1)
 
 
@@ -68,6 +71,11 @@ def shingle_sets(text: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarr
     return np.concatenate([*sets, np.zeros(0, U64)]), np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
 
 
+def _row_counts(row: np.ndarray) -> bytes:
+    """How many entries each row has; entries are in order of rows."""
+    return squeeze(np.bincount(row).astype(np.uint32))
+
+
 def _add_by_row(v: np.ndarray, first: np.ndarray) -> np.ndarray:
     c = np.concatenate([np.zeros(1, U64), np.cumsum(v, dtype=U64)])
     return c[first[1:]] - c[first[:-1]]
@@ -101,23 +109,25 @@ def shared_sets(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> Da
         new[1:] = (h[1:] != h[:-1]) | (at[1:] != at[:-1])
         start = np.flatnonzero(new)
         count = np.diff(np.append(start, len(h)))
-        alone = start[count == 1]
-        many, weight = start[count > 1], count[count > 1]
-        inside = np.repeat(count > 1, count)
+        hot = count > HOT
+        inside = np.repeat(hot, count)
+        alone = np.flatnonzero(~inside)
+        many, weight = start[hot], count[hot]
         chunk = int(mix(np.array([batch.num_rows], U64))[0] >> U64(1)) ^ batch_number(ids, f1, f2)
         rows = [(chunk, -1, pickle.dumps((ids, size, f1, f2, rep, pack48(h[inside]), row[inside])))]
         cut_a, cut_m = np.searchsorted(at[alone], np.arange(ranges + 1)), np.searchsorted(at[many], np.arange(ranges + 1))
         for r in np.unique(at[start]).tolist():
             a, m = alone[cut_a[r] : cut_a[r + 1]], slice(cut_m[r], cut_m[r + 1])
-            rows.append((chunk, r, pickle.dumps((pack48(h[a]), row[a], pack48(h[many[m]]), weight[m].astype(np.uint32)))))
+            a = a[np.argsort(row[a], kind="stable")]
+            rows.append((chunk, r, pickle.dumps((pack48(h[a]), _row_counts(row[a]), pack48(h[many[m]]), squeeze(weight[m].astype(np.uint32))))))
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.binary())], ["chunk", "at", "raw"])
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
         if group["at"].iloc[0] < 0:
             return group[["chunk", "at", "raw"]]
-        parts = [pickle.loads(r) for r in group["raw"]]
+        parts = [(p[0], expand(p[1]), p[2], expand(p[3])) for p in map(pickle.loads, group["raw"])]
         token = np.concatenate([unpack48(x) for p in parts for x in (p[0], p[2])])
-        weight = np.concatenate([x for p in parts for x in (np.ones(len(p[1]), np.uint32), p[3])])
+        weight = np.concatenate([x for p in parts for x in (np.ones(len(p[0]) // 6, np.uint32), p[3])])
         order = np.argsort(token, kind="stable")
         s = token[order]
         new = np.ones(len(s), bool)
@@ -125,15 +135,16 @@ def shared_sets(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> Da
         total = np.add.reduceat(weight[order].astype(np.int64), np.flatnonzero(new)) if len(s) else np.zeros(0, np.int64)
         df = np.empty(len(s), np.int64)
         df[order] = total[np.cumsum(new) - 1]
-        df = np.minimum(df, 65535).astype(np.uint16)
+        df = np.minimum(df, 255).astype(np.uint8)
         out, a = [], 0
         for p in parts:
-            alone = df[a : a + len(p[1])]
-            a += len(p[1])
+            alone = df[a : a + len(p[0]) // 6]
+            a += len(alone)
             many = df[a : a + len(p[3])]
             a += len(p[3])
             yes = alone > 1
-            out.append(pickle.dumps((pack48(unpack48(p[0])[yes]), p[1][yes], alone[yes], p[2], many)))
+            rows = np.repeat(np.arange(len(p[1])), p[1])[yes]
+            out.append(pickle.dumps((pack48(unpack48(p[0])[yes]), _row_counts(rows), alone[yes].tobytes(), p[2], many.tobytes())))
         return pd.DataFrame({"chunk": group["chunk"].to_numpy(), "at": group["at"].to_numpy(), "raw": out})
 
     def gather(group: pd.DataFrame) -> pd.DataFrame:
@@ -141,13 +152,14 @@ def shared_sets(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> Da
         ids, size, f1, f2, rep, raw, row = pickle.loads(group["raw"][own].iloc[0])
         parts = [pickle.loads(r) for r in group["raw"][~own]]
         many = unpack48(b"".join(p[3] for p in parts))
-        many_df = np.concatenate([p[4] for p in parts] or [np.zeros(0, np.uint16)])
+        many_df = np.frombuffer(b"".join(p[4] for p in parts), np.uint8)
         order = np.argsort(many)
         local = unpack48(raw)
-        local_df = many_df[order][np.searchsorted(many[order], local)] if len(local) else np.zeros(0, np.uint16)
+        local_df = many_df[order][np.searchsorted(many[order], local)] if len(local) else np.zeros(0, np.uint8)
         token = np.concatenate([unpack48(b"".join(p[0] for p in parts)), local])
-        at = np.concatenate([*(p[1] for p in parts), row]).astype(np.int64)
-        df = np.concatenate([*(p[2] for p in parts), local_df]).astype(np.int64)
+        counts = [expand(p[1]) for p in parts]
+        at = np.concatenate([*(np.repeat(np.arange(len(c)), c) for c in counts), row]).astype(np.int64)
+        df = np.concatenate([np.frombuffer(b"".join(p[2] for p in parts), np.uint8), local_df])
         order = np.lexsort((token, df, at))
         token, first = token[order], np.searchsorted(at[order], np.arange(len(ids) + 1))
         tokens, prefix = [], []
