@@ -30,7 +30,8 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE
     sets = rows.where("tokens is not null").groupBy("f1", "f2", "n").agg(F.first("tokens").alias("tokens"), F.first("prefix").alias("prefix"))
     sets = kept(sets.join(groups, ["f1", "f2", "n"]).where("id is not null").select("id", "n", "tokens", "prefix"))
     buckets = sets.select("id", F.explode("prefix").alias("key")).select("key", "id")
-    _, labels = link(buckets, sets.select("id", "n", "tokens"), percent)
+    own = (F.col("n") - F.octet_length("tokens") / 8).cast("bigint").alias("own")
+    _, labels = link(buckets, sets.select("id", "n", own, "tokens"), percent)
     named = groups.join(labels.withColumnRenamed("node", "id"), "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component_id"))
     full = rows.select("doc_id", "n", "f1", "f2").join(named, ["f1", "f2", "n"], "left")
     return full.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

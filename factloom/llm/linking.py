@@ -9,6 +9,7 @@ lie in different components are listed at the end, so no link between components
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -77,30 +78,34 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Rows (key, id, c) of the buckets that span components."""
-    rows = buckets.withColumn("c", F.col("id")) if labels is None else buckets.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    spans = rows.groupBy("key").agg(F.min(F.struct("c", "id")).alias("lead"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lead.c <> hi")
+    """Rows (key, id, n, own, c) of the buckets that span components, with their leader: the item with the fewest
+    tokens of its own, which lies most in the middle of its near copies."""
+    rows = buckets.withColumn("c", F.col("id")) if labels is None else buckets.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", "n", "own", F.coalesce("component", "id").alias("c"))
+    spans = rows.groupBy("key").agg(F.min(F.struct("own", "id", "c")).alias("lead"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
     return rows.join(spans.select("key", F.col("lead.id").alias("leader"), F.col("lead.c").alias("lc"), "size"), "key")
 
 
-def _cross(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of rows (key, id, c) that share a key and lie in different components."""
-    x, y = rows.select("key", F.col("id").alias("a"), F.col("c").alias("ca")), rows.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
-    return x.join(y, "key").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+def _cross(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of rows (key, id, n, own, c) that share a key, lie in different components and are not ruled out by
+    their sizes: what the two have in common is at most n - own of either, and either's own tokens are apart."""
+    x = rows.select("key", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("own").alias("oa"))
+    y = rows.select("key", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("own").alias("ob"))
+    most = "least(na - oa, nb - ob)"
+    return x.join(y, (x["key"] == y["key"]) & F.expr(f"ca < cb and 100 * {most} >= {percent} * ({most} + greatest(oa, na - {most}) + greatest(ob, nb - {most}))")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def link(buckets: DataFrame, sets: DataFrame, percent: int, frequent: int = FREQUENT, combine: bool = True) -> tuple[DataFrame, DataFrame]:
+def link(buckets: DataFrame, sets: DataFrame, percent: int, frequent: int = FREQUENT, combine: bool = True, read: Callable[[DataFrame], DataFrame] = lambda x: x) -> tuple[DataFrame, DataFrame]:
     """Links (a, b, similarity) that were verified, and the components (node, component) of all links that there are.
 
-    buckets: distinct rows (key, id). combine: two linked items share two keys or more, so items of
+    buckets: distinct rows (key, id). sets: id, n, own (tokens that no other item has) and what `read` makes tokens of. combine: two linked items share two keys or more, so items of
     frequent keys are indexed by pairs of keys. Every pair of items that share a bucket (or a
     pair of keys) ends in one component or was tested.
     """
     found: list[DataFrame] = []
     tested: list[DataFrame] = []
     labels: DataFrame | None = None
-    open_ = kept(_labelled(buckets, None))
-    sets = kept(sets.join(open_.select("id").distinct().hint("shuffle_hash"), "id", "left_semi"))
+    open_ = kept(_labelled(buckets.join(sets.select("id", "n", "own"), "id").select("key", "id", "n", "own"), None))
+    sets = kept(read(sets.join(open_.select("id").distinct().hint("shuffle_hash"), "id", "left_semi")).select("id", "n", "tokens"))
     going = True
     while going and not open_.isEmpty():
         asked = open_.where("c <> lc").groupBy(F.col("id").alias("b"), F.col("leader").alias("a")).agg(F.count("*").alias("shared"))
@@ -116,13 +121,13 @@ def link(buckets: DataFrame, sets: DataFrame, percent: int, frequent: int = FREQ
         going = 2 * linked >= pairs.count()
         found.append(links)
         labels = components(reduce(DataFrame.unionByName, found))
-        open_ = kept(_labelled(open_.select("key", "id"), labels))
+        open_ = kept(_labelled(open_.select("key", "id", "n", "own"), labels))
     rare = open_.where(F.col("size") <= frequent) if combine else open_
-    pairs = _cross(rare)
+    pairs = _cross(rare, percent)
     if combine:
-        common = open_.where(F.col("size") > frequent).groupBy("id", "c").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-        two = common.select("id", "c", F.explode(F.expr("flatten(transform(keys, (x, i) -> transform(slice(keys, i + 2, size(keys)), y -> struct(x, y))))")).alias("key"))
-        pairs = pairs.unionByName(_cross(two))
+        common = open_.where(F.col("size") > frequent).groupBy("id", "n", "own", "c").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+        two = common.select("id", "n", "own", "c", F.explode(F.expr("flatten(transform(keys, (x, i) -> transform(slice(keys, i + 2, size(keys)), y -> struct(x, y))))")).alias("key"))
+        pairs = pairs.unionByName(_cross(two, percent))
     pairs = pairs.distinct()
     if tested:
         done = reduce(DataFrame.unionByName, tested).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

@@ -29,7 +29,7 @@ SHINGLE, PERCENT = 5, 75
 RANGE_BYTES = 12 << 20
 #: A shingle of more documents of one chunk is dealt as one entry with their number.
 HOT = 12
-_LOW48 = U64((1 << 48) - 1)
+LOW48 = U64((1 << 48) - 1)
 
 
 def pack48(v: np.ndarray) -> bytes:
@@ -103,8 +103,8 @@ def shared_sets(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> Da
         use = rep[row]
         h, row = h[use], row[use]
         at = ((h >> U64(48)) * U64(ranges) >> U64(16)).astype(np.int64)
-        order = np.lexsort((h & _LOW48, at))
-        h, row, at = h[order] & _LOW48, row[order], at[order]
+        order = np.lexsort((h & LOW48, at))
+        h, row, at = h[order] & LOW48, row[order], at[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (at[1:] != at[:-1])
         start = np.flatnonzero(new)
