@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import kept, map_batches
 from .exchange import exchange, expand, squeeze
 from .linking import link
-from .shingle_sets import batch_number, range_count
+from .shingle_sets import LOW48, batch_number, pack48, range_count, unpack48
 from .textcore import U64, Texts, grams, hash_spans, lines_of, mix, texts_of, words_of
 
 SHINGLE, BINS, ROWS, PERCENT = 5, 64, 4, 75
@@ -83,7 +83,7 @@ def band_keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def candidate_lines(docs: DataFrame) -> DataFrame:
-    """id, n, tokens (sorted shingle hashes), keys (bands that other lines share): a row for each candidate line and chunk."""
+    """id, n (distinct shingles), line, keys (bands that other lines share): a row for each candidate line and chunk."""
     ranges = range_count(docs)
 
     def deal(batch: pa.RecordBatch) -> tuple[int, object, dict[int, object]]:
@@ -102,7 +102,10 @@ def candidate_lines(docs: DataFrame) -> DataFrame:
         inside = np.repeat(many, np.diff(np.append(head, len(key))))
         lot = ((key[head] >> U64(48)) * U64(ranges) >> U64(16)).astype(np.int64)  # ascending, as the keys are
         cut = np.searchsorted(lot, np.arange(ranges + 1))
-        asked = {r: (key[head[cut[r] : cut[r + 1]]].tobytes(), ids[line[head[cut[r] : cut[r + 1]]]].tobytes()) for r in np.unique(lot).tolist()}
+        asked = {}
+        for r in np.unique(lot).tolist():
+            own = head[cut[r] : cut[r + 1]]
+            asked[r] = pack48(key[own]), (ids[line[own]] & 0xFFFFFFFF).astype("<u4").tobytes(), line[own].astype("<u4").tobytes()
         cover = np.zeros(len(t.data) + 1, np.int8)
         np.add.at(cover, start, 1)
         np.add.at(cover, start + length, -1)
@@ -112,7 +115,7 @@ def candidate_lines(docs: DataFrame) -> DataFrame:
         return chunk, squeeze((ids, by, length[by], text.tobytes(), key[inside], line[inside])), asked
 
     def answer(asked: list) -> list:
-        key, ids = np.frombuffer(b"".join(k for k, _ in asked), U64), np.frombuffer(b"".join(i for _, i in asked), np.int64)
+        key, ids = unpack48(b"".join(k for k, *_ in asked)), np.frombuffer(b"".join(i for _, i, _ in asked), "<u4")
         order = np.argsort(key, kind="stable")
         new = np.ones(len(key), bool)
         new[1:] = key[order][1:] != key[order][:-1]
@@ -121,18 +124,18 @@ def candidate_lines(docs: DataFrame) -> DataFrame:
         yes = np.zeros(len(key), bool)
         yes[order] = differ[np.cumsum(new) - 1]
         out, a = [], 0
-        for k, i in asked:
-            own = yes[a : a + len(k) // 8]
+        for k, _, line in asked:
+            own = yes[a : a + len(k) // 6]
             a += len(own)
-            out.append((np.frombuffer(k, U64)[own], np.frombuffer(i, np.int64)[own]))
+            out.append((unpack48(k)[own], np.frombuffer(line, "<u4")[own]))
         return out
 
     def gather(own: object, replies: list) -> pd.DataFrame:
         ids, by, length, text, key, line = expand(own)
-        key = np.concatenate([key, *(k for k, _ in replies)])
-        at = np.concatenate([line, *(np.searchsorted(ids, i) for _, i in replies)]).astype(np.int64)
+        key = np.concatenate([key & LOW48, *(k for k, _ in replies)])
+        at = np.concatenate([line, *(i for _, i in replies)]).astype(np.int64)
         if not len(at):
-            return pd.DataFrame({"id": [], "n": [], "tokens": [], "keys": []})
+            return pd.DataFrame({"id": [], "n": [], "line": [], "keys": []})
         order = np.lexsort((key, at))
         key, at = key[order], at[order]
         new = np.ones(len(at), bool)
@@ -144,19 +147,33 @@ def candidate_lines(docs: DataFrame) -> DataFrame:
         start[by], size[by] = np.cumsum(length) - length, length
         h, first = shingles(np.frombuffer(text, np.uint8), start[wanted], size[wanted])
         cut = np.searchsorted(at, wanted)
-        sets = [np.unique(h[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-        keys = np.split(key.view(np.int64), cut[1:])
-        return pd.DataFrame({"id": ids[wanted], "n": [len(s) for s in sets], "tokens": [s.astype("<u8").tobytes() for s in sets], "keys": keys})
+        count = [len(np.unique(h[a:b])) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        lines = [text[a : a + n] for a, n in zip(start[wanted].tolist(), size[wanted].tolist(), strict=True)]
+        return pd.DataFrame({"id": ids[wanted], "n": count, "line": lines, "keys": np.split(key.view(np.int64), cut[1:])})
 
-    return exchange(_keyed(docs), ranges, deal, answer, gather, "id bigint, n bigint, tokens binary, keys array<bigint>")
+    return exchange(_keyed(docs), ranges, deal, answer, gather, "id bigint, n bigint, line binary, keys array<bigint>")
 
 
 def line_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, component) of the lines' ids that have a link."""
     found = kept(candidate_lines(docs))
-    sets = kept(found.groupBy("id").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")))
+    sets = found.groupBy("id").agg(F.first("n").alias("n"), F.lit(0).cast("bigint").alias("own"), F.first("line").alias("line"))
     buckets = found.select(F.explode("keys").alias("key"), "id").distinct()
-    return link(buckets, sets, percent, combine=False)[1]
+    return link(buckets, sets, percent, combine=False, read=_shingle_sets)[1]
+
+
+def _shingle_sets(lines: DataFrame) -> DataFrame:
+    """id, n, tokens of rows (id, n, line)."""
+
+    def run(batches):
+        for batch in batches:
+            raw = batch.column(2).to_pylist()
+            length = np.array([len(x) for x in raw], np.int64)
+            h, first = shingles(np.frombuffer(b"".join(raw), np.uint8), np.cumsum(length) - length, length)
+            sets = [np.unique(h[a:b]).astype("<u8").tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["id", "n", "tokens"])
+
+    return lines.select("id", "n", "line").mapInArrow(run, "id bigint, n bigint, tokens binary")
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
