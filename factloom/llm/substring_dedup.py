@@ -176,13 +176,13 @@ def substring_digest(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
 def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """docs with repeats cut from the text; a text without repeats stays as it is, others are their kept words joined by spaces."""
     rows = _with_spans(docs, window, seed).select(*docs.columns, "__spans")
-    place = docs.columns.index("text")
+    names, place = list(docs.columns), docs.columns.index("text")
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         spans, old = batch.column(batch.num_columns - 1).to_pylist(), batch.column(place).to_pylist()
         data, at, *_ = cut_spans(texts_of(batch.column(place)), spans)
         new = [o if s is None else data[a:b].tobytes().decode() for o, s, a, b in zip(old, spans, at[:-1].tolist(), at[1:].tolist(), strict=True)]
         columns = [pa.array(new, batch.column(place).type) if i == place else batch.column(i) for i in range(batch.num_columns - 1)]
-        return pa.RecordBatch.from_arrays(columns, names=list(docs.columns))
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     return map_batches(rows, one, docs.schema)
