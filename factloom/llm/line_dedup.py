@@ -157,23 +157,16 @@ def candidate_lines(docs: DataFrame) -> DataFrame:
 def line_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, component) of the lines' ids that have a link."""
     found = kept(candidate_lines(docs))
-    sets = found.groupBy("id").agg(F.first("n").alias("n"), F.lit(0).cast("bigint").alias("own"), F.first("line").alias("line"))
+    sets = found.groupBy("id").agg(F.first("n").alias("n"), F.lit(0).cast("bigint").alias("own"), F.first("line").alias("tokens"))
     buckets = found.select(F.explode("keys").alias("key"), "id").distinct()
-    return link(buckets, sets, percent, combine=False, read=_shingle_sets)[1]
+    return link(buckets, sets, percent, combine=False, read=_read)[1]
 
 
-def _shingle_sets(lines: DataFrame) -> DataFrame:
-    """id, n, tokens of rows (id, n, line)."""
-
-    def run(batches):
-        for batch in batches:
-            raw = batch.column(2).to_pylist()
-            length = np.array([len(x) for x in raw], np.int64)
-            h, first = shingles(np.frombuffer(b"".join(raw), np.uint8), np.cumsum(length) - length, length)
-            sets = [np.unique(h[a:b]).astype("<u8").tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["id", "n", "tokens"])
-
-    return lines.select("id", "n", "line").mapInArrow(run, "id bigint, n bigint, tokens binary")
+def _read(lines: list[bytes]) -> list[np.ndarray]:
+    """The shingle sets of some lines; so a line travels as its text."""
+    length = np.array([len(x) for x in lines], np.int64)
+    h, first = shingles(np.frombuffer(b"".join(lines), np.uint8), np.cumsum(length) - length, length)
+    return [np.unique(h[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

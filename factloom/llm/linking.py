@@ -49,10 +49,15 @@ def components(edges: DataFrame) -> DataFrame:
     return kept(whole) if whole is not None else e.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def stored(tokens: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(t, "<u8") for t in tokens]
+
+
+def verify(pairs: DataFrame, sets: DataFrame, percent: int, read: Callable[[list[bytes]], list[np.ndarray]] = stored) -> DataFrame:
     """Of pairs (a, b), those with 100 * |A and B| >= percent * |A or B|, with the similarity.
 
-    sets: id, n (set size), tokens (sorted unsigned 64-bit values; those that no other item has may be left out).
+    sets: id, n (set size), tokens; read makes sorted unsigned 64-bit values of tokens, of which those that no other item
+    has may be left out.
     """
     a = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     b = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
@@ -62,8 +67,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             na, nb = batch.column(2).to_numpy(), batch.column(4).to_numpy()
             same = np.zeros(len(na), np.int64)
-            for i, (x, y) in enumerate(zip(batch.column(3), batch.column(5), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+            for i, (x, y) in enumerate(zip(read(batch.column(3).to_pylist()), read(batch.column(5).to_pylist()), strict=True)):
                 if len(x) > len(y):
                     x, y = y, x
                 if len(y):
@@ -94,10 +98,10 @@ def _cross(rows: DataFrame, percent: int) -> DataFrame:
     return x.join(y, (x["key"] == y["key"]) & F.expr(f"ca < cb and 100 * {most} >= {percent} * ({most} + greatest(oa, na - {most}) + greatest(ob, nb - {most}))")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def link(buckets: DataFrame, sets: DataFrame, percent: int, frequent: int = FREQUENT, combine: bool = True, read: Callable[[DataFrame], DataFrame] = lambda x: x) -> tuple[DataFrame, DataFrame]:
+def link(buckets: DataFrame, sets: DataFrame, percent: int, frequent: int = FREQUENT, combine: bool = True, read: Callable[[list[bytes]], list[np.ndarray]] = stored) -> tuple[DataFrame, DataFrame]:
     """Links (a, b, similarity) that were verified, and the components (node, component) of all links that there are.
 
-    buckets: distinct rows (key, id). sets: id, n, own (tokens that no other item has) and what `read` makes tokens of. combine: two linked items share two keys or more, so items of
+    buckets: distinct rows (key, id). sets: id, n, own (tokens that no other item has), tokens as verify() takes them. combine: two linked items share two keys or more, so items of
     frequent keys are indexed by pairs of keys. Every pair of items that share a bucket (or a
     pair of keys) ends in one component or was tested.
     """
@@ -105,7 +109,7 @@ def link(buckets: DataFrame, sets: DataFrame, percent: int, frequent: int = FREQ
     tested: list[DataFrame] = []
     labels: DataFrame | None = None
     open_ = kept(_labelled(buckets.join(sets.select("id", "n", "own"), "id").select("key", "id", "n", "own"), None))
-    sets = kept(read(sets.join(open_.select("id").distinct().hint("shuffle_hash"), "id", "left_semi")).select("id", "n", "tokens"))
+    sets = kept(sets.join(open_.select("id").distinct().hint("shuffle_hash"), "id", "left_semi").select("id", "n", "tokens"))
     going = True
     while going and not open_.isEmpty():
         asked = open_.where("c <> lc").groupBy(F.col("id").alias("b"), F.col("leader").alias("a")).agg(F.count("*").alias("shared"))
@@ -113,7 +117,7 @@ def link(buckets: DataFrame, sets: DataFrame, percent: int, frequent: int = FREQ
             asked = asked.join(reduce(DataFrame.unionByName, tested), ["a", "b"], "left_anti")
         pairs = kept(asked.groupBy("b").agg(F.max(F.struct("shared", F.negative("a").alias("less"))).alias("m")).select(F.negative("m.less").alias("a"), "b"))
         tested.append(pairs)
-        links = kept(verify(pairs, sets, percent))
+        links = kept(verify(pairs, sets, percent, read))
         linked = links.count()
         if not linked:
             break
@@ -132,7 +136,7 @@ def link(buckets: DataFrame, sets: DataFrame, percent: int, frequent: int = FREQ
     if tested:
         done = reduce(DataFrame.unionByName, tested).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = pairs.join(done, ["a", "b"], "left_anti")
-    links = kept(verify(pairs, sets, percent))
+    links = kept(verify(pairs, sets, percent, read))
     if not links.isEmpty():
         found.append(links)
         labels = components(reduce(DataFrame.unionByName, found))
