@@ -89,6 +89,13 @@ def _labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(spans.select("key", F.col("lead.id").alias("leader"), F.col("lead.c").alias("lc"), "size"), "key")
 
 
+def _different(buckets: DataFrame) -> DataFrame:
+    """One bucket of those with the same items, none with a single one."""
+    items = buckets.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("sum")).where("size > 1")
+    one = items.groupBy("size", "lo", "hi", "sum").agg(F.min("key").alias("key")).select("key")
+    return buckets.join(one, "key", "left_semi")
+
+
 def _cross(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of rows (key, id, n, own, c) that share a key, lie in different components and are not ruled out by
     their sizes: what the two have in common is at most n - own of either, and either's own tokens are apart."""
@@ -105,6 +112,8 @@ def link(buckets: DataFrame, sets: DataFrame, percent: int, frequent: int = FREQ
     frequent keys are indexed by pairs of keys. Every pair of items that share a bucket (or a
     pair of keys) ends in one component or was tested.
     """
+    if not combine:
+        buckets = kept(_different(buckets))
     found: list[DataFrame] = []
     tested: list[DataFrame] = []
     labels: DataFrame | None = None
