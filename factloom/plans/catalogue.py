@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import decide, graphs, history, registry, text
+from ..operators import decide, graphs, history, provenance, registry, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -508,3 +508,54 @@ SELECT a, b, CAST(min(pa) AS INTEGER) AS a_from, CAST(min(pa) + d AS INTEGER) AS
 def clone_maximal_spans(spark, d):
     rows = t(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.filter(F.split("text", " "), lambda x: x != "").alias("toks"))
     return text.clone_spans(rows, 5)
+
+
+# ---- provenance --------------------------------------------------------------
+
+CLASSES = """c AS (SELECT o_orderkey AS commit_id, o_orderpriority AS body, c_mktsegment AS author FROM orders JOIN customer ON c_custkey = o_custkey),
+ k AS (SELECT commit_id, CASE WHEN author LIKE '%BUILD%' THEN 'builder' WHEN author LIKE '%MACHIN%' OR lower(body) LIKE '%medium%' THEN 'machine'
+ WHEN regexp_matches(lower(body), '(^|[^\\p{L}\\p{N}])urgent($|[^\\p{L}\\p{N}])') THEN 'urgent' WHEN commit_id % 10 = 0 THEN 'agent?' ELSE 'unknown' END AS class,
+ CASE WHEN author LIKE '%BUILD%' OR author LIKE '%MACHIN%' OR lower(body) LIKE '%medium%' THEN 0.95 WHEN regexp_matches(lower(body), '(^|[^\\p{L}\\p{N}])urgent($|[^\\p{L}\\p{N}])') THEN 0.85 WHEN commit_id % 10 = 0 THEN 0.35 ELSE 0.0 END::DOUBLE AS confidence FROM c)"""
+
+
+def classes(spark: SparkSession, d: str) -> DataFrame:
+    c = t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("author"))
+    commits = t(spark, d, "orders").join(c, "o_custkey").select(F.col("o_orderkey").alias("commit_id"), "author", F.col("o_orderpriority").alias("body"))
+    labels = spark.createDataFrame([(1, "builder", "build"), (2, "machine", "machin"), (3, "machine", "medium")], "ord int, label string, needle string")
+    return provenance.classify(commits, labels, ("urgent",), F.col("commit_id") % 10 == 0)
+
+
+@query(f"WITH {CLASSES} SELECT commit_id, class, confidence FROM k")
+def provenance_class_precedence(spark, d):
+    return classes(spark, d)
+
+
+@query(f"""WITH {CLASSES}, s AS (SELECT l_orderkey AS commit_id, count(DISTINCT l_partkey) AS files FROM lineitem GROUP BY 1)
+SELECT class, count(*) AS commits, CAST(coalesce(sum(files), 0) AS BIGINT) AS files, min(confidence) AS confidence FROM k LEFT JOIN s USING (commit_id) GROUP BY 1""")
+def churn_and_confidence_by_class(spark, d):
+    touched = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("commit_id"), F.col("l_partkey").alias("file"))
+    return provenance.by_class(classes(spark, d), touched)
+
+
+@query("""WITH a AS (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, url FROM pages), r AS (SELECT DISTINCT regexp_extract(url, '^(https?://[^/]+/[^/]*)', 1) AS root FROM pages WHERE page_id % 3 = 0)
+SELECT page_id, (SELECT arg_max(root, (length(root), root)) FROM r WHERE root <> '' AND starts_with(url, root)) AS owner FROM a""")
+def longest_prefix_owner(spark, d):
+    """The most specific root that a page's URL begins with. The equi key is the host, so no page meets all roots."""
+    host = F.regexp_extract("url", "^https?://([^/]+)", 1)
+    pages = t(spark, d, "pages").select("page_id", "url", host.alias("host"))
+    roots = t(spark, d, "pages").where("page_id % 3 = 0").select(F.regexp_extract("url", "^(https?://[^/]+/[^/]*)", 1).alias("root"), host.alias("host")).where("root <> ''").distinct()
+    best = pages.join(roots, "host").where(F.startswith("url", "root")).groupBy("page_id").agg(F.max_by("root", F.struct(F.length("root"), "root")).alias("owner"))
+    return pages.select("page_id").join(best, "page_id", "left")
+
+
+@query("""WITH c AS (SELECT l_partkey AS file, count(DISTINCT l_orderkey) AS churn FROM lineitem GROUP BY 1), v AS (SELECT l_partkey AS file, l_linenumber AS line, max(CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END) AS hits FROM lineitem GROUP BY 1, 2),
+f AS (SELECT p_partkey AS file, p_size AS cyclomatic, 2 AS a, 5 AS b FROM part)
+SELECT f.file, cyclomatic, churn, round(count(*) FILTER (hits = 0) / count(*), 6) AS uncovered FROM f JOIN c USING (file) JOIN v ON v.file = f.file AND line BETWEEN a AND b WHERE cyclomatic >= 10 AND churn >= 5 GROUP BY ALL HAVING count(*) FILTER (hits = 0) / count(*) > 0.2""")
+def untested_hotspot_range_join(spark, d):
+    li = t(spark, d, "lineitem")
+    churned = li.groupBy(F.col("l_partkey").alias("file")).agg(F.countDistinct("l_orderkey").alias("churn"))
+    lines = li.groupBy(F.col("l_partkey").alias("file"), F.col("l_linenumber").alias("line")).agg(F.max(F.when(F.col("l_returnflag") == "R", 0).otherwise(1)).alias("hits"))
+    functions = t(spark, d, "part").where("p_size >= 10").select(F.col("p_partkey").alias("file"), F.col("p_size").alias("cyclomatic"), F.lit(2).alias("a"), F.lit(5).alias("b"))
+    rows = functions.join(churned.where("churn >= 5"), "file").join(lines, "file").where("line between a and b")
+    share = rows.groupBy("file", "cyclomatic", "churn").agg((F.count_if(F.col("hits") == 0) / F.count("*")).alias("u"))
+    return share.where("u > 0.2").select("file", "cyclomatic", "churn", F.round("u", 6).alias("uncovered"))
