@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from .textcore import Texts, hash_spans, words_of
+from .textcore import U64, Texts, hash_spans, mix, words_of
 
 DECAY, REACH, POWER = 0.6, 7, 2
 #: Likeness under this is chance and counts as none.
@@ -209,18 +209,26 @@ def _worst(value: np.ndarray, group: np.ndarray, groups: int, least: float) -> n
     return out
 
 
+def _texts_with(words: Words, row: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each distinct word, how many clean and how many toxic texts have it."""
+    pair = np.unique(words.of.astype(np.int64) * len(toxic) + row)
+    word, bad = pair // len(toxic), toxic[pair % len(toxic)]
+    n = np.bincount(word, minlength=len(words.start))
+    hit = np.bincount(word, bad, minlength=len(words.start))
+    return n - hit, hit
+
+
 def choose_landmarks(words: Words, toxic: np.ndarray, count: int, alike: float = 0.8, share: float = 0.02) -> list[np.ndarray]:
     """Words that toxic texts have in many contexts and other texts hardly have, the clearest first, no two too much alike.
 
     Contexts are the words before and after, so that copies of one text count once.
     """
     row = words.row_of_sentence[words.sentence]
-    seen = np.unique(np.stack([words.of, row]), axis=1)
-    bad = np.bincount(seen[0], toxic[seen[1]], minlength=len(words.start))
-    good = np.bincount(seen[0], 1 - toxic[seen[1]], minlength=len(words.start))
+    good, bad = _texts_with(words, row, toxic)
     before, after = np.roll(words.of, 1), np.roll(words.of, -1)
     own = toxic[row] == 1
-    contexts = np.unique(np.stack([words.of[own], before[own], after[own]]), axis=1)[0]
+    key = mix(mix(mix(words.of[own].astype(U64)) + before[own].astype(U64)) + after[own].astype(U64))
+    contexts = words.of[own][np.unique(key, return_index=True)[1]]
     varied = np.minimum(np.bincount(contexts, minlength=len(words.start)), bad)
     rate = (bad / max(toxic.sum(), 1) + 1e-6) / (good / max((1 - toxic).sum(), 1) + 1.0 / len(toxic))
     clear = np.flatnonzero((words.length >= 5) & (varied >= max(2, share * toxic.sum())) & (rate > 8))
@@ -260,8 +268,7 @@ def fit(t: Texts, toxic: np.ndarray, landmarks: int = 48, rounds: int = 4, negat
     bad = toxic[words.row_of_sentence] == 1
     row = words.row_of_sentence[words.sentence]
     good = np.bincount(np.unique(words.of[toxic[row] == 0]), minlength=len(words.start))
-    seen = [np.unique(np.stack([words.of[toxic[row] == y], row[toxic[row] == y]]), axis=1)[0] for y in (0, 1)]
-    share = [np.bincount(s, minlength=len(words.start)) / max((toxic == y).sum(), 1) for y, s in enumerate(seen)]
+    share = [n / max((toxic == y).sum(), 1) for y, n in enumerate(_texts_with(words, row, toxic))]
     typical = share[1] > 8 * share[0]
     clean = np.flatnonzero((good > 0) & ~typical)
     clean = clean[np.argsort(-k[clean].sum(axis=1), kind="stable")][:negatives]  # the most alike are the hard ones
