@@ -135,7 +135,7 @@ def candidate_lines(docs: DataFrame) -> DataFrame:
         key = np.concatenate([key & LOW48, *(k for k, _ in replies)])
         at = np.concatenate([line, *(i for _, i in replies)]).astype(np.int64)
         if not len(at):
-            return pd.DataFrame({"id": [], "n": [], "line": [], "keys": []})
+            return pd.DataFrame({"id": [], "n": [], "line": [], "keys": []}, dtype=object)
         order = np.lexsort((key, at))
         key, at = key[order], at[order]
         new = np.ones(len(at), bool)
