@@ -468,6 +468,10 @@ def step_chain_islands(spark, d):
     return text.chains(t(spark, d, "conversations").where("role = 'user' or turn % 3 <> 0").select(F.col("conv_id").alias("grp"), F.col("turn").alias("n")))
 
 
+def words(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return t(spark, d, name).select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("name")).distinct()
+
+
 WORDS = "w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS name FROM {} )"
 
 
@@ -475,10 +479,14 @@ WORDS = "w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]
 a AS (SELECT name FROM w WHERE length(name) >= 9 AND name NOT IN (SELECT name FROM p)), b AS (SELECT name AS nearest FROM p WHERE length(name) >= 8)
 SELECT a.name, min(nearest) AS nearest FROM a JOIN b ON abs(length(a.name) - length(nearest)) <= 1 AND levenshtein(a.name, nearest) = 1 GROUP BY 1""")
 def name_collision_levenshtein(spark, d):
-    def words(name):
-        return t(spark, d, name).select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("name")).distinct()
+    """Names of 9 letters or more only, as in the SQL. name_collision_all has all that the reference checks."""
+    return text.near_names(words(spark, d, "documents").where(F.length("name") >= 9), words(spark, d, "benchmark"), 9)
 
-    return text.near_names(words("documents").where(F.length("name") >= 9), words("benchmark"), 9)
+
+@query()
+def name_collision_all(spark, d):
+    """Names of 6 letters or more, the reference's minimum. Tested against brute force: all pairs are too slow in SQL."""
+    return text.near_names(words(spark, d, "documents"), words(spark, d, "benchmark"))
 
 
 @query("""WITH a AS (SELECT doc_id AS id, unnest(regexp_extract_all(text, '[A-Za-z_]*(?:token|secret|password|key)[A-Za-z_]* = "[^"]+"')) AS m FROM documents) SELECT id, m, regexp_extract(m, '^([A-Za-z_]+)', 1) AS name FROM a""")

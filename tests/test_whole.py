@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from factloom.plans import catalogue
 
 
@@ -16,3 +18,30 @@ def test_innermost_span_takes_all_parts(spark, tmp_path):
         want[event] = min(around)[1] if around else None
     got = {r.event_id: r.item for r in catalogue.innermost_span(spark, str(tmp_path)).collect()}
     assert got == want and max(k or 0 for k in want.values()) > 2000
+
+
+def distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_name_collision_from_six_letters(spark, tmp_path):
+    rng = random.Random(3)
+    popular = {"".join(rng.choices("abcde", k=n)) for n in (5, 6, 7, 8, 9, 10, 12) for _ in range(12)}
+    names = {"".join(rng.choices("abcde", k=n)) for n in range(4, 10) for _ in range(20)} | set(sorted(popular)[:9])
+    for p in sorted(popular):
+        at = rng.randrange(len(p))
+        names |= {p[:at] + p[at + 1 :], p[:at] + "z" + p[at:], p[:at] + "y" + p[at + 1 :]}
+    for name, rows in (("documents", names), ("benchmark", popular)):
+        spark.createDataFrame([(" ".join(sorted(rows)[i::3]),) for i in range(3)], "text string").write.parquet(str(tmp_path / f"{name}.parquet"))
+    want = {}
+    for n in names - popular:
+        near = [p for p in popular if distance(n, p) == 1]
+        if len(n) >= 6 and near:
+            want[n] = min(near)
+    got = {r.name: r.nearest for r in catalogue.name_collision_all(spark, str(tmp_path)).collect()}
+    assert got == want and {6, 7, 8, 9} <= set(map(len, want))
