@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+from factloom.operators import text
 from factloom.plans import catalogue
 
 
@@ -45,3 +46,60 @@ def test_name_collision_from_six_letters(spark, tmp_path):
             want[n] = min(near)
     got = {r.name: r.nearest for r in catalogue.name_collision_all(spark, str(tmp_path)).collect()}
     assert got == want and {6, 7, 8, 9} <= set(map(len, want))
+
+
+def pair_spans(rows: dict, least: int) -> set:
+    """All maximal common spans of two rows, by brute force."""
+    found = set()
+    for a in rows:
+        for b in (x for x in rows if x > a):
+            s, u = rows[a], rows[b]
+            for i in range(len(s)):
+                for j in range(len(u)):
+                    if s[i] == u[j] and not (i and j and s[i - 1] == u[j - 1]):
+                        n = 0
+                        while i + n < len(s) and j + n < len(u) and s[i + n] == u[j + n]:
+                            n += 1
+                        if n >= least:
+                            found.add((a, b, i, j, n))
+    return found
+
+
+def spans_of_classes(members: list, least: int) -> set:
+    """The same from classes: windows that two rows share by class, chained on diagonals."""
+    hits = set()
+    for x in members:
+        for y in members:
+            if x["class"] == y["class"] and x.id < y.id:
+                assert x.length == y.length
+                hits |= {(x.id, y.id, y.start - x.start, x.start + k) for k in range(x.length - least + 1)}
+    found = set()
+    for a, b, by, i in hits:
+        if (a, b, by, i - 1) not in hits:
+            n = 1
+            while (a, b, by, i + n) in hits:
+                n += 1
+            found.add((a, b, i, i + by, n + least - 1))
+    return found
+
+
+def test_clone_classes_hold_every_span(spark):
+    rng = random.Random(5)
+    passage, other = rng.choices("abcdefgh", k=30), rng.choices("abcdefgh", k=14)
+    rows = {i: rng.choices("ab", k=rng.randrange(3, 25)) for i in range(8)}
+    for i in range(8, 20):
+        rows[i] = rng.choices("xyz", k=i % 4) + passage[i % 3 :] + rng.choices("xyz", k=i % 3) + other * (i % 3)
+    rows |= {20: rows[8], 21: rows[9][:-6] + ["q"] + rows[9][-5:], 22: ["a"] * 12, 23: ["a"] * 9}
+    df = spark.createDataFrame(list(rows.items()), "id bigint, toks array<string>")
+    got = text.clone_classes(df, 5).collect()
+    want = pair_spans(rows, 5)
+    assert spans_of_classes(got, 5) == want and len(want) > 200
+    assert {(r.a, r.b, r.a_from, r.b_from, r.length) for r in text.clone_spans(df, 5).collect()} == want
+
+
+def test_clone_classes_reads_documents(spark, tmp_path):
+    shared = " ".join(f"w{i}" for i in range(25))
+    docs = [(k, f"x{k} {shared}\ny{k}") for k in range(300)] + [(300, "w1 w2")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [(r.id, r.start, r.length) for r in catalogue.clone_classes(spark, str(tmp_path)).collect()]
+    assert sorted(got) == [(k, 1, 25) for k in range(300)]
