@@ -106,6 +106,27 @@ def clone_spans(token_rows: DataFrame, least: int = 20) -> DataFrame:
     return runs.select("a", "b", "a_from", (F.col("a_from") + F.col("diagonal")).alias("b_from"), (F.col("last") - F.col("a_from") + least).alias("length"))
 
 
+def clone_families(token_rows: DataFrame, least: int = 20) -> DataFrame:
+    """family, id, start, length, members: equal maximal spans of clone_spans() as one family, of two members or more.
+
+    A member within a larger span of the same function is dropped first, and families left with one member go with it.
+    """
+    s = clone_spans(token_rows, least)
+    spans = s.select(F.col("a").alias("id"), F.col("a_from").alias("start"), "length").union(s.select("b", "b_from", "length")).distinct()
+    o = spans.select(F.col("id").alias("oid"), F.col("start").alias("ostart"), F.col("length").alias("olength"))
+    within = (F.col("id") == F.col("oid")) & (F.col("start") >= F.col("ostart")) & (F.col("start") + F.col("length") <= F.col("ostart") + F.col("olength")) & (F.col("length") < F.col("olength"))
+    kept = spans.join(o, within, "left_anti").join(token_rows, "id")
+    named = kept.select(F.sha2(F.array_join(F.slice("toks", F.col("start") + 1, F.col("length")), "\u0001"), 256).alias("family"), "id", "start", "length")
+    sizes = named.groupBy("family").agg(F.count("*").alias("members")).where("members > 1")
+    return named.join(sizes, "family")
+
+
+def isolated_families(families: DataFrame, fan_in: DataFrame) -> DataFrame:
+    """family of those whose every member has fan_in (id, references) of 0; a member without a row is not isolated."""
+    rows = families.join(fan_in, "id", "left")
+    return rows.groupBy("family").agg(F.bool_and(F.coalesce(F.col("references") == 0, F.lit(False))).alias("alone")).where("alone").select("family")
+
+
 def clone_classes(token_rows: DataFrame, least: int = 20) -> DataFrame:
     """The spans of clone_spans() as classes with members: rows (id, toks array) to (class, id, start, length), never a row a pair.
 

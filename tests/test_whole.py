@@ -103,3 +103,24 @@ def test_clone_classes_reads_documents(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = [(r.id, r.start, r.length) for r in catalogue.clone_classes(spark, str(tmp_path)).collect()]
     assert sorted(got) == [(k, 1, 25) for k in range(300)]
+
+
+def test_clone_families(spark):
+    rng = random.Random(7)
+    p, q = rng.choices("abcdefgh", k=12), rng.choices("abcdefgh", k=9)
+    rows = {i: rng.choices("uvw", k=i % 3) + p + rng.choices("xyz", k=i % 4) for i in range(6)}
+    rows |= {6: p[2:9] + ["1"] + q, 7: ["2"] + q, 8: q + ["3"] + p, 9: ["a"] * 9, 10: ["a"] * 7}
+    spans = {(i, at, n) for a, b, x, y, n in pair_spans(rows, 5) for i, at in ((a, x), (b, y))}
+    kept = [s for s in spans if not any(o[0] == s[0] and o != s and o[1] <= s[1] and s[1] + s[2] <= o[1] + o[2] for o in spans)]
+    want = {}
+    for i, at, n in kept:
+        want.setdefault(tuple(rows[i][at : at + n]), set()).add((i, at, n))
+    want = sorted(sorted(m) for m in want.values() if len(m) > 1)
+    df = spark.createDataFrame(list(rows.items()), "id bigint, toks array<string>")
+    got, families = {}, text.clone_families(df, 5).cache()
+    for r in families.collect():
+        got.setdefault(r.family, set()).add((r.id, r.start, r.length))
+        assert r.members == sum(x.family == r.family for x in families.collect())
+    assert sorted(sorted(m) for m in got.values()) == want and max(map(len, want)) >= 3 and len(kept) < len(spans)
+    alone = {r.family for r in text.isolated_families(families, spark.createDataFrame([(i, int(i == 7)) for i in range(11) if i != 10], "id bigint, references int")).collect()}
+    assert alone == {f for f, m in got.items() if not {7, 10} & {i for i, *_ in m}} and alone
