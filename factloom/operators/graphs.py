@@ -6,13 +6,15 @@ stays short and a lost executor costs one step.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import kept
 
 
-def shortest_paths(edges: DataFrame, starts: DataFrame, most: int = 100) -> DataFrame:
+def shortest_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """start, node, depth, path of every node reachable from each start (column node); the start itself only over a cycle.
 
     Of paths of equal length the least in order of nodes is kept.
@@ -20,7 +22,7 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, most: int = 100) -> Data
     e = edges.select("src", "dst").distinct()
     frontier = starts.select(F.col("node").alias("start"), "node", F.array("node").alias("path")).distinct()
     known: DataFrame | None = None
-    for depth in range(1, most + 1):
+    for depth in count(1):
         step = frontier.join(e, frontier["node"] == e["src"]).groupBy("start", F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
         if known is not None:
             step = step.join(known.select("start", "node"), ["start", "node"], "left_anti")

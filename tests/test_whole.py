@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from factloom.operators import text
+from factloom.operators import graphs, text
 from factloom.plans import catalogue
 
 
@@ -124,3 +124,9 @@ def test_clone_families(spark):
     assert sorted(sorted(m) for m in got.values()) == want and max(map(len, want)) >= 3 and len(kept) < len(spans)
     alone = {r.family for r in text.isolated_families(families, spark.createDataFrame([(i, int(i == 7)) for i in range(11) if i != 10], "id bigint, references int")).collect()}
     assert alone == {f for f, m in got.items() if not {7, 10} & {i for i, *_ in m}} and alone
+
+
+def test_paths_deeper_than_100(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(103)], "src int, dst int").coalesce(1).cache()
+    found = graphs.shortest_paths(edges, spark.createDataFrame([(0,)], "node int").coalesce(1))
+    assert {r.node: r.depth for r in found.select("node", "depth").collect()} == {i: i for i in range(1, 104)}
