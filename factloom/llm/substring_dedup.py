@@ -1,11 +1,13 @@
-"""Substring dedup: seed and extend.
-
-Seeds are winnowed anchors: of every eight consecutive 6-word grams the least hash is an anchor, so any
-common passage of 13 words or more has one, picked from its content alone. Occurrences of an
-anchor in all documents meet in one range of the hash space. There a seed is extended both ways: the up to
-eight 13-word windows around each occurrence are compared, and a document's window is a repeat
-when a document with a smaller id has it. Windows that follow one another chain into
-maximal repeats, given as word spans.
+"""Substring dedup: equal 13-word windows, chained to maximal repeats.
+
+Each document's 13-word windows are hashed to 64 bits, and a window is a repeat when a document with a smaller
+id has it. Windows that follow one another chain into maximal repeats, given as word spans.
+
+This takes the place of seed and extend: documents are not joined on anchors and no match is extended. A repeat
+of 13 words or more is a run of repeated windows, so comparing all windows gives the same spans and never lists pairs of
+occurrences. The winnowed anchor of a window (the least hash of its 6-word grams) only picks the range of the hash space
+that it goes to, which keeps neighbouring windows together and their positions cheap to pack. Different windows
+around one frequent anchor all go to that anchor's range; they are neither combined nor salted.
 
 Within a chunk of documents only a window's occurrences in the smallest document are asked about (the
 others repeat it already), so a passage of any number of documents costs a range one entry a chunk.
