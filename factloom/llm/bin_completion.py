@@ -51,11 +51,11 @@ def _dominates(a: Bin, b: Bin) -> bool:
 
 
 class _Search:
-    #: Largest items tried as the first of three.
-    leads = 24
+    #: Leads tried for a filling of three items or more of one sum.
+    most_steps = 200
 
     def __init__(self, counts: list[int], capacity: int) -> None:
-        self.counts, self.capacity = counts, capacity
+        self.counts, self.capacity, self.steps = counts, capacity, self.most_steps
         self.there = sum(1 << n for n, c in enumerate(counts) if c)
         self.mirror = sum(1 << (capacity - n) for n, c in enumerate(counts) if c)  # bit capacity - n for length n
 
@@ -100,20 +100,34 @@ class _Search:
             lead ^= 1 << a
         return best
 
-    def triples(self, total: int) -> Iterator[Bin]:
-        lead = self.there & ((1 << max(total - 1, 0)) - 1)
-        for _ in range(self.leads):
-            if not lead:
-                return
+    def many(self, total: int, most: int) -> Bin | None:
+        """The first filling of this very sum by three items or more, each `most` at most, larger ones first; None also when the steps are used up."""
+        lead = self.there & ((2 << max(min(most, total - 2), 0)) - 1)
+        while lead and self.steps:
+            self.steps -= 1
             a = lead.bit_length() - 1
-            if 3 * a < total:
-                return
             self.take(a)
-            found = next(self.pairs(total - a, a), None)
+            rest = next(self.pairs(total - a, a), None) or self.many(total - a, a)
             self.put(a)
-            if found:
-                yield (a, *found)
+            if rest:
+                return (a, *rest)
             lead ^= 1 << a
+        return None
+
+    def filled(self, items: Bin, room: int) -> Bin:
+        """The items and, as long as one fits beside them, the largest other that does."""
+        for n in items:
+            self.take(n)
+        room -= sum(items)
+        all_ = list(items)
+        while fit := self.there & ((2 << room) - 1):
+            n = fit.bit_length() - 1
+            self.take(n)
+            all_.append(n)
+            room -= n
+        for n in all_:
+            self.put(n)
+        return tuple(all_)
 
     def fillings(self, room: int, width: int) -> list[Bin]:
         """Undominated fillings of the room by increasing waste, `width` at most."""
@@ -131,11 +145,13 @@ class _Search:
         if not found and (pair := self.fullest_pair(room)):
             found = [pair]
         best = sum(found[0]) if found else single
-        for total in range(room, max(best, room - 8), -1):  # three items only where they waste less than two
-            if triple := next(self.triples(total), None):
-                found = [triple, *(f for f in found if not _dominates(triple, f))]
+        for total in range(room, max(best, room - 8), -1):  # more items only where they waste less than two
+            self.steps = self.most_steps
+            if more := self.many(total, total):
+                found = [more, *(f for f in found if not _dominates(more, f))]
                 break
-        return [*found, (single,)][:width]
+        options = dict.fromkeys(self.filled(f, room) for f in [*found, (single,)])
+        return sorted(options, key=sum, reverse=True)[:width]
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
+from factloom.llm import bin_completion
 from factloom.operators import graphs, text
 from factloom.plans import catalogue
 
@@ -130,3 +133,14 @@ def test_paths_deeper_than_100(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(103)], "src int, dst int").coalesce(1).cache()
     found = graphs.shortest_paths(edges, spark.createDataFrame([(0,)], "node int").coalesce(1))
     assert {r.node: r.depth for r in found.select("node", "depth").collect()} == {i: i for i in range(1, 104)}
+
+
+def test_bins_of_many_items():
+    """Full bins of 4 to 10 items each: best fit needs one more, and the search finds them."""
+    for seed in range(6):
+        rng = random.Random(seed)
+        ends = [sorted(rng.sample(range(1, 4096), rng.randint(3, 9))) for _ in range(60)]
+        lengths = np.array([b - a for e in ends for a, b in zip([0, *e], [*e, 4096], strict=True)])
+        found = bin_completion.bin_completion(lengths, 4096)
+        assert sorted(n for b in found for n in b) == sorted(lengths.tolist()) and max(map(sum, found)) <= 4096
+        assert len(found) == 60 < len(bin_completion.best_fit_decreasing(lengths, 4096))
