@@ -218,10 +218,11 @@ def _texts_with(words: Words, row: np.ndarray, toxic: np.ndarray) -> tuple[np.nd
     return n - hit, hit
 
 
-def choose_landmarks(words: Words, toxic: np.ndarray, count: int, alike: float = 0.8, share: float = 0.02) -> list[np.ndarray]:
+def choose_landmarks(words: Words, toxic: np.ndarray, count: int, alike: float = 0.8, least: int = 3) -> list[np.ndarray]:
     """Words that toxic texts have in many contexts and other texts hardly have, the clearest first, no two too much alike.
 
-    Contexts are the words before and after, so that copies of one text count once.
+    Contexts are the words before and after, so that copies of one text count once. Their least number is no share of
+    the toxic texts, since the words of a small language are a small share of these.
     """
     row = words.row_of_sentence[words.sentence]
     good, bad = _texts_with(words, row, toxic)
@@ -231,7 +232,7 @@ def choose_landmarks(words: Words, toxic: np.ndarray, count: int, alike: float =
     contexts = words.of[own][np.unique(key, return_index=True)[1]]
     varied = np.minimum(np.bincount(contexts, minlength=len(words.start)), bad)
     rate = (bad / max(toxic.sum(), 1) + 1e-6) / (good / max((1 - toxic).sum(), 1) + 1.0 / len(toxic))
-    clear = np.flatnonzero((words.length >= 5) & (varied >= max(2, share * toxic.sum())) & (rate > 8))
+    clear = np.flatnonzero((words.length >= 5) & (varied >= least) & (rate > 8))
     clear = clear[np.argsort(-(varied * np.log(rate))[clear], kind="stable")][: 8 * count]
     found = [words.symbols[words.start[i] : words.start[i] + words.length[i]] for i in clear]
     if not found:

@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 
-from factloom.llm import bin_completion
+from factloom.llm import bin_completion, string_kernel
+from factloom.llm.textcore import texts_of
 from factloom.operators import graphs, text
 from factloom.plans import catalogue
 
@@ -144,3 +146,20 @@ def test_bins_of_many_items():
         found = bin_completion.bin_completion(lengths, 4096)
         assert sorted(n for b in found for n in b) == sorted(lengths.tolist()) and max(map(sum, found)) <= 4096
         assert len(found) == 60 < len(bin_completion.best_fit_decreasing(lengths, 4096))
+
+
+def test_toxicity_of_a_small_language():
+    """Six of 306 toxic texts are in a language with a word of its own, less than 2 %."""
+    rng = random.Random(4)
+
+    def text_of(vowels: str, insult: str) -> str:
+        words = ["".join(rng.choice("bdfgklmnprst") + rng.choice(vowels) for _ in range(rng.randint(1, 4))) for _ in range(40)]
+        return " ".join([*words[:20], insult, *words[20:]])
+
+    many = [(text_of("aei", rng.choice(["worthless", "stupidly", "moronic"])), 1) for _ in range(300)]
+    few = [(text_of("ou", "quixjazvy"), 1) for _ in range(12)]
+    clean = [(text_of(v, "plain"), 0) for v in ("aei", "ou") for _ in range(400)]
+    rows = [*many, *few[:6], *clean[20:]]
+    m = string_kernel.fit(texts_of(pa.array([t for t, _ in rows])), np.array([y for _, y in rows]))
+    assert (m.score(texts_of(pa.array([t for t, _ in few[6:]]))) >= 0.5).all()
+    assert (m.score(texts_of(pa.array([t for t, _ in clean[:20]]))) < 0.5).all()
