@@ -2,13 +2,15 @@
 
 Fitted on a bounded sample of labelled texts (FIT_TEXTS) outside the held-out fifth; scored in one map.
 
-Defined cases: a null or empty text has one sentence without words and scores by the machine's bias. Repeated
+Defined cases: a null or empty text has no sentence and scores by the machine's bias, as does one without a letter or digit. Repeated
 rows get equal results. An empty table gives an empty result; without labels of both kinds every score is
 one constant under 0.5. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -21,8 +23,9 @@ from .string_kernel import StringKernelMachine, fit
 from .textcore import texts_of
 
 THRESHOLD, MODULUS, HELD_OUT = 0.5, 5, 0
-#: Labelled texts that the machine is fitted on, at most. They come to the driver.
+#: Labelled texts that the machine is fitted on, at most. They come to one task.
 FIT_TEXTS = 6_000
+_SAMPLE = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("text", pa.string())])
 
 
 @dataclass
@@ -31,9 +34,16 @@ class Toxicity:
 
     @classmethod
     def fit(cls, docs: DataFrame, labels: DataFrame, bound: int = FIT_TEXTS) -> Toxicity:
-        rows = labelled_texts(docs, labels, "toxic", MODULUS, HELD_OUT, bound).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
-        text = rows["text"].combine_chunks() if rows.num_rows else pa.array([], pa.string())
-        return cls(fit(texts_of(text), rows["y"].to_numpy()))
+        """The sample is bounded and goes to one task, which sends back the machine alone."""
+        sample = labelled_texts(docs, labels, "toxic", MODULUS, HELD_OUT, bound)
+
+        def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(batches, _SAMPLE).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+            machine = fit(texts_of(rows["text"].combine_chunks()), rows["y"].to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(machine)], pa.binary())], ["machine"])
+
+        raw = sample.repartition(1).mapInArrow(train, "machine binary").first()
+        return cls(pickle.loads(raw[0]) if raw else fit(texts_of(pa.array([], pa.string())), np.zeros(0, int)))
 
     def score_documents(self, docs: DataFrame) -> DataFrame:
         """doc_id, held_out, score, predicted."""

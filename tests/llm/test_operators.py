@@ -212,3 +212,38 @@ def test_sentence_pieces(docs):
     assert all(r.round_trip for r in sentence_pieces.encoding_digest(docs).collect())
     encoded = sentence_pieces.encode_documents(docs)
     assert {r.doc_id: r.text for r in sentence_pieces.decode_documents(encoded).collect()} == {i: t or "" for i, t in DOCS}
+
+
+def test_string_kernel_equals_brute_force():
+    from itertools import combinations
+
+    def features(word):
+        out = {}
+        for i, j, k in combinations(range(len(word)), 3):
+            if k - i <= string_kernel.REACH:
+                key = (word[i], word[j], word[k])
+                out[key] = out.get(key, 0) + string_kernel.DECAY ** (k - i + 1)
+        return out
+
+    def cosine(a, b):
+        dot = lambda x, y: sum(v * y.get(k, 0) for k, v in x.items())
+        return dot(a, b) / max(dot(a, a) * dot(b, b), 1e-24) ** 0.5
+
+    t = texts_of(pa.array(["idiot id-i.ot idiiiot moron morons banana ananas thereationing xyz"]))
+    w = string_kernel.read_words(t)
+    spans = [w.symbols[a : a + n] for a, n in zip(w.start, w.length, strict=True)]
+    marks = string_kernel.Landmarks(spans)
+    got = marks.kernel(w.symbols, w.start, w.length, exact=True)
+    want = np.array([[cosine(features(a.tolist()), features(b.tolist())) ** string_kernel.POWER for b in spans] for a in spans])
+    assert np.allclose(got, want, atol=1e-5) and np.linalg.eigvalsh(got.astype(float)).min() > -1e-6
+    loose = marks.kernel(w.symbols, w.start, w.length)
+    assert np.abs(loose - want).max() < string_kernel.SMALL**string_kernel.POWER
+
+
+def test_toxicity_edges(spark, labels):
+    rows = spark.createDataFrame([(None, "you moron"), (1, None), (2, ""), (3, "?!"), (4, "idiot " * 3000), (4, "idiot " * 3000)], "doc_id bigint, text string")
+    machine = toxicity.Toxicity.fit(rows, labels)
+    got = machine.score_documents(rows).collect()
+    assert len(got) == 6 and len({r.score for r in got if r.doc_id in (1, 2, 3)}) == 1 and not any(r.held_out for r in got if r.doc_id is None)
+    assert machine.score_documents(rows.where("false")).count() == 0
+    assert toxicity.Toxicity.fit(rows.where("false"), labels).score_documents(rows).count() == 6
