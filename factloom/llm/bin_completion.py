@@ -1,10 +1,9 @@
 """Bin completion: branch and bound over the fillings around the largest item.
 
-Items are a multiset of lengths. Each node takes the largest item left, enumerates
-undominated fillings of the room beside it in order of waste, and descends into the
-best first. A branch is cut when its waste exceeds what a solution better than the
-incumbent could afford. The first incumbent is best-fit decreasing; the search stops at
-a lower bound or after a given number of nodes, and returns the best solution so far.
+Items are a multiset of lengths. Each node takes the largest item left and enumerates the
+undominated fillings of the room beside it, of any number of items, in order of waste. A branch is cut when its waste
+exceeds what a solution better than the incumbent could afford. The first incumbent is best-fit decreasing; the search stops at
+a lower bound, when it has seen all branches, or after a given number of steps, and returns the best solution so far.
 
 Sets of lengths are the bits of one integer: "which a and t - a are both there" is one
 shift and one AND.
@@ -39,25 +38,13 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> list[Bin]:
     return [tuple(b) for b in bins]
 
 
-def _dominates(a: Bin, b: Bin) -> bool:
-    """Whether b's items fit, in groups, into a's items."""
-
-    def place(left: list[int], rest: Bin) -> bool:
-        if not rest:
-            return True
-        return any(place([*left[:i], left[i] - rest[0], *left[i + 1 :]], rest[1:]) for i in range(len(left)) if left[i] >= rest[0])
-
-    return len(a) <= len(b) and place(list(a), tuple(sorted(b, reverse=True)))
-
-
 class _Search:
-    #: Leads tried for a filling of three items or more of one sum.
-    most_steps = 200
+    """The items left, and the fillings that they allow."""
 
-    def __init__(self, counts: list[int], capacity: int) -> None:
-        self.counts, self.capacity, self.steps = counts, capacity, self.most_steps
-        self.there = sum(1 << n for n, c in enumerate(counts) if c)
-        self.mirror = sum(1 << (capacity - n) for n, c in enumerate(counts) if c)  # bit capacity - n for length n
+    def __init__(self, lengths: np.ndarray, capacity: int, steps: int) -> None:
+        self.counts, self.capacity, self.steps = np.bincount(lengths, minlength=capacity + 1).tolist(), capacity, steps
+        self.there = sum(1 << n for n, c in enumerate(self.counts) if c)
+        self.mirror = sum(1 << (capacity - n) for n, c in enumerate(self.counts) if c)  # bit capacity - n for length n
 
     def take(self, n: int) -> None:
         self.counts[n] -= 1
@@ -71,87 +58,70 @@ class _Search:
             self.mirror ^= 1 << (self.capacity - n)
         self.counts[n] += 1
 
-    def pairs(self, total: int, most: int) -> Iterator[Bin]:
-        """(a, b), a >= b, a <= most, a + b = total, larger a first."""
-        both = self.there & (self.mirror >> (self.capacity - total)) & ((2 << min(most, total - 1)) - 1)
+    def exact(self, total: int, most: int, used: Bin = (), least: int = 1) -> Iterator[Bin]:
+        """All multisets of `least` items or more, each `most` at most, that add up to total beside the used ones; items in descending order."""
+
+        def left(n: int) -> int:
+            return self.counts[n] - used.count(n)
+
+        if least <= 1 and total <= most and left(total) > 0:
+            yield (total,)
+        both = self.there & (self.mirror >> (self.capacity - total)) & ((2 << max(min(most, total - 1), 0)) - 1)
         while both:
             a = both.bit_length() - 1
             b = total - a
             if a < b:
-                return
-            if a > b or self.counts[a] > 1:
+                break
+            if left(a) > (a == b) and left(b) > 0:
                 yield a, b
             both ^= 1 << a
-
-    def fullest_pair(self, room: int) -> Bin | None:
-        """The pair of the largest sum within the room, where close sums have been ruled out and lengths are few."""
-        best: Bin | None = None
-        lead = self.there & ((1 << room) - 1)
-        while lead:
-            a = lead.bit_length() - 1
-            if best and 2 * a <= sum(best):
-                break
-            self.take(a)
-            if fit := self.there & ((2 << min(room - a, a)) - 1):
-                b = fit.bit_length() - 1
-                if not best or a + b > sum(best):
-                    best = a, b
-            self.put(a)
-            lead ^= 1 << a
-        return best
-
-    def many(self, total: int, most: int) -> Bin | None:
-        """The first filling of this very sum by three items or more, each `most` at most, larger ones first; None also when the steps are used up."""
         lead = self.there & ((2 << max(min(most, total - 2), 0)) - 1)
-        while lead and self.steps:
+        while lead and self.steps > 0:
             self.steps -= 1
             a = lead.bit_length() - 1
-            self.take(a)
-            rest = next(self.pairs(total - a, a), None) or self.many(total - a, a)
-            self.put(a)
-            if rest:
-                return (a, *rest)
+            if 3 * a < total and a * sum(self.counts[1 : a + 1]) < total:
+                break  # all items up to this length don't add up to the total
+            if left(a) > 0:
+                for rest in self.exact(total - a, a, (*used, a), 2):
+                    yield (a, *rest)
             lead ^= 1 << a
-        return None
 
-    def filled(self, items: Bin, room: int) -> Bin:
-        """The items and, as long as one fits beside them, the largest other that does."""
-        for n in items:
+    def dominated(self, filling: Bin, waste: int) -> bool:
+        """Whether an item left could take the place of none, one or several of the filling's within the waste: the
+        filling with that item leaves no worse items over."""
+        for n in filling:
             self.take(n)
-        room -= sum(items)
-        all_ = list(items)
-        while fit := self.there & ((2 << room) - 1):
-            n = fit.bit_length() - 1
-            self.take(n)
-            all_.append(n)
-            room -= n
-        for n in all_:
+        near, reach = self.there, 0  # bit s: an item of length s to s + reach is left
+        while reach < waste:
+            step = min(reach + 1, waste - reach)
+            near |= near >> step
+            reach += step
+        above = near if not waste else 0  # the same for s + 1 to s + waste
+        if waste:
+            above, reach = self.there >> 1, 0
+            while reach < waste - 1:
+                step = min(reach + 1, waste - 1 - reach)
+                above |= above >> step
+                reach += step
+        for n in filling:
             self.put(n)
-        return tuple(all_)
-
-    def fillings(self, room: int, width: int) -> list[Bin]:
-        """Undominated fillings of the room by increasing waste, `width` at most."""
-        fit = self.there & ((2 << room) - 1)
-        if not fit:
-            return [()]
-        single = fit.bit_length() - 1
-        if single == room:
-            return [(room,)]
-        found: list[Bin] = []
-        for total in range(room, max(single, room - 16), -1):
-            found += [f for _, f in zip(range(2), self.pairs(total, total), strict=False)]
-            if len(found) >= width or found and room - total > 8:
-                break
-        if not found and (pair := self.fullest_pair(room)):
-            found = [pair]
-        best = sum(found[0]) if found else single
-        for total in range(room, max(best, room - 8), -1):  # more items only where they waste less than two
-            self.steps = self.most_steps
-            if more := self.many(total, total):
-                found = [more, *(f for f in found if not _dominates(more, f))]
-                break
-        options = dict.fromkeys(self.filled(f, room) for f in [*found, (single,)])
-        return sorted(options, key=sum, reverse=True)[:width]
+        one = several = 0  # sums of single items, and of two or more
+        for n in filling:
+            several |= several << n | one << n
+            one |= 1 << n
+        return bool(several & near) or bool(waste and (one | 1) & above)
+
+    def fillings(self, room: int, most_waste: int) -> Iterator[tuple[Bin, int]]:
+        """Undominated fillings of the room beside the largest item, and their waste, by increasing waste."""
+        if not self.there & ((2 << room) - 1):
+            yield (), room
+            return
+        for waste in range(min(room - 1, most_waste) + 1):
+            for filling in self.exact(room - waste, room - waste):
+                if not self.dominated(filling, waste):
+                    yield filling, waste
+            if self.steps <= 0:
+                return
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
@@ -166,57 +136,47 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return int((alone + large + np.maximum(0, -(-over // capacity))).max())
 
 
-def bin_completion(lengths: np.ndarray, capacity: int, extra_nodes: int = 10_000, width: int = 3) -> list[Bin]:
-    """Bins as tuples of lengths. Lengths are 1 to capacity. Visits a node for each bin of the first
-    descent and extra_nodes more."""
+def bin_completion(lengths: np.ndarray, capacity: int, steps: int = 200_000) -> list[Bin]:
+    """Bins as tuples of lengths. Lengths are 1 to capacity. steps is the only limit of the search: nodes visited and leads tried."""
     incumbent = best_fit_decreasing(lengths, capacity)
-    volume = int(lengths.sum())
-    bound = lower_bound(lengths, capacity)
+    volume, bound = int(lengths.sum()), lower_bound(lengths, capacity)
     if len(incumbent) <= bound:
         return incumbent
-    nodes = len(incumbent) + extra_nodes
-    search = _Search(np.bincount(lengths, minlength=capacity + 1).tolist(), capacity)
-    path: list[tuple[int, list[Bin], int, Bin, int]] = []  # largest item, fillings left, next one, filling taken, its waste
-    waste, visited = 0, 0
+    search = _Search(lengths, capacity, steps)
+    path: list[Bin] = []  # bins filled so far, the largest item first
+    waste: list[int] = [0]
+
+    def affordable() -> int:
+        return (len(incumbent) - 1) * capacity - volume - waste[-1]
 
-    def node() -> tuple[int, list[Bin]]:
+    def node() -> tuple[int, Iterator[tuple[Bin, int]]]:
         top = search.there.bit_length() - 1
         search.take(top)
-        return top, search.fillings(capacity - top, width)
+        return top, search.fillings(capacity - top, affordable())
 
-    pending: tuple[int, list[Bin], int] | None = (*node(), 0)
-    while visited < nodes:
-        if pending is None:  # back to the deepest open choice
-            if not path:
-                break
-            top, options, k, taken, lost = path.pop()
-            for n in taken:
+    open_ = [node()]
+    while open_ and search.steps > 0:
+        if len(path) == len(open_):  # back from below: undo the filling
+            for n in path.pop()[1:]:
                 search.put(n)
-            waste -= lost
-            pending = (top, options, k)
-        top, options, k = pending
-        affordable = (len(incumbent) - 1) * capacity - volume
-        while k < len(options) and waste + capacity - top - sum(options[k]) > affordable:
-            k += 1
-        if k == len(options):
+            waste.pop()
+        top, options = open_[-1]
+        filling, lost = next(options, (None, 0))
+        search.steps -= 1
+        if filling is None or lost > affordable():
             search.put(top)
-            pending = None
+            open_.pop()
             continue
-        visited += 1
-        taken = options[k]
-        for n in taken:
+        for n in filling:
             search.take(n)
-        lost = capacity - top - sum(taken)
-        waste += lost
-        path.append((top, options, k + 1, taken, lost))
+        path.append((top, *filling))
+        waste.append(waste[-1] + lost)
         if search.there:
-            pending = (*node(), 0)
-        else:
-            if len(path) < len(incumbent):
-                incumbent = [(t, *f) for t, _, _, f, _ in path]
-                if len(incumbent) <= bound:
-                    break
-            pending = None
+            open_.append(node())
+        elif len(path) < len(incumbent):
+            incumbent = list(path)
+            if len(incumbent) <= bound:
+                break
     return incumbent
 
 
