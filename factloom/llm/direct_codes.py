@@ -13,7 +13,6 @@ each level its length (i8), chunks (u1 or u2), bitmap bytes and directory (u4).
 from __future__ import annotations
 
 import struct
-import uuid
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text, shared_folder
+from .common import id_and_text, new_folder
 from .subwords import ID, ChunkEncoder, public_path
 
 MAGIC = b"DACT0001"
@@ -30,6 +29,7 @@ _HEAD = struct.Struct("<8sBBHIQ")
 _BLOCK = 512
 SEGMENT_TOKENS = 1 << 20
 END_ID = 0
+_FILE = "part bigint, segment bigint, part_start bigint, tokens bigint, first_doc bigint, last_doc bigint, raw binary"
 
 
 @dataclass
@@ -120,13 +120,12 @@ class Segment:
 def write_codes(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID, segment_tokens: int = SEGMENT_TOKENS) -> None:
     """Encodes every text and writes the segments, in ascending order of doc_id (null first, ties by row), below folder.
 
-    The files are rows of a Parquet table (part, segment, part_start, raw), so that any store Spark can
+    The files are rows of a Parquet table (part, segment, part_start, tokens, first_doc, last_doc, raw), so that any store Spark can
     write to will do. A segment holds about segment_tokens tokens, and a longer document alone.
     """
     path = path or public_path("byte_bpe_50k.json")
     end = np.array([end_id], ID).tobytes()
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
 
     def run(batches):
         from pyspark import TaskContext
@@ -141,7 +140,8 @@ def write_codes(docs: DataFrame, folder: str, path: str | None = None, end_id: i
             sizes = np.array([len(h) // 4 for h in held], np.int64)
             starts = np.concatenate([[0], np.cumsum(sizes)])
             raw = Segment.of(np.array(ids, np.int64), starts, np.frombuffer(b"".join(held), ID)).to_bytes()
-            out = pa.RecordBatch.from_arrays([pa.array([part]), pa.array([number]), pa.array([start]), pa.array([int(starts[-1])]), pa.array([raw], pa.binary())], ["part", "segment", "part_start", "tokens", "raw"])
+            numbers = [part, number, start, int(starts[-1]), ids[0], ids[-1]]
+            out = pa.RecordBatch.from_arrays([*(pa.array([n], pa.int64()) for n in numbers), pa.array([raw], pa.binary())], _FILE.replace(" bigint", "").replace(" binary", "").split(", "))
             number, start = number + 1, start + int(starts[-1])
             ids.clear(), held.clear()
             return out
@@ -159,7 +159,7 @@ def write_codes(docs: DataFrame, folder: str, path: str | None = None, end_id: i
 
     rows = id_and_text(docs).withColumn("row", F.monotonically_increasing_id())
     ordered = rows.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "text")
-    ordered.mapInArrow(run, "part bigint, segment bigint, part_start bigint, tokens bigint, raw binary").write.parquet(folder)
+    ordered.mapInArrow(run, _FILE).write.parquet(folder)
 
 
 #: How a null doc_id is written: the least 64-bit integer.
@@ -187,23 +187,26 @@ def read_codes(spark: SparkSession, folder: str) -> DataFrame:
                 docs = pa.array(s.docs, mask=s.docs == _NULL_ID)
                 yield pa.RecordBatch.from_arrays([docs, pa.array(starts[:-1] + base), pa.array(np.diff(starts)), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     return files.select("part", "part_start", "raw").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def tokens_at(spark: SparkSession, folder: str, doc_id: int, places: list[int]) -> list[int]:
-    """Single tokens of one document by direct access; reads the segments, decodes none."""
-    for row in spark.read.parquet(folder).select("raw").toLocalIterator():
-        s = Segment.from_bytes(row[0])
-        if len(at := np.flatnonzero(s.docs == doc_id)):
-            return [s.access(int(s.starts[at[0]]) + p) for p in places]
-    return []
+    """Single tokens of one document by direct access, in a task that reads the segments whose range of ids has the document and decodes none."""
+
+    def run(batches):
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                s = Segment.from_bytes(raw)
+                for at in np.flatnonzero(s.docs == doc_id).tolist():
+                    out = [s.access(int(s.starts[at]) + p) for p in places if s.starts[at] + p < s.starts[at + 1]]
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["token"])
+
+    near = spark.read.parquet(folder).where(F.lit(doc_id).between(F.col("first_doc"), F.col("last_doc")))
+    return [r[0] for r in near.select("raw").mapInArrow(run, "token bigint").collect()]
 
 
 def write_and_read(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Through files in a new folder of the shared one."""
-    spark = docs.sparkSession
-    shared_folder(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/codes-{uuid.uuid4().hex}"
+    folder = new_folder(docs.sparkSession, "codes")
     write_codes(docs, folder, path)
-    return read_codes(spark, folder)
+    return read_codes(docs.sparkSession, folder)

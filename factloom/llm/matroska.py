@@ -121,6 +121,10 @@ class _Reader:
         return kind, None if n == (1 << 7 * width) - 1 else n
 
 
+#: By length; an empty float is zero.
+_FLOATS = {0: "", 4: ">f", 8: ">d"}
+
+
 def parse(raw: bytes) -> Media:
     """The packet table of a file. Raises ValueError on bytes that are no Matroska."""
     r, m, cluster = _Reader(raw), Media(), 0
@@ -159,7 +163,9 @@ def parse(raw: bytes) -> Media:
         elif kind == CODEC and m.tracks:
             m.tracks[-1][kind] = raw[body : r.at].decode("ascii", "replace")
         elif kind == RATE and m.tracks:
-            m.tracks[-1][kind] = struct.unpack(">d" if n == 8 else ">f", raw[body : r.at])[0]
+            if n not in _FLOATS:
+                raise ValueError("a float of no legal length")
+            m.tracks[-1][kind] = struct.unpack(_FLOATS[n], raw[body : r.at])[0] if n else 0.0
         elif kind in (CUE_TIME, CUE_TRACK, CUE_CLUSTER) and m.cues:
             m.cues[-1][kind] = int.from_bytes(raw[body : r.at], "big")
     step = {t.get(TRACK_NUMBER): int(t.get(DEFAULT_DURATION, 0)) for t in m.tracks}
@@ -183,6 +189,8 @@ def _frames(raw: bytes, body: int, n: int, cluster: int, key: bool | None, step:
         count = raw[r.at] + 1
         r.at += 1
         if lacing == FIXED:
+            if (end - r.at) % count:
+                raise ValueError("a fixed-size lace doesn't divide its block")
             sizes = [(end - r.at) // count] * count
         else:
             sizes = []

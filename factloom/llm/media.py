@@ -7,6 +7,7 @@ rows each get theirs; empty tables give empty results. Columns other than those
 
 from __future__ import annotations
 
+import struct
 from hashlib import sha256
 from zlib import crc32
 
@@ -43,7 +44,7 @@ def packet_table(media: DataFrame) -> DataFrame:
                 try:
                     m, error = parse(raw or b""), None
                     columns = [m.track, m.time_ns, m.offset, m.size, m.key, m.lacing]
-                except (ValueError, IndexError) as e:
+                except (ValueError, IndexError, struct.error) as e:
                     error, columns = str(e), [[None]] * 6
                 n = len(columns[0])
                 kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32())
@@ -52,7 +53,6 @@ def packet_table(media: DataFrame) -> DataFrame:
                     ["doc_id", "packet", "track", "time_ns", "offset", "size", "keyframe", "lacing", "error"],
                 )
 
-    media.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     return media.select("doc_id", "media").mapInArrow(run, PACKETS)
 
 

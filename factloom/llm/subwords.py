@@ -34,7 +34,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cut, self.held, self.size = CUTS[kind], held, 0
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -47,6 +47,16 @@ class ChunkEncoder:
         return cls._made[path, kind]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """The library's ids of each text. A text that spells out an added token goes to the library whole."""
+        spelt = {i: t for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        if spelt:
+            texts = ["" if i in spelt else t for i, t in enumerate(texts)]
+        out = self._by_chunks(texts)
+        for i, t in spelt.items():
+            out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, ID).tobytes()
+        return out
+
+    def _by_chunks(self, texts: list[str]) -> list[bytes]:
         chunks = [self.cut.findall(t) for t in texts]
         missing = list(set().union(*chunks) - self.young.keys())
         for c in [c for c in missing if c in self.old]:
