@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Labelled rows that a model is fitted on, at most; the rows with the least hash of their id are taken.
 FIT_ROWS = 20_000
-BATCH_ROWS = "1024"
+#: Text that a function of map_batches() sees at a time; a longer text is alone.
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,26 +22,71 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> None:
-    """Makes checkpoint() usable: the cluster's spark.checkpoint.dir, or a temporary folder where it is unset (tests)."""
+    """Makes sure of a shared folder: the cluster's spark.checkpoint.dir, or a temporary folder where it is unset and all runs on one machine."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="factloom-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="factloom-"))
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A folder below the shared one, known to release()."""
+    shared_folder(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{kind}-{uuid4().hex}"
+    _written.append(folder)
+    return folder
+
+
+#: Folders that this process has written below the shared one.
+_written: list[str] = []
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Deletes what kept() and other writers here have written so far; results that weren't read yet are lost with it.
+
+    since: how many folders to leave, as counted by written() before."""
+    while len(_written) > since:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written() -> int:
+    return len(_written)
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """Written to the shared folder: later steps read it, and lost executors lose nothing of it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """A table in the shared folder: later steps read it, and lost executors lose nothing of it. Unlike checkpoint(), it computes df once."""
+    return kept_and_counted(df)[0]
+
+
+def kept_and_counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """The same, with sums over its rows that are taken while it is written; n is their number."""
+    spark, seen = df.sparkSession, Observation()
+    folder = new_folder(spark, "kept")
+    sums = [F.count(F.lit(1)).alias("n"), *(c.alias(name) for name, c in counts.items())]
+    df.observe(seen, *sums).write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder), {k: int(v or 0) for k, v in seen.get.items()}
+
+
+def clear_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for added columns that no column of df has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while f"__{name}" in taken:
+            name += "_"
+        out.append(f"__{name}")
+    return out
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Applies fn to slices of bounded text size."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from factloom.llm.textcore import slices
 
-        for batch in slices(batches):
+        for batch in slices(batches, max_bytes=slice_bytes):
             if (out := fn(batch)) is not None:
                 yield out
 

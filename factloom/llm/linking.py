@@ -3,8 +3,8 @@
 Buckets say which items may be similar (rows key, id). A link counts only when the exact
 Jaccard similarity of the two items' token sets passes. Large groups of near copies are not
 expanded into pairs: in rounds, each item is tested against one leader of the buckets it
-shares, buckets whose members are all in one component drop out, and only pairs that still
-lie in different components are listed at the end, so no link between components is lost.
+shares, buckets whose members are all in one component drop out, and at the end only pairs are listed that still
+lie in different components and that no bound on their similarity rules out; so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -17,35 +17,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept
-
-#: A bucket with more items is of the frequent class: its items are indexed by pairs of keys.
-FREQUENT = 16
+from .common import kept, kept_and_counted
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of edges (a, b): component is the least node reachable. Nodes without an edge are absent.
 
-    Each round hooks every root onto its least neighbour, jumps pointers until they rest, and contracts
-    the edges, which at least halves the roots of every component that isn't done.
+    Each round every node points to its least neighbour, pointers jump to the fourth ancestor, and edges are
+    relabelled by it. The edge from a node to the one that it points to becomes the edge from its ancestor to where that points,
+    so nothing comes apart, and the nodes with edges at least halve in every component that isn't done.
     """
-    e = kept(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    order = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
+    e, n = kept_and_counted(edges.select(*order).where("a <> b").distinct())
     whole: DataFrame | None = None
-    while not e.isEmpty():
+    while n["n"]:
         both = e.union(e.select(F.col("b"), F.col("a")))
-        parent = kept(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("p")))
-        while True:
-            up = parent.select(F.col("node").alias("p"), F.col("p").alias("pp"))
-            jumped = kept(parent.join(up, "p").select("node", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")))
-            parent = jumped.select("node", "p")
-            if jumped.where("moved").isEmpty():
-                break
+        parent = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("p"))
+        for _ in range(2):
+            parent = parent.join(parent.select(F.col("node").alias("p"), F.col("p").alias("pp")), "p").select("node", F.col("pp").alias("p"))
+        parent = kept(parent)
         if whole is None:
             whole = parent.select("node", F.col("p").alias("component"))
         else:
             whole = whole.join(parent.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("p", "component").alias("component"))
         a, b = (parent.select(F.col("node").alias(c), F.col("p").alias(f"p{c}")) for c in "ab")
-        e = kept(e.join(a, "a").join(b, "b").select(F.greatest("pa", "pb").alias("a"), F.least("pa", "pb").alias("b")).where("a <> b").distinct())
+        moved = e.join(a, "a").join(b, "b").select(F.greatest("pa", "pb").alias("a"), F.least("pa", "pb").alias("b")).where("a <> b")
+        e, n = kept_and_counted(moved.distinct())
     return kept(whole) if whole is not None else e.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
@@ -53,102 +50,177 @@ def stored(tokens: list[bytes]) -> list[np.ndarray]:
     return [np.frombuffer(t, "<u8") for t in tokens]
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int, read: Callable[[list[bytes]], list[np.ndarray]] = stored) -> DataFrame:
-    """Of pairs (a, b), those with 100 * |A and B| >= percent * |A or B|, with the similarity.
+def _in_common(x: np.ndarray, y: np.ndarray) -> int:
+    if len(x) > len(y):
+        x, y = y, x
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0
+
+
+def verify(pairs: DataFrame, sets: DataFrame, percent: int, read: Callable[[list[bytes]], list[np.ndarray]] = stored, extras: bool = False) -> DataFrame:
+    """Of pairs (a, b), how many tokens they have in common, and whether 100 * |A and B| >= percent * |A or B|: a, b, same, ok.
 
     sets: id, n (set size), tokens; read makes sorted unsigned 64-bit values of tokens, of which those that no other item
-    has may be left out.
+    has may be left out. extras: adds the tokens of b that a hasn't, if a has half of b's or more.
     """
     a = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     b = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    near = pairs.join(a, "a").join(b, "b").where(F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)"))
 
     def run(batches):
         for batch in batches:
-            na, nb = batch.column(2).to_numpy(), batch.column(4).to_numpy()
-            same = np.zeros(len(na), np.int64)
-            for i, (x, y) in enumerate(zip(read(batch.column(3).to_pylist()), read(batch.column(5).to_pylist()), strict=True)):
-                if len(x) > len(y):
-                    x, y = y, x
-                if len(y):
-                    same[i] = (y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()
-            either = na + nb - same
-            ok = 100 * same >= percent * either
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same / np.maximum(either, 1))], ["a", "b", "similarity"])
-            yield out.filter(pa.array(ok))
-
-    near.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
-    return near.select("a", "b", "na", "ta", "nb", "tb").mapInArrow(run, "a bigint, b bigint, similarity double")
-
-
-def _labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Rows (key, id, n, own, c) of the buckets that span components, with their leader: the item with the fewest
-    tokens of its own, which lies most in the middle of its near copies."""
-    rows = buckets.withColumn("c", F.col("id")) if labels is None else buckets.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", "n", "own", F.coalesce("component", "id").alias("c"))
-    spans = rows.groupBy("key").agg(F.min(F.struct("own", "id", "c")).alias("lead"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    return rows.join(spans.select("key", F.col("lead.id").alias("leader"), F.col("lead.c").alias("lc"), "size"), "key")
-
-
-def _different(buckets: DataFrame) -> DataFrame:
+            ids = [np.asarray(batch.column(i).to_numpy()) for i in (0, 1)]
+            known, first = np.unique(np.concatenate(ids), return_index=True)  # an item of many pairs is read once
+            raw = [batch.column(3), batch.column(5)]
+            items = read([raw[k // batch.num_rows][k % batch.num_rows].as_py() for k in first.tolist()])
+            x, y = (np.searchsorted(known, i).tolist() for i in ids)
+            same = np.fromiter((_in_common(items[i], items[j]) for i, j in zip(x, y, strict=True)), np.int64, len(x))
+            nb = batch.column(4).to_numpy()
+            ok = 100 * same >= percent * (batch.column(2).to_numpy() + nb - same)
+            columns = [batch.column(0), batch.column(1), pa.array(same), pa.array(ok)]
+            if extras:
+                more = [np.setdiff1d(items[j], items[i], True).view(np.int64) if 2 * k >= n else None for i, j, k, n in zip(x, y, same.tolist(), nb.tolist(), strict=True)]
+                columns.append(pa.array(more, pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "same", "ok", "extra"][: len(columns)])
+
+    near = pairs.join(a, "a").join(b, "b")
+    return near.select("a", "b", "na", "ta", "nb", "tb").mapInArrow(run, "a bigint, b bigint, same bigint, ok boolean" + ", extra array<bigint>" * extras)
+
+
+def different(buckets: DataFrame) -> DataFrame:
     """One bucket of those with the same items, none with a single one."""
-    items = buckets.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("sum")).where("size > 1")
+    sums = [F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("sum")]
+    items = buckets.groupBy("key").agg(F.count("*").alias("size"), *sums).where("size > 1")
     one = items.groupBy("size", "lo", "hi", "sum").agg(F.min("key").alias("key")).select("key")
     return buckets.join(one, "key", "left_semi")
 
 
-def _cross(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of rows (key, id, n, own, c) that share a key, lie in different components and are not ruled out by
-    their sizes: what the two have in common is at most n - own of either, and either's own tokens are apart."""
-    x = rows.select("key", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("own").alias("oa"))
-    y = rows.select("key", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("own").alias("ob"))
-    most = "least(na - oa, nb - ob)"
-    return x.join(y, (x["key"] == y["key"]) & F.expr(f"ca < cb and 100 * {most} >= {percent} * ({most} + greatest(oa, na - {most}) + greatest(ob, nb - {most}))")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-
-def link(buckets: DataFrame, sets: DataFrame, percent: int, frequent: int = FREQUENT, combine: bool = True, read: Callable[[list[bytes]], list[np.ndarray]] = stored) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b, similarity) that were verified, and the components (node, component) of all links that there are.
-
-    buckets: distinct rows (key, id). sets: id, n, own (tokens that no other item has), tokens as verify() takes them. combine: two linked items share two keys or more, so items of
-    frequent keys are indexed by pairs of keys. Every pair of items that share a bucket (or a
-    pair of keys) ends in one component or was tested.
+def _largest(rows: DataFrame) -> DataFrame:
+    """(key, main): each bucket's component of most items."""
+    parts = rows.groupBy("key", "c").agg(F.count("*").alias("k"))
+    return parts.groupBy("key").agg(F.max(F.struct("k", "c")).alias("m")).select("key", F.col("m.c").alias("main"))
+
+
+def _open(buckets: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
+    """Rows (key, id, r, c) of the buckets that span components, with the bucket's leader. The first leader is the
+    item with the fewest tokens of its own, which lies most in the middle of its near copies; later ones are any, by turns
+    one outside the bucket's largest component and one from all."""
+    named = buckets.withColumn("c", F.col("id"))
+    if labels is not None:
+        named = buckets.join(labels.select(F.col("node").alias("id"), "component"), "id", "left")
+        named = named.select(*buckets.columns, F.coalesce("component", "id").alias("c"))
+    order = [F.col("r"), F.col("id")] if turn == 0 else [F.xxhash64("id", F.lit(turn)), F.col("id")]
+    if turn % 2:
+        named = named.join(_largest(named), "key")
+        order = [F.col("c") == F.col("main"), *order]
+    lead = F.min(F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), F.col("id").alias("leader"), F.col("c").alias("lc"))).alias("lead")
+    spans = named.groupBy("key").agg(lead, F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+    return named.select(*buckets.columns, "c").join(spans.select("key", "lead.leader", "lead.lc"), "key")
+
+
+def may_link(percent: int) -> str:
+    """Whether the sizes of two items a and b allow a link: what they have in common is at most n - r of
+    either, and either's own r tokens are apart."""
+    most = "least(na - ra, nb - rb)"
+    return f"100 * {most} >= {percent} * ({most} + greatest(ra, na - {most}) + greatest(rb, nb - {most}))"
+
+
+def _by_pivot(percent: int) -> str:
+    """Whether two items may link without a common token besides those of a pivot p that both have been compared with: they
+    have at most as many of the pivot's tokens in common as the one that has fewer."""
+    return f"(pa is null or pb is null or pa <> pb or 100 * least(sa, sb) >= {percent} * (na + nb - least(sa, sb)))"
+
+
+def beside_pivot(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of rows (id, c, n, p, s, extra) of one pivot and different components that link if all of the pivot's tokens that either
+    has are common: the tokens that they have in common besides are counted."""
+    token = rows.where("p is not null").select("p", "id", "c", "n", "s", F.explode("extra").alias("token"))
+    x, y = (token.select("p", "token", *(F.col(c).alias(f"{c}{s}") for c in ("id", "c", "n", "s"))) for s in "ab")
+    most = "least(sa, sb) + least(na - sa, nb - sb)"
+    on = (x["p"] == y["p"]) & (x["token"] == y["token"]) & F.expr(f"ida < idb and ca <> cb and 100 * ({most}) >= {percent} * (na + nb - ({most}))")
+    same = x.join(y, on).groupBy(F.col("ida").alias("a"), F.col("idb").alias("b"), (F.col("na") + F.col("nb")).alias("n"), F.least("sa", "sb").alias("s")).agg(F.count("*").alias("e"))
+    return same.where(f"100 * (s + e) >= {percent} * (n - s - e)").select("a", "b")
+
+
+def cross(rows: DataFrame, about: DataFrame, may: str) -> DataFrame:
+    """Pairs (a, b) of rows (key, id, c) that share a key, lie in different components and are not ruled out by `may` over what is known about them. Each
+    bucket's largest component is not paired with itself."""
+    largest = _largest(rows)
+    named = rows.join(largest, "key").join(about, "id")
+    names = [c for c in about.columns if c != "id"]
+    x, y = (named.select("key", F.col("id").alias(s), F.col("c").alias(f"c{s}"), F.col("main").alias(f"main{s}"), *(F.col(n).alias(f"{n}{s}") for n in names)) for s in "ab")
+    on = (x["key"] == y["key"]) & F.expr(f"ca <> cb and (cb = mainb or ca < cb) and {may}")
+    return x.where("ca <> maina").join(y, on).select(x["key"], F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def link(
+    buckets: DataFrame,
+    sets: DataFrame,
+    percent: int,
+    may: str | None = None,
+    small: DataFrame | None = None,
+    counted: int = 1,
+    read: Callable[[list[bytes]], list[np.ndarray]] = stored,
+) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) that were verified, and the components (node, component) of all links that there are.
+
+    buckets: distinct rows (key, id) of any size. sets: id, n, r (tokens that no item has in common by a bucket), near (what `may`, an expression over na, ra, neara
+    and nb, rb, nearb, asks besides), tokens as verify() takes them. counted: two linked items share so many buckets. small: rows (key, id) of buckets of bounded size, whose
+    pairs are all listed, with own (tokens that no other item has) in the place of r.
+    Every pair of items that share a bucket ends in one component, was ruled out by a bound, or was tested.
     """
-    if not combine:
-        buckets = kept(_different(buckets))
+    may = may or may_link(percent)
     found: list[DataFrame] = []
     tested: list[DataFrame] = []
     labels: DataFrame | None = None
-    open_ = kept(_labelled(buckets.join(sets.select("id", "n", "own"), "id").select("key", "id", "n", "own"), None))
-    sets = kept(sets.join(open_.select("id").distinct().hint("shuffle_hash"), "id", "left_semi").select("id", "n", "tokens"))
-    going = True
-    while going and not open_.isEmpty():
+    pivots: DataFrame | None = None
+    about = sets.select("id", "n", "r", "near")
+    # an item whose shared tokens can't make up a link with any other is in no bucket
+    able = about.where(f"100 * (n - r) >= {percent} * n")
+    open_, n = kept_and_counted(_open(buckets.join(able.select("id", "r"), "id").select("key", "id", "r"), None, 0))
+    turn, going = 0, True
+    while going and n["n"]:
         asked = open_.where("c <> lc").groupBy(F.col("id").alias("b"), F.col("leader").alias("a")).agg(F.count("*").alias("shared"))
+        if turn:
+            x, y = (about.select(F.col("id").alias(s), *(F.col(c).alias(f"{c}{s}") for c in ("n", "r", "near"))) for s in "ab")
+            asked = asked.join(x, "a").join(y, "b").where(may).select("a", "b", "shared")
         if tested:
             asked = asked.join(reduce(DataFrame.unionByName, tested), ["a", "b"], "left_anti")
-        pairs = kept(asked.groupBy("b").agg(F.max(F.struct("shared", F.negative("a").alias("less"))).alias("m")).select(F.negative("m.less").alias("a"), "b"))
-        tested.append(pairs)
-        links = kept(verify(pairs, sets, percent, read))
-        linked = links.count()
-        if not linked:
+        pairs = asked.groupBy("b").agg(F.max(F.struct("shared", F.negative("a").alias("less"))).alias("m")).select(F.negative("m.less").alias("a"), "b")
+        results, told = kept_and_counted(verify(pairs, sets, percent, read, extras=not turn), linked=F.count_if("ok"))
+        tested.append(results.select("a", "b"))
+        if turn == 0:
+            pivots = results.where("extra is not null").select(F.col("b").alias("id"), F.col("a").alias("p"), F.col("same").alias("s"), "extra")
+        turn += 1
+        if not told["linked"]:
             break
-        # rounds go on while leaders catch most of what they are asked of; the rest is few
-        going = 2 * linked >= pairs.count()
-        found.append(links)
-        labels = components(reduce(DataFrame.unionByName, found))
-        open_ = kept(_labelled(open_.select("key", "id", "n", "own"), labels))
-    rare = open_.where(F.col("size") <= frequent) if combine else open_
-    pairs = _cross(rare, percent)
-    if combine:
-        common = open_.where(F.col("size") > frequent).groupBy("id", "n", "own", "c").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-        two = common.select("id", "n", "own", "c", F.explode(F.expr("flatten(transform(keys, (x, i) -> transform(slice(keys, i + 2, size(keys)), y -> struct(x, y))))")).alias("key"))
-        pairs = pairs.unionByName(_cross(two, percent))
-    pairs = pairs.distinct()
+        going = turn < 3 or 8 * told["linked"] >= told["n"]  # what leaders leave is listed under the bounds
+        found.append(results.where("ok").select("a", "b"))
+        # what is linked already is its component's; only its edges to the least member are needed from here on
+        stars = [labels.select(F.col("node").alias("a"), F.col("component").alias("b"))] if labels is not None else []
+        labels = components(reduce(DataFrame.unionByName, [*stars, found[-1]]))
+        open_, n = kept_and_counted(_open(open_.select("key", "id", "r"), labels, turn))
+    more, besides = about, None
+    if pivots is not None:
+        more = about.join(pivots.drop("extra"), "id", "left")
+        may = f"{may} and {_by_pivot(percent)}"
+        besides = beside_pivot(open_.select("id", "c").distinct().join(about.select("id", "n"), "id").join(pivots, "id"), percent)
+    pairs = cross(open_.select("key", "id", "c"), more, may)
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("k")).where(f"k >= {counted}").select("a", "b") if counted > 1 else pairs.select("a", "b")
+    pairs = (pairs if besides is None else pairs.unionByName(besides)).distinct()
+    if small is not None:
+        few = different(small).join(sets.select("id", "n", F.col("own").alias("r")), "id").withColumn("c", F.col("id"))
+        if labels is not None:
+            few = few.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+        x, y = (few.select("key", F.col("id").alias(s), F.col("c").alias(f"c{s}"), F.col("n").alias(f"n{s}"), F.col("r").alias(f"r{s}")) for s in "ab")
+        listed = x.join(y, (x["key"] == y["key"]) & F.expr(f"a < b and ca <> cb and {may_link(percent)}")).select("a", "b")
+        pairs = pairs.unionByName(listed).distinct()
     if tested:
         done = reduce(DataFrame.unionByName, tested).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = pairs.join(done, ["a", "b"], "left_anti")
-    links = kept(verify(pairs, sets, percent, read))
-    if not links.isEmpty():
+    links, told = kept_and_counted(verify(pairs, sets, percent, read).where("ok").select("a", "b"))
+    if told["n"]:
         found.append(links)
-        labels = components(reduce(DataFrame.unionByName, found))
+        stars = [labels.select(F.col("node").alias("a"), F.col("component").alias("b"))] if labels is not None else []
+        labels = components(reduce(DataFrame.unionByName, [*stars, links]))
     if labels is None:
         return links, links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return reduce(DataFrame.unionByName, found), labels

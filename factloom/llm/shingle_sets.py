@@ -12,15 +12,14 @@ is dealt once with their number, so that a hot shingle costs a range a few entri
 
 from __future__ import annotations
 
-import pickle
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_batches
+from .common import id_and_text
+from .exchange import DIRECT, cuts, exchange, lot_of
 from .packed import expand, squeeze
 from .textcore import U64, grams, hash_spans, mix, texts_of, words_of
 
@@ -29,6 +28,8 @@ SHINGLE, PERCENT = 5, 75
 RANGE_BYTES = 12 << 20
 #: A shingle of more documents of one chunk is dealt as one entry with their number.
 HOT = 12
+#: A shingle of more documents (copies of one set within a chunk are one) is of the frequent class.
+FREQUENT = 16
 LOW48 = U64((1 << 48) - 1)
 
 
@@ -43,9 +44,9 @@ def unpack48(raw: bytes) -> np.ndarray:
 
 
 def range_count(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> int:
-    """Ranges in proportion to the whole text; 16 bits of the hash tell them apart."""
+    """Ranges in proportion to the whole text."""
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    return int(min(max(1, -(-size // range_bytes)), 1 << 16))
+    return max(1, -(-size // range_bytes))
 
 
 def shingle_sets(text: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -81,16 +82,16 @@ def _add_by_row(v: np.ndarray, first: np.ndarray) -> np.ndarray:
     return c[first[1:]] - c[first[:-1]]
 
 
-def shared_sets(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> DataFrame:
-    """A row for each document: doc_id, n (set size), f1, f2 (fingerprint of the set), tokens, prefix.
+def shared_sets(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE, range_bytes: int = RANGE_BYTES, direct: int = DIRECT) -> DataFrame:
+    """A row for each document: doc_id, text_key, n (set size), f1, f2 (fingerprint of the set), tokens, r, prefix, rare.
 
-    tokens (sorted unsigned 64-bit values) and prefix are null unless the document is the first of
-    its set in its chunk and enough of its shingles are shared for a link. prefix: the rarest shared shingles,
-    in an order that is the same for all documents, so many that two linked documents have two or more in common.
+    tokens (sorted unsigned 64-bit values) and what follows are null unless the document is the first of
+    its set in its chunk and enough of its shingles are shared for a link. r: shingles that FREQUENT documents or fewer have.
+    prefix: the rarest shared shingles, in an order that is the same for all documents, so many that two linked documents have two or more
+    in common; the first `rare` of them are no frequent ones.
     """
-    ranges = range_count(docs)
 
-    def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def deal(batch: pa.RecordBatch) -> tuple[object, dict[int, object]]:
         ids = batch.column(0).to_pylist()
         h, first = shingle_sets(batch.column(1), n)
         size = np.diff(first)
@@ -102,30 +103,27 @@ def shared_sets(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> Da
         row = np.repeat(np.arange(len(ids), dtype=np.uint16), size)
         use = rep[row]
         h, row = h[use], row[use]
-        at = ((h >> U64(48)) * U64(ranges) >> U64(16)).astype(np.int64)
-        order = np.lexsort((h & LOW48, at))
-        h, row, at = h[order] & LOW48, row[order], at[order]
+        order = np.argsort(h, kind="stable")
+        h, row = h[order], row[order]
+        at = lot_of(h, ranges)
+        h &= LOW48
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (at[1:] != at[:-1])
         start = np.flatnonzero(new)
         count = np.diff(np.append(start, len(h)))
         hot = count > HOT
         inside = np.repeat(hot, count)
-        alone = np.flatnonzero(~inside)
-        many, weight = start[hot], count[hot]
-        chunk = int(mix(np.array([batch.num_rows], U64))[0] >> U64(1)) ^ batch_number(ids, f1, f2)
-        rows = [(chunk, -1, pickle.dumps((ids, size, f1, f2, rep, pack48(h[inside]), row[inside])))]
-        cut_a, cut_m = np.searchsorted(at[alone], np.arange(ranges + 1)), np.searchsorted(at[many], np.arange(ranges + 1))
-        for r in np.unique(at[start]).tolist():
-            a, m = alone[cut_a[r] : cut_a[r + 1]], slice(cut_m[r], cut_m[r + 1])
+        asked = {}
+        for r, s in cuts(at):
+            a = np.arange(s.start, s.stop)[~inside[s]]
             a = a[np.argsort(row[a], kind="stable")]
-            rows.append((chunk, r, pickle.dumps((pack48(h[a]), _row_counts(row[a]), pack48(h[many[m]]), squeeze(weight[m].astype(np.uint32))))))
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.binary())], ["chunk", "at", "raw"])
+            m = slice(*np.searchsorted(start, [s.start, s.stop]))
+            many = start[m][hot[m]]
+            asked[r] = (pack48(h[a]), _row_counts(row[a]), pack48(h[many]), squeeze(count[m][hot[m]].astype(np.uint32)))
+        return (ids, batch.column(2).to_pylist(), size, f1, f2, rep, pack48(h[inside]), row[inside]), asked
 
-    def count(group: pd.DataFrame) -> pd.DataFrame:
-        if group["at"].iloc[0] < 0:
-            return group[["chunk", "at", "raw"]]
-        parts = [(p[0], expand(p[1]), p[2], expand(p[3])) for p in map(pickle.loads, group["raw"])]
+    def answer(_: int, asked: list) -> list:
+        parts = [(p[0], expand(p[1]), p[2], expand(p[3])) for p in asked]
         token = np.concatenate([unpack48(x) for p in parts for x in (p[0], p[2])])
         weight = np.concatenate([x for p in parts for x in (np.ones(len(p[0]) // 6, np.uint32), p[3])])
         order = np.argsort(token, kind="stable")
@@ -144,13 +142,11 @@ def shared_sets(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> Da
             a += len(p[3])
             yes = alone > 1
             rows = np.repeat(np.arange(len(p[1])), p[1])[yes]
-            out.append(pickle.dumps((pack48(unpack48(p[0])[yes]), _row_counts(rows), alone[yes].tobytes(), p[2], many.tobytes())))
-        return pd.DataFrame({"chunk": group["chunk"].to_numpy(), "at": group["at"].to_numpy(), "raw": out})
+            out.append((pack48(unpack48(p[0])[yes]), _row_counts(rows), alone[yes].tobytes(), p[2], many.tobytes()) if yes.any() or len(p[2]) else None)
+        return out
 
-    def gather(group: pd.DataFrame) -> pd.DataFrame:
-        own = group["at"].to_numpy() < 0
-        ids, size, f1, f2, rep, raw, row = pickle.loads(group["raw"][own].iloc[0])
-        parts = [pickle.loads(r) for r in group["raw"][~own]]
+    def gather(own: tuple, parts: list) -> pd.DataFrame:
+        ids, keys, size, f1, f2, rep, raw, row = own
         many = unpack48(b"".join(p[3] for p in parts))
         many_df = np.frombuffer(b"".join(p[4] for p in parts), np.uint8)
         order = np.argsort(many)
@@ -161,37 +157,20 @@ def shared_sets(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> Da
         at = np.concatenate([*(np.repeat(np.arange(len(c)), c) for c in counts), row]).astype(np.int64)
         df = np.concatenate([np.frombuffer(b"".join(p[2] for p in parts), np.uint8), local_df])
         order = np.lexsort((token, df, at))
-        token, first = token[order], np.searchsorted(at[order], np.arange(len(ids) + 1))
-        tokens, prefix = [], []
+        token, df, first = token[order], df[order], np.searchsorted(at[order], np.arange(len(ids) + 1))
+        out = []
         for i in range(len(ids)):
-            t = token[first[i] : first[i + 1]]
+            t, d = token[first[i] : first[i + 1]], df[first[i] : first[i + 1]]
             if not rep[i] or 100 * len(t) < percent * size[i]:
-                tokens.append(None), prefix.append(None)
+                out.append((None, None, None, None))
                 continue
             # two more than the places that may differ, less the shingles of this document alone, which come first
             reach = int(size[i]) - -(-percent * int(size[i]) // 100) + 2 - (int(size[i]) - len(t))
-            tokens.append(np.sort(t).astype("<u8").tobytes()), prefix.append(t[:reach].astype(np.int64))
-        return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n": size, "f1": f1.view(np.int64), "f2": f2.view(np.int64), "tokens": tokens, "prefix": prefix})
-
-    dealt = map_batches(id_and_text(docs), deal, "chunk bigint, at bigint, raw binary")
-    spread = F.when(F.col("at") < 0, F.pmod(F.xxhash64("chunk"), F.lit(ranges)) - ranges - 1).otherwise(F.col("at")).alias("lot")
-
-    def counted(group: pd.DataFrame) -> pd.DataFrame:
-        own = group[group["at"] < 0]
-        return own[["chunk", "at", "raw"]] if len(own) else count(group)
-
-    answers = dealt.withColumn("lot", spread).groupBy("lot").applyInPandas(counted, "chunk bigint, at bigint, raw binary")
-    return answers.groupBy("chunk").applyInPandas(gather, "doc_id bigint, n bigint, f1 bigint, f2 bigint, tokens binary, prefix array<bigint>")
-
-
-def batch_number(ids: list, f1: np.ndarray, f2: np.ndarray) -> int:
-    """A number for this chunk: it hangs on the task, the place in it and the chunk's content, so a repeated task gives it again."""
-    from pyspark import TaskContext
-
-    context = TaskContext.get()
-    part = context.partitionId() if context else 0
-    seen = getattr(batch_number, "seen", (None, 0))
-    key = (context.taskAttemptId(), part) if context else (0, 0)
-    batch_number.seen = (key, seen[1] + 1 if seen[0] == key else 0)
-    content = int(np.bitwise_xor.reduce(mix(f1 + f2 + U64(1)))) if len(f1) else 0
-    return int(mix(np.array([(content ^ (part << 32) ^ (batch_number.seen[1] << 8)) & ((1 << 64) - 1)], U64))[0] >> U64(2))
+            out.append((np.sort(t).astype("<u8").tobytes(), int(size[i] - (d > FREQUENT).sum()), t[:reach].astype(np.int64), int((d[:reach] <= FREQUENT).sum())))
+        tokens, r, prefix, rare = zip(*out, strict=True)
+        return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "text_key": keys, "n": size, "f1": f1.view(np.int64), "f2": f2.view(np.int64), "tokens": tokens, "r": pd.array(r, "Int64"), "prefix": prefix, "rare": pd.array(rare, "Int64")})
+
+    ranges = range_count(docs, range_bytes)
+    rows = id_and_text(docs).withColumn("text_key", F.xxhash64("text"))
+    schema = "doc_id bigint, text_key bigint, n bigint, f1 bigint, f2 bigint, tokens binary, r bigint, prefix array<bigint>, rare bigint"
+    return exchange(rows, ranges, deal, answer, gather, schema, direct=direct)

@@ -18,8 +18,8 @@ import xxhash
 
 U64 = np.uint64
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Spans longer than this are hashed one by one, so that a huge span costs one call.
@@ -61,15 +61,15 @@ def texts_of(column: pa.Array) -> Texts:
     return Texts(raw[offs[0] : offs[-1]], offs - offs[0])
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that each holds about max_bytes of text; a longer text is alone."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 4 << 20, max_rows: int = 8192) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that each holds about max_bytes of text in max_rows rows at most; a longer text is alone."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
         if not len(sizes):
             continue
         begin, held = 0, 0
         for i, n in enumerate(sizes.tolist()):
-            if held and held + n > max_bytes:
+            if i > begin and (held + n > max_bytes or i - begin >= max_rows):
                 yield batch.slice(begin, i - begin)
                 begin, held = i, 0
             held += n
@@ -94,7 +94,7 @@ class Spans:
 
 
 def words_of(t: Texts) -> Spans:
-    inside = ~_SPACE[t.data]
+    inside = ~SPACE[t.data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     edge = t.offs[1:-1]
