@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 from uuid import uuid4
@@ -80,8 +81,15 @@ def clear_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """Applies fn to slices of bounded text size."""
+def give_back() -> None:
+    """Returns freed memory to the system, so that Python workers that wait for their next task don't hold it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, slice_bytes: int = SLICE_BYTES, done: Callable[[], None] | None = None) -> DataFrame:
+    """Applies fn to slices of bounded text size. done: called at the end of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from factloom.llm.textcore import slices
@@ -89,6 +97,9 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
         for batch in slices(batches, max_bytes=slice_bytes):
             if (out := fn(batch)) is not None:
                 yield out
+        if done:
+            done()
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text, new_folder
+from .common import give_back, id_and_text, new_folder
 from .subwords import ID, ChunkEncoder, public_path
 
 MAGIC = b"DACT0001"
@@ -156,6 +156,8 @@ def write_codes(docs: DataFrame, folder: str, path: str | None = None, end_id: i
                     size = 0
         if held:
             yield flush()
+        encoder.forget()
+        give_back()
 
     rows = id_and_text(docs).withColumn("row", F.monotonically_increasing_id())
     ordered = rows.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "text")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, kept, map_batches
+from .common import SLICE_BYTES, give_back, kept, map_batches
 from .packed import expand, squeeze  # noqa: F401
 from .textcore import U64, texts_of
 
@@ -148,6 +148,8 @@ def exchange(
         asked = [x for raw in group["raw"] for x in pickle.loads(raw)]
         replies = answer(at, [x for _, x in asked])
         rows = [(chunk, at, pickle.dumps(r, protocol=5)) for (chunk, _), r in zip(asked, replies, strict=True) if r is not None]
+        del asked, replies
+        give_back()
         return pd.DataFrame({c: [r[i] for r in rows] for i, c in enumerate(_NAMES)}, columns=_NAMES)
 
     def gathered(group: pd.DataFrame) -> pd.DataFrame:

@@ -49,7 +49,8 @@ def tokenised_pieces(docs: DataFrame, path: str | None = None, capacity: int = C
         keep = 6 if with_ids else 5
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns[:keep], kinds, strict=False)], names[:keep])
 
-    return map_batches(id_and_text(docs), one, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids)
+    done = lambda: ChunkEncoder.of(path, "word").forget()
+    return map_batches(id_and_text(docs), one, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids, done=done)
 
 
 def _pack(pieces: DataFrame, groups: int, capacity: int, level: int) -> DataFrame:

@@ -29,7 +29,7 @@ class ChunkEncoder:
 
     _made: dict[tuple[str, str], ChunkEncoder] = {}
 
-    def __init__(self, path: str, kind: str, held: int = 4_000_000) -> None:
+    def __init__(self, path: str, kind: str, held: int = 2_500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -56,6 +56,10 @@ class ChunkEncoder:
             out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, ID).tobytes()
         return out
 
+    def forget(self) -> None:
+        """Empties the cache, at the end of a task."""
+        self.young, self.old, self.size = {}, {}, 0
+
     def _by_chunks(self, texts: list[str]) -> list[bytes]:
         chunks = [self.cut.findall(t) for t in texts]
         missing = list(set().union(*chunks) - self.young.keys())
