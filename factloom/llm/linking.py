@@ -17,7 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, kept_and_counted
+from .common import give_back, kept, kept_and_counted
+
+
+#: Pairs whose items' tokens a task holds at a time.
+SLICE_PAIRS = 1024
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -65,21 +69,26 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, read: Callable[[list
     a = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     b = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
 
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids = [np.asarray(batch.column(i).to_numpy()) for i in (0, 1)]
+        known, first = np.unique(np.concatenate(ids), return_index=True)  # an item of many pairs is read once
+        raw = [batch.column(3), batch.column(5)]
+        items = read([raw[k // batch.num_rows][k % batch.num_rows].as_py() for k in first.tolist()])
+        x, y = (np.searchsorted(known, i).tolist() for i in ids)
+        same = np.fromiter((_in_common(items[i], items[j]) for i, j in zip(x, y, strict=True)), np.int64, len(x))
+        nb = batch.column(4).to_numpy()
+        ok = 100 * same >= percent * (batch.column(2).to_numpy() + nb - same)
+        columns = [batch.column(0), batch.column(1), pa.array(same), pa.array(ok)]
+        if extras:
+            more = [np.setdiff1d(items[j], items[i], True).view(np.int64) if 2 * k >= n else None for i, j, k, n in zip(x, y, same.tolist(), nb.tolist(), strict=True)]
+            columns.append(pa.array(more, pa.list_(pa.int64())))
+        return pa.RecordBatch.from_arrays(columns, ["a", "b", "same", "ok", "extra"][: len(columns)])
+
     def run(batches):
         for batch in batches:
-            ids = [np.asarray(batch.column(i).to_numpy()) for i in (0, 1)]
-            known, first = np.unique(np.concatenate(ids), return_index=True)  # an item of many pairs is read once
-            raw = [batch.column(3), batch.column(5)]
-            items = read([raw[k // batch.num_rows][k % batch.num_rows].as_py() for k in first.tolist()])
-            x, y = (np.searchsorted(known, i).tolist() for i in ids)
-            same = np.fromiter((_in_common(items[i], items[j]) for i, j in zip(x, y, strict=True)), np.int64, len(x))
-            nb = batch.column(4).to_numpy()
-            ok = 100 * same >= percent * (batch.column(2).to_numpy() + nb - same)
-            columns = [batch.column(0), batch.column(1), pa.array(same), pa.array(ok)]
-            if extras:
-                more = [np.setdiff1d(items[j], items[i], True).view(np.int64) if 2 * k >= n else None for i, j, k, n in zip(x, y, same.tolist(), nb.tolist(), strict=True)]
-                columns.append(pa.array(more, pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "same", "ok", "extra"][: len(columns)])
+            for at in range(0, batch.num_rows, SLICE_PAIRS):
+                yield one(batch.slice(at, SLICE_PAIRS))
+        give_back()
 
     near = pairs.join(a, "a").join(b, "b")
     return near.select("a", "b", "na", "ta", "nb", "tb").mapInArrow(run, "a bigint, b bigint, same bigint, ok boolean" + ", extra array<bigint>" * extras)

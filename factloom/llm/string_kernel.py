@@ -279,7 +279,7 @@ def _families_with(item: np.ndarray, items: int, family: np.ndarray, row: np.nda
     return counts
 
 
-def choose_landmarks(words: Words, toxic: np.ndarray, count: int, alike: float = 0.8, chance: float = 1e-4) -> tuple[list[np.ndarray], np.ndarray]:
+def choose_landmarks(words: Words, toxic: np.ndarray, count: int, alike: float = 0.8, chance: float = 1e-3) -> tuple[list[np.ndarray], np.ndarray]:
     """Landmarks, and which of the distinct words are or begin as sure ones: words and beginnings of words that toxic texts have and others hardly have, the surest first, no two too much alike.
 
     Near copies count as one text. One is sure when, by Chernoff's bound, so many toxic ones among the texts that
