@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: Severities in order, and the weights that they deduct.
 SEVERITIES = ("Info", "Warn", "Fail")
 WEIGHTS = {"Fail": 10, "Warn": 3}
+#: Least scores of the grades; below is F.
+GRADES = ((90, "A"), (80, "B"), (70, "C"), (60, "D"))
 #: Evidence classes; all but the last gate.
 CLASSES = ("derived_fact", "bounded_semantic", "external_measurement", "heuristic")
 
@@ -70,18 +72,40 @@ def health_score(findings: DataFrame, loc: DataFrame, multipliers: DataFrame | N
     sums = rows.groupBy("grp").agg(F.count_if(F.col("severity") == "Fail").alias("fails"), F.count_if(F.col("severity") == "Warn").alias("warns"), F.sum(weight * F.coalesce("multiplier", F.lit(1.0))).alias("deduction"))
     all_ = loc.join(sums, "grp", "left").withColumns({"fails": F.coalesce("fails", F.lit(0)), "warns": F.coalesce("warns", F.lit(0)), "deduction": F.coalesce("deduction", F.lit(0.0))})
     score = F.when(F.col("loc") > 0, F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 - F.col("deduction") * 1000 / F.col("loc"))))
-    grade = F.when(F.col("score").isNull(), "unavailable").when(F.col("score") >= 90, "A").when(F.col("score") >= 75, "B").when(F.col("score") >= 60, "C").when(F.col("score") >= 40, "D").otherwise("F")
-    return all_.withColumn("score", F.round(score, 4)).select("grp", "fails", "warns", "score", grade.alias("grade"))
+    grade = F.when(F.col("score").isNull(), "unavailable")
+    for least, letter in GRADES:
+        grade = grade.when(F.col("score") >= least, letter)
+    return all_.withColumn("score", F.round(score, 4)).select("grp", "fails", "warns", "score", grade.otherwise("F").alias("grade"))
 
 
-def trend(now: DataFrame, before: DataFrame) -> DataFrame:
-    """grp, state (comparable or why not), change (null unless comparable)."""
-    b = before.select("grp", F.col("score").alias("old"))
+def trend(now: DataFrame, before: DataFrame, formula: int = 2) -> DataFrame:
+    """grp, state, change (null unless comparable).
+
+    before: grp, score, formula_version, same_profiles, loc. State: comparable, or the first reason against it: missing_score_context (the baseline has no formula
+    version), formula_version_changed, profiles_changed, baseline_loc_unavailable.
+    """
+    b = before.select("grp", F.col("score").alias("old"), "formula_version", "same_profiles", "loc")
     rows = now.join(b, "grp", "left")
-    state = F.when(F.col("score").isNull(), "no_current_score").when(F.col("old").isNull(), "no_baseline_score").otherwise("comparable")
+    state = (
+        F.when(F.col("formula_version").isNull(), "missing_score_context")
+        .when(F.col("formula_version") != formula, "formula_version_changed")
+        .when(~F.coalesce("same_profiles", F.lit(False)), "profiles_changed")
+        .when(F.coalesce("loc", F.lit(0)) == 0, "baseline_loc_unavailable")
+        .otherwise("comparable")
+    )
     return rows.select("grp", state.alias("state"), F.round(F.when(state == "comparable", F.col("score") - F.col("old")), 4).alias("change"))
 
 
+def combined_verdict(verdict: str, gates_: str) -> Column:
+    """The three-state verdict and an array of gate results in one: a failed gate fails, one with a small sample says nothing."""
+    return F.when((F.col(verdict) == "fail") | F.array_contains(gates_, "fail"), "fail").otherwise(F.col(verdict))
+
+
+def exit_code(verdict: str, errors: str) -> Column:
+    """0 clean, 1 the verdict failed, 2 a real error."""
+    return F.when(F.col(errors) > 0, 2).when(F.col(verdict) == "fail", 1).otherwise(0)
+
+
 def outside_ranges(rows: DataFrame, ranges: DataFrame, bin_width: int = 64) -> DataFrame:
     """rows (file, line) not within a range (file, from_line, to_line) of the same file: a binned range anti join."""
     spread = ranges.withColumn("bin", F.explode(F.sequence(F.floor(F.col("from_line") / bin_width), F.floor(F.col("to_line") / bin_width))))

@@ -5,16 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Known secret formats, first match wins.
+from ..functions.names import family, normalised
+
+#: Known secret formats, over the whole value; first match wins.
 SECRETS = (
-    ("aws_access_key", r"AKIA[0-9A-Z]{16}"),
-    ("github_token", r"gh[pousr]_[A-Za-z0-9]{36}"),
-    ("slack_token", r"xox[baprs]-[A-Za-z0-9-]{10,}"),
-    ("google_api_key", r"AIza[0-9A-Za-z_-]{35}"),
-    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    ("aws_access_key_id", r"\AAKIA[A-Z0-9]{16}\z"),
+    ("github_token", r"\A(?:ghp_|gho_|ghu_|ghs_|ghr_)[A-Za-z0-9]{36}\z"),
+    ("slack_token", r"(?s)\A(?:xoxb-|xoxp-|xoxa-|xoxr-|xoxs-).{15,}\z"),
+    ("google_api_key", r"\AAIza[A-Za-z0-9_-]{35}\z"),
+    ("pem_private_key", r"(?s)\A(?=.*-----BEGIN)(?=.*PRIVATE KEY-----)"),
 )
 #: Parts of names that hint at a secret.
-SUSPICIOUS = ("secret", "password", "passwd", "token", "api_key", "apikey", "private_key", "credential", "auth", "access_key", "client_secret")
+SUSPICIOUS = (
+    "secret",
+    "password",
+    "passwd",
+    "token",
+    "apikey",
+    "api_key",
+    "access_key",
+    "private_key",
+    "client_secret",
+    "auth_token",
+    "credential",
+)
 
 
 def entropy(rows: DataFrame, key: str, value: str) -> DataFrame:
@@ -76,21 +90,22 @@ def chains(steps: DataFrame, least: int = 3) -> DataFrame:
 
 
 def near_names(names: DataFrame, popular: DataFrame, least: int = 6) -> DataFrame:
-    """name, nearest: declared names at edit distance 1 of a popular one, family pairs (one is the other and an underscore) excluded.
+    """name, nearest: declared names of `least` bytes or more at edit distance 1 of a popular one, as names.normalised() has them; names of one family
+    (equal, or one is the other and an underscore with more) are left out. Of several popular names the first counts, by their column ord or by name.
 
     Two names at distance 1 share their text with one character left out, so the join is on those variants instead of all pairs.
     """
+    order = "ord" if "ord" in popular.columns else "name"
 
     def variants(df: DataFrame, column: str) -> DataFrame:
-        cut = F.transform(F.sequence(F.lit(1), F.length(column)), lambda i: F.concat(F.expr(f"substring({column}, 1, 0)"), F.substring(F.col(column), F.lit(1), i - 1), F.substring(F.col(column), i + 1, F.length(column))))
-        return df.select(column, F.explode(F.array_distinct(F.array_append(cut, F.col(column)))).alias("v"))
-
-    a = variants(names.select(F.col("name")).where(F.length("name") >= least).distinct(), "name")
-    b = variants(popular.select(F.col("name").alias("nearest")).distinct(), "nearest")
-    pairs = a.join(b, "v").select("name", "nearest").distinct().where((F.levenshtein("name", "nearest") == 1))
-    family = F.startswith("name", F.concat("nearest", F.lit("_"))) | F.startswith("nearest", F.concat("name", F.lit("_")))
-    known = popular.select("name").distinct()
-    return pairs.where(~family).join(known, "name", "left_anti").groupBy("name").agg(F.min("nearest").alias("nearest"))
+        c = F.col(column)
+        cut = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
+        return df.where(F.length(c) > 0).select("*", F.explode(F.array_distinct(F.array_append(cut, c))).alias("v"))
+
+    a = variants(names.where(F.octet_length("name") >= least).select("name", normalised("name").alias("n")).distinct(), "n")
+    b = variants(popular.select(F.col("name").alias("nearest"), normalised("name").alias("m"), F.col(order).alias("ord")).distinct(), "m")
+    pairs = a.join(b, "v").select("name", "nearest", "n", "m", "ord").distinct().where(F.levenshtein("n", "m") == 1)
+    return pairs.where(~family("n", "m")).groupBy("name").agg(F.min_by("nearest", "ord").alias("nearest"))
 
 
 def clone_spans(token_rows: DataFrame, least: int = 20) -> DataFrame:

@@ -6,13 +6,13 @@ import pytest
 
 from factloom.functions import rust_source
 from factloom.operators import decide, graphs, history, registry
-from factloom.plans import catalogue, rules
+from factloom.plans import catalogue, rule_queries, rules  # noqa: F401
 from factloom.sources import readers, writers
 from factloom.streaming.findings import churn_windows
 from tests.oracle import compare
 
 DATA = "/root/testdata/sf0.001"
-FAST = [q for q in catalogue.ORACLES if q not in {"conversational_phrases"}]
+FAST = list(catalogue.ORACLES)
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")

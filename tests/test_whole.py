@@ -4,11 +4,6 @@ from __future__ import annotations
 
 import random
 
-import numpy as np
-import pyarrow as pa
-
-from factloom.llm import bin_completion, string_kernel
-from factloom.llm.textcore import texts_of
 from factloom.operators import graphs, text
 from factloom.plans import catalogue
 
@@ -45,11 +40,11 @@ def test_name_collision_from_six_letters(spark, tmp_path):
     for name, rows in (("documents", names), ("benchmark", popular)):
         spark.createDataFrame([(" ".join(sorted(rows)[i::3]),) for i in range(3)], "text string").write.parquet(str(tmp_path / f"{name}.parquet"))
     want = {}
-    for n in names - popular:
+    for n in names:
         near = [p for p in popular if distance(n, p) == 1]
         if len(n) >= 6 and near:
             want[n] = min(near)
-    got = {r.name: r.nearest for r in catalogue.name_collision_all(spark, str(tmp_path)).collect()}
+    got = {r.name: r.nearest for r in catalogue.name_collision_levenshtein(spark, str(tmp_path)).collect()}
     assert got == want and {6, 7, 8, 9} <= set(map(len, want))
 
 
@@ -135,31 +130,3 @@ def test_paths_deeper_than_100(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(103)], "src int, dst int").coalesce(1).cache()
     found = graphs.shortest_paths(edges, spark.createDataFrame([(0,)], "node int").coalesce(1))
     assert {r.node: r.depth for r in found.select("node", "depth").collect()} == {i: i for i in range(1, 104)}
-
-
-def test_bins_of_many_items():
-    """Full bins of 4 to 10 items each: best fit needs one more, and the search finds them."""
-    for seed in range(6):
-        rng = random.Random(seed)
-        ends = [sorted(rng.sample(range(1, 4096), rng.randint(3, 9))) for _ in range(60)]
-        lengths = np.array([b - a for e in ends for a, b in zip([0, *e], [*e, 4096], strict=True)])
-        found = bin_completion.bin_completion(lengths, 4096)
-        assert sorted(n for b in found for n in b) == sorted(lengths.tolist()) and max(map(sum, found)) <= 4096
-        assert len(found) == 60 < len(bin_completion.best_fit_decreasing(lengths, 4096))
-
-
-def test_toxicity_of_a_small_language():
-    """Six of 306 toxic texts are in a language with a word of its own, less than 2 %."""
-    rng = random.Random(4)
-
-    def text_of(vowels: str, insult: str) -> str:
-        words = ["".join(rng.choice("bdfgklmnprst") + rng.choice(vowels) for _ in range(rng.randint(1, 4))) for _ in range(40)]
-        return " ".join([*words[:20], insult, *words[20:]])
-
-    many = [(text_of("aei", rng.choice(["worthless", "stupidly", "moronic"])), 1) for _ in range(300)]
-    few = [(text_of("ou", "quixjazvy"), 1) for _ in range(12)]
-    clean = [(text_of(v, "plain"), 0) for v in ("aei", "ou") for _ in range(400)]
-    rows = [*many, *few[:6], *clean[20:]]
-    m = string_kernel.fit(texts_of(pa.array([t for t, _ in rows])), np.array([y for _, y in rows]))
-    assert (m.score(texts_of(pa.array([t for t, _ in few[6:]]))) >= 0.5).all()
-    assert (m.score(texts_of(pa.array([t for t, _ in clean[:20]]))) < 0.5).all()
