@@ -53,6 +53,13 @@ def release(spark: SparkSession, since: int = 0) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release_all_but_last(spark: SparkSession, since: int) -> None:
+    """Deletes what has been written since, but for the last folder."""
+    last = _written.pop()
+    release(spark, since)
+    _written.append(last)
+
+
 def written() -> int:
     return len(_written)
 
