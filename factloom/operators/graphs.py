@@ -34,10 +34,22 @@ def shortest_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return known if known is not None else frontier.withColumn("depth", F.lit(0))
 
 
+def closure(edges: DataFrame) -> DataFrame:
+    """src, dst: all pairs that a path joins, a node with itself over a cycle. Each round joins what is known with itself, so rounds grow with the logarithm of the depth."""
+    known = kept(edges.select("src", "dst").distinct())
+    n = known.count()
+    while True:
+        further = known.select("src", F.col("dst").alias("via")).join(known.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst")
+        known = kept(known.unionByName(further).distinct())
+        if (m := known.count()) == n:
+            return known
+        n = m
+
+
 def closure_size(edges: DataFrame) -> DataFrame:
     """node, reachable: how many nodes it reaches; itself counts if it lies on a cycle."""
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    counts = shortest_paths(edges, nodes).groupBy(F.col("start").alias("node")).agg(F.count("*").alias("reachable"))
+    counts = closure(edges).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("reachable"))
     return nodes.join(counts, "node", "left").select("node", F.coalesce("reachable", F.lit(0)).alias("reachable"))
 
 

@@ -7,7 +7,7 @@ Every operator is one declarative plan; aggregation is partial before each shuff
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -81,21 +81,30 @@ def fragmentation(blame: DataFrame, authors: int = 4, share: float = 0.35, lines
     return per.where((F.col("authors") >= authors) & (F.col("s") < share) & (F.col("lines") >= lines)).select("file", "authors", "lines", F.round("s", 6).alias("top_share"), "top_authors")
 
 
+def _sizes(files: DataFrame, *order: Column) -> DataFrame:
+    """grp, size, k (files of that size), before (files of the group ahead of that size in order): counts first, so a window holds the distinct sizes of a group."""
+    w = Window.partitionBy("grp").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    counts = files.groupBy("grp", "size").agg(F.count("*").alias("k"))
+    return counts.withColumn("before", F.coalesce(F.sum("k").over(w), F.lit(0)))
+
+
 def gini(files: DataFrame) -> DataFrame:
     """grp, n, gini of size: 0 for one file or no size."""
-    rank = Window.partitionBy("grp").orderBy("size", "file")
-    ranked = files.withColumn("i", F.row_number().over(rank))
-    s = ranked.groupBy("grp").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.sum(F.col("i") * F.col("size")).alias("weighted"))
+    k, before = F.col("k"), F.col("before")
+    ranks = before * k + (k * (k + 1) / 2).cast("bigint")  # the sum of the ranks of equal sizes
+    s = _sizes(files, F.col("size")).groupBy("grp").agg(F.sum("k").alias("n"), F.sum(k * F.col("size")).alias("total"), F.sum(ranks * F.col("size")).alias("weighted"))
     value = F.when((F.col("n") <= 1) | (F.col("total") == 0), F.lit(0.0)).otherwise(2 * F.col("weighted") / (F.col("n") * F.col("total")) - (F.col("n") + 1) / F.col("n"))
     return s.select("grp", "n", F.round(value, 6).alias("gini"))
 
 
 def size_outliers(files: DataFrame, least: float = 0.6) -> DataFrame:
-    """Files in the largest tenth of a group of uneven sizes."""
-    order = Window.partitionBy("grp").orderBy(F.desc("size"), "file")
+    """Files in the largest tenth of a group of uneven sizes; of equal sizes at the edge the first ones by file."""
     uneven = gini(files).where(F.col("gini") > least)
-    rows = files.withColumn("r", F.row_number().over(order)).join(uneven, "grp")
-    return rows.where(F.col("r") <= F.col("n") - F.floor(F.col("n") * 9 / 10)).select("file", "grp", "size", "gini")
+    sizes = _sizes(files, F.desc("size")).join(uneven, "grp").withColumn("most", F.col("n") - F.floor(F.col("n") * 9 / 10))
+    rows = files.join(sizes.where("before < most"), ["grp", "size"])
+    whole = rows.where("before + k <= most")
+    edge = rows.where("before + k > most").withColumn("r", F.row_number().over(Window.partitionBy("grp", "size").orderBy("file"))).where("before + r <= most").drop("r")
+    return whole.unionByName(edge).select("file", "grp", "size", "gini")
 
 
 def change_coupling(touches: DataFrame, layer_of: DataFrame, least: int = 5, ratio: float = 0.6) -> DataFrame:

@@ -8,22 +8,31 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rust_source import source_kind
+from ..operators.findings import migrated
 
 FINDING = "id string, rule string, severity string, location struct<file: string, line: int, item_path: string>, evidence_class string, origin string, evidence string, caused_by array<string>, causes array<string>"
 
 
 def source_files(spark: SparkSession, root: str) -> DataFrame:
-    """file, text, kind of all Rust files below root, without build output and dot folders."""
+    """file, text, kind of all Rust files below root, without build output, dot folders and packages nested in it (folders with a manifest of their own)."""
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.rs").option("wholetext", True).text(root).withColumn("file", F.col("_metadata.file_path"))
     rel = F.regexp_replace("file", r"^file:/+", "/")
-    return rows.select(rel.alias("file"), F.col("value").alias("text")).where(~F.col("file").rlike(r"/(target|\.[^/]+)/")).withColumn("kind", source_kind("text"))
+    files = rows.select(rel.alias("file"), F.col("value").alias("text")).where(~F.col("file").rlike(r"/(target|\.[^/]+)/")).withColumn("kind", source_kind("text"))
+    top = root.removeprefix("file://").rstrip("/")
+    manifests = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "Cargo.toml").load(root).select(F.regexp_replace("path", r"^file:/+", "/").alias("m"))
+    nested = manifests.select(F.regexp_replace("m", "[^/]*$", "").alias("folder")).where(F.col("folder") != f"{top}/")
+    # each file asks for its own folders, so files and manifests meet on equal folders
+    parts = F.split("file", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/")))
+    within = files.select("file", F.explode(above).alias("folder")).join(nested, "folder", "left_semi").select("file").distinct()
+    return files.join(within, "file", "left_anti")
 
 
 def lcov(spark: SparkSession, path: str, root: str = "") -> DataFrame:
     """file, line, hits of an LCOV report. Malformed DA records are skipped; of several for a line the last counts."""
     rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("n", "s"), F.col("_metadata.file_path").alias("report"))
     order = Window.partitionBy("report").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    name = F.when(F.col("s").startswith("SF:"), F.substring("s", 4, 4096)).when(F.col("s").startswith("end_of_record"), F.lit(""))
+    name = F.when(F.col("s").startswith("SF:"), F.expr("substring(s, 4)")).when(F.col("s").startswith("end_of_record"), F.lit(""))
     held = rows.withColumn("sf", F.last(name, ignorenulls=True).over(order)).where("sf <> ''")
     file = F.regexp_replace(F.regexp_replace("sf", f"^{root.rstrip('/')}/" if root else "^$", ""), r"^(\./)+", "")
     da = held.select("report", "n", file.alias("file"), F.regexp_extract("s", r"^DA:(\d+),(\d+)", 1).alias("l"), F.regexp_extract("s", r"^DA:(\d+),(\d+)", 2).alias("h")).where("l <> ''")
@@ -43,5 +52,25 @@ def config(text: str) -> dict:
 
 
 def baseline(spark: SparkSession, path: str) -> DataFrame:
-    """Findings of a saved baseline."""
-    return spark.read.schema(FINDING).json(path)
+    """Findings of a saved baseline (one JSON text with schema_version and findings), of the first schema too; other versions give none."""
+    schema = f"schema_version int, findings array<struct<{FINDING}>>"
+    rows = spark.read.schema(schema).option("multiLine", True).json(path)
+    return migrated(rows.select("schema_version", F.inline("findings")))
+
+
+def config_tables(spark: SparkSession, text: str) -> dict[str, DataFrame]:
+    """The rule tables of a configuration: boundaries (name, src, dst, kind, reach), modules (name, below, forbidden), assigned (node, grp), profiles (ord, krate, multiplier),
+    labels (ord, label, needle)."""
+    c = config(text)
+    pairs = [(r["name"], a, b, kind, r.get("reach", "direct")) for r in c.get("boundary", []) for kind in ("forbidden", "required") for a in r.get("from", []) for b in r.get(kind, [])]
+    modules = [(r["name"], r["from"], f) for r in c.get("module_boundary", []) for f in r.get("forbidden", [])]
+    profiles = [(i, k, float(p.get("deduction_multiplier", 1))) for i, p in enumerate(c.get("crate_profile", [])) for k in p.get("crates", [])]
+    labels = [(i, x["label"], m) for i, x in enumerate(c.get("provenance", {}).get("label", [])) for m in x.get("match", [])]
+    make = spark.createDataFrame
+    return {
+        "boundaries": make(pairs, "name string, src string, dst string, kind string, reach string"),
+        "modules": make(modules, "name string, below string, forbidden string"),
+        "assigned": make(list(c.get("layers", {}).get("assign", {}).items()), "node string, grp string"),
+        "profiles": make(profiles, "ord int, krate string, multiplier double"),
+        "labels": make(labels, "ord int, label string, needle string"),
+    }

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """Checkpointed below spark.checkpoint.dir; a temporary folder only where that is unset, as in tests."""
+    """Checkpointed below spark.checkpoint.dir; a temporary folder only where that is unset and all runs on one machine, as in tests."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="factloom-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and context.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="factloom-"))
     return df.checkpoint()

@@ -3,9 +3,10 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
-from factloom.functions import rust_source
-from factloom.operators import decide, graphs, history, registry
+from factloom.functions import names, rust_source
+from factloom.operators import boundaries, decide, graphs, history, manifests, registry
 from factloom.plans import catalogue, rule_queries, rules  # noqa: F401
 from factloom.sources import readers, writers
 from factloom.streaming.findings import churn_windows
@@ -105,3 +106,63 @@ def test_stream(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("churn").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r.file, r.commits) for r in spark.table("churn").collect()] == [("a", 2)]
+
+
+def test_source_tree(spark, tmp_path):
+    for path, text in {"a/src/lib.rs": "fn a() {}", "a/target/x.rs": "", "a/.git/y.rs": "", "a/inner/src/lib.rs": "fn b() {}", "a/src/gen.rs": "// Code generated by x\n", "a/src/own.rs": "// code GENERATED BY hand\n"}.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    for m in ("a/Cargo.toml", "a/inner/Cargo.toml"):
+        (tmp_path / m).write_text("[package]\n")
+    got = {r.file.removeprefix(str(tmp_path)): r.kind for r in readers.source_files(spark, str(tmp_path / "a")).collect()}
+    assert got == {"/a/src/lib.rs": "Authored", "/a/src/gen.rs": "Generated", "/a/src/own.rs": "Authored"}
+
+
+def test_baselines(spark, tmp_path):
+    f = spark.createDataFrame([("1", "hotspot", "Info", "heuristic"), ("2", "phantom-crate", "Fail", "external_measurement")], "id string, rule string, severity string, evidence_class string")
+    writers.save_baseline(f, str(tmp_path / "b"))
+    assert sorted((r.id, r.evidence_class) for r in readers.baseline(spark, str(tmp_path / "b")).collect()) == [("1", "heuristic"), ("2", "external_measurement")]
+    (tmp_path / "old.json").write_text('{"schema_version": 1, "findings": [{"id": "a", "rule": "phantom-crate", "confidence": 0.9}, {"id": "b", "rule": "gone"}]}')
+    assert sorted((r.id, r.evidence_class, r.schema_version) for r in readers.baseline(spark, str(tmp_path / "old.json")).collect()) == [("a", "external_measurement", 2), ("b", "heuristic", 2)]
+    (tmp_path / "new.json").write_text('{"schema_version": 9, "findings": [{"id": "a", "rule": "r"}]}')
+    assert readers.baseline(spark, str(tmp_path / "new.json")).count() == 0
+
+
+def test_configuration(spark):
+    c = readers.config_tables(
+        spark,
+        """
+[[boundary]]
+name = "core"
+from = ["a"]
+forbidden = ["b", "c"]
+required = ["d"]
+reach = "transitive"
+[[module_boundary]]
+name = "m"
+from = "io"
+forbidden = ["ui"]
+[layers.assign]
+a = "core"
+b = "outer"
+""",
+    )
+    assert sorted((r.src, r.dst, r.kind) for r in c["boundaries"].collect()) == [("a", "b", "forbidden"), ("a", "c", "forbidden"), ("a", "d", "required")]
+    assert c["modules"].count() == 1 and c["assigned"].count() == 2 and c["profiles"].count() == 0
+    edges = spark.createDataFrame([("a", "x"), ("x", "c")], "src string, dst string")
+    found = boundaries.violations(edges, c["boundaries"]).collect()
+    assert sorted((r.src, str(r.dst), str(r.path)) for r in found) == [("a", "None", "None"), ("a", "c", "a>x>c")]
+
+
+def test_closures_are_no_operators():
+    f = {r[0]: r[4] for r in rust_source.functions("fn a() { map(|| 1); g(move || 2); } fn b(x: bool, y: bool) -> bool { x || y && s == \"a\" || c }")}
+    assert f == {"a": 1, "b": 4}
+
+
+def test_requirements(spark):
+    rows = [("1.2.3", "1.9.0", True), ("1.2.3", "2.0.0", False), ("0.2.3", "0.3.0", False), ("0.0.3", "0.0.4", False), ("~1.2", "1.2.9", True), ("~1", "1.9.9", True), ("=1.2", "1.2.7", True), ("> 1.2", "1.2.9", False)]
+    rows += [("<=1.2", "1.2.9", True), ("*", "9.9.9", True), ("1.*", "1.4.0", True), (">=1.2, <1.5", "1.5.0", False), ("^0.0", "0.0.9", True), ("0", "0.9.0", True), ("not one", "1.0.0", None)]
+    df = spark.createDataFrame(rows, "req string, ver string, met boolean").withColumn("v", names.version("ver")).withColumn("r", manifests.requirement_range("req"))
+    key = manifests.version_key(F.col("v.major"), F.col("v.minor"), F.col("v.patch"))
+    for r in df.select("req", "ver", "met", ((key >= F.col("r.low")) & (key < F.col("r.high"))).alias("got")).collect():
+        assert r.got == r.met, r
