@@ -13,6 +13,7 @@ from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,10 @@ from pyspark.sql import functions as F
 from .common import give_back, kept, kept_and_counted
 
 
+#: Items of one pivot in a block.
+BLOCK = 2048
+#: Rounds of questions to leaders, at most.
+ROUNDS = 4
 #: Pairs whose items' tokens a task holds at a time.
 SLICE_PAIRS = 1024
 
@@ -138,15 +143,37 @@ def _by_pivot(percent: int) -> str:
     return f"(pa is null or pb is null or pa <> pb or 100 * least(sa, sb) >= {percent} * (na + nb - least(sa, sb)))"
 
 
-def beside_pivot(rows: DataFrame, percent: int) -> DataFrame:
+def beside_pivot(rows: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """Pairs (a, b) of rows (id, c, n, p, s, extra) of one pivot and different components that link if all of the pivot's tokens that either
-    has are common: the tokens that they have in common besides are counted."""
-    token = rows.where("p is not null").select("p", "id", "c", "n", "s", F.explode("extra").alias("token"))
-    x, y = (token.select("p", "token", *(F.col(c).alias(f"{c}{s}") for c in ("id", "c", "n", "s"))) for s in "ab")
-    most = "least(sa, sb) + least(na - sa, nb - sb)"
-    on = (x["p"] == y["p"]) & (x["token"] == y["token"]) & F.expr(f"ida < idb and ca <> cb and 100 * ({most}) >= {percent} * (na + nb - ({most}))")
-    same = x.join(y, on).groupBy(F.col("ida").alias("a"), F.col("idb").alias("b"), (F.col("na") + F.col("nb")).alias("n"), F.least("sa", "sb").alias("s")).agg(F.count("*").alias("e"))
-    return same.where(f"100 * (s + e) >= {percent} * (n - s - e)").select("a", "b")
+    has are common: the tokens that they have in common besides are counted.
+
+    The items of a pivot are dealt to blocks of bounded size, and each two blocks meet in a group of their own, so that no task holds more than
+    two blocks, whatever the number of near copies; only pairs that pass leave it.
+    """
+    sizes = rows.groupBy("p").agg(F.count("*").alias("m")).select("p", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = rows.join(sizes, "p").withColumn("own", own)
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    cells = dealt.select("id", "c", "n", "p", "s", "extra", "own", other).withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        low, high = int(group["low"].iloc[0]), int(group["high"].iloc[0])
+        size = group["extra"].map(len).to_numpy()
+        item, token = np.repeat(np.arange(len(group)), size), np.concatenate([*group["extra"], np.zeros(0, np.int64)])
+        order = np.argsort(token, kind="stable")
+        item, token = item[order], token[order]
+        head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+        ends = np.append(head, len(token))[1:]
+        common = np.zeros((len(group), len(group)), np.uint16)
+        for x, y in zip(head[ends - head > 1].tolist(), ends[ends - head > 1].tolist(), strict=True):
+            common[np.ix_(item[x:y], item[x:y])] += 1
+        ids, c, n, s, own = (group[k].to_numpy() for k in ("id", "c", "n", "s", "own"))
+        a, b = np.nonzero(np.triu(common, 1))
+        same = np.minimum(s[a], s[b]) + common[a, b]
+        yes = (c[a] != c[b]) & (100 * same >= percent * (n[a] + n[b] - same)) & ((low == high) | (own[a] != own[b]))
+        return pd.DataFrame({"a": np.minimum(ids[a], ids[b])[yes], "b": np.maximum(ids[a], ids[b])[yes]})
+
+    return cells.groupBy("p", "low", "high").applyInPandas(count, "a bigint, b bigint")
 
 
 def cross(rows: DataFrame, about: DataFrame, may: str) -> DataFrame:
@@ -201,7 +228,7 @@ def link(
         turn += 1
         if not told["linked"]:
             break
-        going = turn < 3 or 8 * told["linked"] >= told["n"]  # what leaders leave is listed under the bounds
+        going = turn < ROUNDS  # what leaders leave is listed under the bounds
         found.append(results.where("ok").select("a", "b"))
         # what is linked already is its component's; only its edges to the least member are needed from here on
         stars = [labels.select(F.col("node").alias("a"), F.col("component").alias("b"))] if labels is not None else []

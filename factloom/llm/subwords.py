@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -29,7 +30,7 @@ class ChunkEncoder:
 
     _made: dict[tuple[str, str], ChunkEncoder] = {}
 
-    def __init__(self, path: str, kind: str, held: int = 2_500_000) -> None:
+    def __init__(self, path: str, kind: str, held: int = 4_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -67,7 +68,7 @@ class ChunkEncoder:
             self.young[c] = self.old[c]
         fresh = [c for c in missing if c not in self.young]
         for c, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.young[c] = np.array(e.ids, ID).tobytes()
+            self.young[c] = array("I", e.ids).tobytes()
         self.size += sum(map(len, missing))
         out = [b"".join(map(self.young.__getitem__, c)) for c in chunks]
         if self.size > self.held:

@@ -256,3 +256,22 @@ def test_no_session_settings_change(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string")
     media.packet_table(media.to_media(docs)).count(), direct_codes.write_and_read(docs).count(), common.kept(docs)
     assert dict(spark.conf.getAll) == before
+
+
+def test_tokens_beside_a_pivot(spark):
+    """The blocks' size changes nothing, and all pairs equal brute force."""
+    from factloom.llm.linking import beside_pivot
+
+    rng = random.Random(9)
+    rows = [(i, i % 7, 20, rng.randrange(2), rng.randint(10, 16), sorted(rng.sample(range(12), rng.randint(0, 6)))) for i in range(80)]
+    table = spark.createDataFrame(rows, "id bigint, c bigint, n bigint, p bigint, s bigint, extra array<bigint>")
+    want = set()
+    for x in rows:
+        for y in rows:
+            e = len(set(x[5]) & set(y[5]))
+            same = min(x[4], y[4]) + e
+            if x[0] < y[0] and x[3] == y[3] and x[1] != y[1] and e and 100 * same >= 75 * (40 - same):
+                want.add((x[0], y[0]))
+    for block in (7, 1000):
+        got = [(r.a, r.b) for r in beside_pivot(table, 75, block).collect()]
+        assert set(got) == want and len(got) == len(want) > 10
