@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Labelled rows that a model is fitted on, at most; the rows with the least hash of their id are taken.
 FIT_ROWS = 20_000
+#: Row groups of kept tables: what a task buffers as it writes one.
+BLOCK_BYTES = 16 << 20
 #: Text that a function of map_batches() sees at a time; a longer text is alone.
 SLICE_BYTES = 4 << 20
 
@@ -74,7 +76,7 @@ def kept_and_counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[s
     spark, seen = df.sparkSession, Observation()
     folder = new_folder(spark, "kept")
     sums = [F.count(F.lit(1)).alias("n"), *(c.alias(name) for name, c in counts.items())]
-    df.observe(seen, *sums).write.parquet(folder)
+    df.observe(seen, *sums).write.option("parquet.block.size", BLOCK_BYTES).parquet(folder)
     return spark.read.schema(df.schema).parquet(folder), {k: int(v or 0) for k, v in seen.get.items()}
 
 

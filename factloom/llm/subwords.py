@@ -30,7 +30,7 @@ class ChunkEncoder:
 
     _made: dict[tuple[str, str], ChunkEncoder] = {}
 
-    def __init__(self, path: str, kind: str, held: int = 4_000_000) -> None:
+    def __init__(self, path: str, kind: str, held: int = 2_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
