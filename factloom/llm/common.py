@@ -17,7 +17,7 @@ FIT_ROWS = 20_000
 #: Row groups of kept tables: what a task buffers as it writes one.
 BLOCK_BYTES = 16 << 20
 #: Text that a function of map_batches() sees at a time; a longer text is alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

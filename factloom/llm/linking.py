@@ -168,10 +168,18 @@ def beside_pivot(rows: DataFrame, percent: int, block: int = BLOCK) -> DataFrame
         for x, y in zip(head[ends - head > 1].tolist(), ends[ends - head > 1].tolist(), strict=True):
             common[np.ix_(item[x:y], item[x:y])] += 1
         ids, c, n, s, own = (group[k].to_numpy() for k in ("id", "c", "n", "s", "own"))
-        a, b = np.nonzero(np.triu(common, 1))
-        same = np.minimum(s[a], s[b]) + common[a, b]
-        yes = (c[a] != c[b]) & (100 * same >= percent * (n[a] + n[b] - same)) & ((low == high) | (own[a] != own[b]))
-        return pd.DataFrame({"a": np.minimum(ids[a], ids[b])[yes], "b": np.maximum(ids[a], ids[b])[yes]})
+        found = [np.zeros((2, 0), np.int64)]
+        for at in range(0, len(group), 64):  # a strip of the table at a time
+            x, y = np.nonzero(common[at : at + 64])
+            x += at
+            y, x = y[y > x], x[y > x]
+            same = np.minimum(s[x], s[y]) + common[x, y]
+            yes = (c[x] != c[y]) & (100 * same >= percent * (n[x] + n[y] - same)) & ((low == high) | (own[x] != own[y]))
+            found.append(np.stack([np.minimum(ids[x], ids[y])[yes], np.maximum(ids[x], ids[y])[yes]]))
+        a, b = np.concatenate(found, axis=1)
+        del common, found
+        give_back()
+        return pd.DataFrame({"a": a, "b": b})
 
     return cells.groupBy("p", "low", "high").applyInPandas(count, "a bigint, b bigint")
 
