@@ -159,6 +159,8 @@ def exchange(
         replies = dict(zip(group["at"][~stays], group["raw"][~stays], strict=True))  # equal chunks have equal answers
         answers = [pickle.loads(raw) for _, raw in sorted(replies.items())]
         found = [gather(pickle.loads(raw), answers) for raw in group["raw"][stays]]
+        del replies, answers
+        give_back()
         return pd.concat(found, ignore_index=True) if len(found) > 1 else found[0]
 
     asked = map_batches(df, dealt, _ROW, size)

@@ -22,7 +22,7 @@ from .common import give_back, kept, kept_and_counted
 
 
 #: Items of one pivot in a block.
-BLOCK = 2048
+BLOCK = 1024
 #: Rounds of questions to leaders, at most.
 ROUNDS = 4
 #: Pairs whose items' tokens a task holds at a time.

@@ -25,7 +25,7 @@ from .textcore import U64, grams, hash_spans, mix, texts_of, words_of
 
 SHINGLE, PERCENT = 5, 75
 #: Text bytes that make one range of the hash space.
-RANGE_BYTES = 12 << 20
+RANGE_BYTES = 8 << 20
 #: A shingle of more documents of one chunk is dealt as one entry with their number.
 HOT = 12
 #: A shingle of more documents (copies of one set within a chunk are one) is of the frequent class.
