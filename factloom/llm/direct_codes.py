@@ -156,7 +156,6 @@ def write_codes(docs: DataFrame, folder: str, path: str | None = None, end_id: i
                     size = 0
         if held:
             yield flush()
-        encoder.forget()
         give_back()
 
     rows = id_and_text(docs).withColumn("row", F.monotonically_increasing_id())
