@@ -148,7 +148,7 @@ def write_codes(docs: DataFrame, folder: str, path: str | None = None, end_id: i
 
         size = 0
         for batch in slices(batches):
-            for doc, own in zip(batch.column(0).to_pylist(), encoder.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+            for doc, own in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
                 ids.append(_NULL_ID if doc is None else doc), held.append(own + end)
                 size += len(own) // 4 + 1
                 if size >= segment_tokens:

@@ -37,8 +37,7 @@ def tokenised_pieces(docs: DataFrame, path: str | None = None, capacity: int = C
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         encoder = ChunkEncoder.of(path, "word")
         rows: list[tuple] = []
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
+        for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
             ids += end
             for piece, a in enumerate(range(0, len(ids), 4 * capacity)):
                 own = ids[a : a + 4 * capacity]

@@ -275,3 +275,37 @@ def test_tokens_beside_a_pivot(spark):
     for block in (7, 1000):
         got = [(r.a, r.b) for r in beside_pivot(table, 75, block).collect()]
         assert set(got) == want and len(got) == len(want) > 10
+
+
+class _Counting:
+    """A tokenizer that counts what it is asked to encode."""
+
+    def __init__(self, own):
+        self.own, self.asked = own, 0
+
+    def encode_batch_fast(self, texts, **kw):
+        self.asked += len(texts)
+        return self.own.encode_batch_fast(texts, **kw)
+
+
+@pytest.mark.parametrize(("file", "kind"), [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
+def test_the_library_sees_parts_of_words_once(file, kind):
+    rng = random.Random(4)
+    texts = [" ".join(f"so{rng.choice('.,;:!?')} {rng.choice('0123456789')}{rng.choice('abc')}{rng.choice('0123456789')}{rng.choice('abc')}{rng.choice('0123456789')}" for _ in range(50)) for _ in range(200)]
+    e = subwords.ChunkEncoder(subwords.public_path(file), kind)
+    whole = e.tokenizer.encode_batch(texts, add_special_tokens=False)
+    e.tokenizer = _Counting(e.tokenizer)
+    assert e.encode(texts) == [np.array(w.ids, subwords.ID).tobytes() for w in whole]
+    assert e.tokenizer.asked < 60  # as whole words, some thousands
+
+
+@pytest.mark.parametrize(("file", "kind"), [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
+def test_cuts_beside_any_character_and_a_full_cache(file, kind):
+    rng = random.Random(5)
+    signs = " \n\t'saSTrelvmdLéÉ1234<|>._-Ḱ̸̌ \xa0　\x1c\x85 ZßJjİ’你"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(3000)]
+    e = subwords.ChunkEncoder(subwords.public_path(file), kind, held=500)
+    whole = [np.array(w.ids, subwords.ID).tobytes() for w in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [x for a in range(0, 3000, 100) for x in e.encode(texts[a : a + 100])] == whole
+    assert len(e.ids) == e.cut[-1] and sum(map(len, e.known.to_pylist())) <= 500
+    assert e.encode(pa.array(["a", None, ""])) == [*e.encode(["a"]), b"", b""] and e.encode([]) == []
