@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, id_and_text, new_folder
+from .common import SLICE_BYTES, give_back, id_and_text, new_folder
 from .subwords import ID, ChunkEncoder, public_path
 
 MAGIC = b"DACT0001"
@@ -147,7 +147,7 @@ def write_codes(docs: DataFrame, folder: str, path: str | None = None, end_id: i
             return out
 
         size = 0
-        for batch in slices(batches):
+        for batch in slices(batches, max_bytes=SLICE_BYTES):
             for doc, own in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
                 ids.append(_NULL_ID if doc is None else doc), held.append(own + end)
                 size += len(own) // 4 + 1

@@ -12,7 +12,7 @@ character only white space cuts.
 from __future__ import annotations
 
 import os
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 from .textcore import SPACE, Texts, texts_of
 
 ID = np.dtype("<u4")
+#: Chunks that the library encodes at a time: its results take some hundred bytes each.
+AT_ONCE = 2048
 _BLANK, _LETTER, _DIGIT, _SIGN, _OTHER = range(5)
 #: Classes of bytes: white space, ASCII letters, digits and other signs; control characters and bytes of longer code points.
 _CLASS = np.full(256, _OTHER, np.uint8)
@@ -155,11 +157,14 @@ class ChunkEncoder:
         place, new = at.fill_null(0).to_numpy().astype(np.int64), new.to_numpy(zero_copy_only=False)
         self.again[place[~new]] = True
         place[new] = len(self.known) + np.arange(len(fresh))
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(fresh.to_pylist(), add_special_tokens=False)]
-        count = np.fromiter(map(len, found), np.int64, len(found))
+        ids, count = array("I"), array("q")
+        for a in range(0, len(fresh), AT_ONCE):
+            for e in self.tokenizer.encode_batch_fast(fresh.slice(a, AT_ONCE).to_pylist(), add_special_tokens=False):
+                ids.extend(own := e.ids)
+                count.append(len(own))
         self.known = pa.concat_arrays([self.known, fresh])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), ID, int(count.sum()))])
-        self.cut = np.concatenate([self.cut, self.cut[-1] + np.cumsum(count)])
+        self.ids = np.concatenate([self.ids, np.array(ids, ID)])
+        self.cut = np.concatenate([self.cut, self.cut[-1] + np.cumsum(np.array(count, np.int64))])
         self.again = np.concatenate([self.again, np.zeros(len(fresh), bool)])
         return place
 

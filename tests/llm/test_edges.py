@@ -281,10 +281,10 @@ class _Counting:
     """A tokenizer that counts what it is asked to encode."""
 
     def __init__(self, own):
-        self.own, self.asked = own, 0
+        self.own, self.asked, self.most = own, 0, 0
 
     def encode_batch_fast(self, texts, **kw):
-        self.asked += len(texts)
+        self.asked, self.most = self.asked + len(texts), max(self.most, len(texts))
         return self.own.encode_batch_fast(texts, **kw)
 
 
@@ -309,3 +309,12 @@ def test_cuts_beside_any_character_and_a_full_cache(file, kind):
     assert [x for a in range(0, 3000, 100) for x in e.encode(texts[a : a + 100])] == whole
     assert len(e.ids) == e.cut[-1] and sum(map(len, e.known.to_pylist())) <= 500
     assert e.encode(pa.array(["a", None, ""])) == [*e.encode(["a"]), b"", b""] and e.encode([]) == []
+
+
+def test_the_library_holds_few_results_at_a_time():
+    e = subwords.ChunkEncoder(subwords.public_path("byte_bpe_50k.json"), "byte")
+    texts = ["".join(random.Random(i).choices("abcdefgh", k=8)) for i in range(5000)]
+    whole = e.tokenizer.encode_batch(texts, add_special_tokens=False)
+    e.tokenizer = _Counting(e.tokenizer)
+    assert e.encode(texts) == [np.array(w.ids, subwords.ID).tobytes() for w in whole]
+    assert e.tokenizer.asked > 2 * subwords.AT_ONCE >= 2 * e.tokenizer.most
