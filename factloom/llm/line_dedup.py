@@ -301,7 +301,7 @@ def line_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = found.join(buckets.select("id").distinct(), "id", "left_semi").groupBy("id").agg(*(F.first(c).alias(c) for c in ("n", "near", "line")))
     sets = kept(sets.select("id", "n", F.lit(0).cast("bigint").alias("r"), "near", F.col("line").alias("tokens")))
     may = f"100 * least(na, nb) >= {percent} * greatest(na, nb) and {_like_enough()}"
-    return link(buckets, sets, percent, may, read=_read)[1]
+    return link(buckets, sets, percent, may, read=_read, few=True)[1]
 
 
 def _shingles_of(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

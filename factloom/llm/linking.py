@@ -184,15 +184,19 @@ def beside_pivot(rows: DataFrame, percent: int, block: int = BLOCK) -> DataFrame
     return cells.groupBy("p", "low", "high").applyInPandas(count, "a bigint, b bigint")
 
 
-def cross(rows: DataFrame, about: DataFrame, may: str) -> DataFrame:
+def cross(rows: DataFrame, about: DataFrame, may: str, few: bool = False) -> DataFrame:
     """Pairs (a, b) of rows (key, id, c) that share a key, lie in different components and are not ruled out by `may` over what is known about them. Each
-    bucket's largest component is not paired with itself."""
+    bucket's largest component is not paired with itself. few: items have few keys, and a pair is listed by the least that it shares, not by each."""
     largest = _largest(rows)
+    if few:
+        about = about.join(rows.groupBy("id").agg(F.collect_list("key").alias("keys")), "id")
+        may = f"{may} and array_min(array_intersect(keysa, keysb)) = x.key"
     named = rows.join(largest, "key").join(about, "id")
     names = [c for c in about.columns if c != "id"]
     x, y = (named.select("key", F.col("id").alias(s), F.col("c").alias(f"c{s}"), F.col("main").alias(f"main{s}"), *(F.col(n).alias(f"{n}{s}") for n in names)) for s in "ab")
-    on = (x["key"] == y["key"]) & F.expr(f"ca <> cb and (cb = mainb or ca < cb) and {may}")
-    return x.where("ca <> maina").join(y, on).select(x["key"], F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    x, y = x.alias("x"), y.alias("y")
+    on = (F.col("x.key") == F.col("y.key")) & F.expr(f"ca <> cb and (cb = mainb or ca < cb) and {may}")
+    return x.where("ca <> maina").join(y, on).select("x.key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def link(
@@ -203,12 +207,13 @@ def link(
     small: DataFrame | None = None,
     counted: int = 1,
     read: Callable[[list[bytes]], list[np.ndarray]] = stored,
+    few: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) that were verified, and the components (node, component) of all links that there are.
 
     buckets: distinct rows (key, id) of any size. sets: id, n, r (tokens that no item has in common by a bucket), near (what `may`, an expression over na, ra, neara
     and nb, rb, nearb, asks besides), tokens as verify() takes them. counted: two linked items share so many buckets. small: rows (key, id) of buckets of bounded size, whose
-    pairs are all listed, with own (tokens that no other item has) in the place of r.
+    pairs are all listed, with own (tokens that no other item has) in the place of r. few: items are in few buckets, as cross() takes it; not with counted.
     Every pair of items that share a bucket ends in one component, was ruled out by a bound, or was tested.
     """
     may = may or may_link(percent)
@@ -247,7 +252,7 @@ def link(
         more = about.join(pivots.drop("extra"), "id", "left")
         may = f"{may} and {_by_pivot(percent)}"
         besides = beside_pivot(open_.select("id", "c").distinct().join(about.select("id", "n"), "id").join(pivots, "id"), percent)
-    pairs = cross(open_.select("key", "id", "c"), more, may)
+    pairs = cross(open_.select("key", "id", "c"), more, may, few)
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("k")).where(f"k >= {counted}").select("a", "b") if counted > 1 else pairs.select("a", "b")
     pairs = (pairs if besides is None else pairs.unionByName(besides)).distinct()
     if small is not None:

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.llm import bin_completion, common, direct_codes, exchange, gam, iforest, jaccard_join, line_dedup, matroska, media, packing, quality_classifier, quality_rules, subwords, substring_dedup
+from factloom.llm import bin_completion, common, direct_codes, exchange, gam, iforest, jaccard_join, line_dedup, linking, matroska, media, packing, quality_classifier, quality_rules, subwords, substring_dedup
 from factloom.llm.textcore import texts_of
 
 from . import brute
@@ -318,3 +318,14 @@ def test_the_library_holds_few_results_at_a_time():
     e.tokenizer = _Counting(e.tokenizer)
     assert e.encode(texts) == [np.array(w.ids, subwords.ID).tobytes() for w in whole]
     assert e.tokenizer.asked > 2 * subwords.AT_ONCE >= 2 * e.tokenizer.most
+
+
+def test_a_pair_of_many_buckets_is_listed_once(spark):
+    rng = random.Random(6)
+    buckets = {(k, i, i % 7 if i < 20 else i) for k in range(8) for i in range(40) if rng.random() < 0.7}
+    rows = spark.createDataFrame(sorted(buckets), "key bigint, id bigint, c bigint")
+    about = rows.select("id", F.col("id").alias("n")).distinct()
+    listed = [(r.a, r.b) for r in linking.cross(rows, about, "na + nb > 5", True).collect()]
+    want = {(i, j) for k, i, c in buckets for m, j, d in buckets if k == m and i < j and c != d and i + j > 5}
+    assert len(listed) == len(set(listed)) and set(listed) == want
+    assert {(r.a, r.b) for r in linking.cross(rows, about, "na + nb > 5").collect()} == want
