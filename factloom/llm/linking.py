@@ -15,6 +15,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ BLOCK = 1024
 ROUNDS = 4
 #: Pairs whose items' tokens a task holds at a time.
 SLICE_PAIRS = 1024
+#: And the bytes of their tokens as they travel; a longer pair is alone.
+PAIR_BYTES = 4 << 20
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -91,8 +94,13 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, read: Callable[[list
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_PAIRS):
-                yield one(batch.slice(at, SLICE_PAIRS))
+            ends = np.cumsum(pc.binary_length(batch.column(3)).to_numpy().astype(np.int64) + pc.binary_length(batch.column(5)).to_numpy())
+            at = 0
+            while at < batch.num_rows:
+                most = PAIR_BYTES + (int(ends[at - 1]) if at else 0)
+                n = min(max(int(np.searchsorted(ends, most, side="right")) - at, 1), SLICE_PAIRS)
+                yield one(batch.slice(at, n))
+                at += n
         give_back()
 
     near = pairs.join(a, "a").join(b, "b")

@@ -329,3 +329,20 @@ def test_a_pair_of_many_buckets_is_listed_once(spark):
     want = {(i, j) for k, i, c in buckets for m, j, d in buckets if k == m and i < j and c != d and i + j > 5}
     assert len(listed) == len(set(listed)) and set(listed) == want
     assert {(r.a, r.b) for r in linking.cross(rows, about, "na + nb > 5").collect()} == want
+
+
+def test_verification_reads_a_bounded_part_at_a_time(spark):
+    """Pairs of long items are read a few at a time, and a pair that is longer than the bound alone."""
+    rng = random.Random(7)
+    lines = [bytes(rng.choices(b"abcd", k=60_000 if i else 3 << 20)) for i in range(200)]
+    sets = spark.createDataFrame([(i, len(line_dedup._read([x])[0]), x) for i, x in enumerate(lines)], "id bigint, n bigint, tokens binary").coalesce(1)
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(199)], "a bigint, b bigint").coalesce(1)
+
+    def read(items):
+        if len(items) > 2 and sum(map(len, items)) > 4 << 20:
+            raise ValueError("too much at a time")
+        return line_dedup._read(items)
+
+    got = linking.verify(pairs, sets, 75, read).collect()
+    of = [set(x.tolist()) for x in line_dedup._read(lines)]
+    assert {(r.a, r.b): r.same for r in got} == {(i, i + 1): len(of[i] & of[i + 1]) for i in range(199)}
