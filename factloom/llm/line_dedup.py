@@ -54,8 +54,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _text_lines(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, length, row and number within the row of each line with a word."""
     lines = lines_of(t)
-    inside = np.concatenate([[0], np.cumsum(~SPACE[t.data], dtype=np.int64)])
-    has = inside[lines.start + lines.length] > inside[lines.start]
+    cut = np.stack([lines.start, lines.start + lines.length], axis=1).ravel()
+    has = (np.logical_or.reduceat(np.append(~SPACE[t.data], False), cut)[::2] if len(cut) else np.zeros(0, bool)) & (lines.length > 0)
     number = np.arange(len(lines.start)) - np.repeat(lines.first[:-1], lines.count)
     return lines.start[has], lines.length[has], lines.row[has], number[has]
 
@@ -267,8 +267,18 @@ def _unpack40(raw: bytes) -> np.ndarray:
     return wide.view("<i8").ravel()
 
 
-def _set_sizes(h: np.ndarray, first: np.ndarray) -> list[int]:
-    return [len(np.unique(h[a:b])) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+def _in_order(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sorts each line's hashes in place; says which are the first of their value. Every line has one."""
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        h[a:b].sort()
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    new[first[:-1]] = True
+    return new
+
+
+def _set_sizes(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(_in_order(h, first), first[:-1], dtype=np.int64) if len(h) else np.zeros(0, np.int64)
 
 
 def near_in_buckets(found: DataFrame, n_rows: int, percent: int = PERCENT) -> DataFrame:
@@ -312,7 +322,9 @@ def _shingles_of(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _read(lines: list[bytes]) -> list[np.ndarray]:
     """The shingle sets of some lines; so a line travels as its text."""
     h, first = _shingles_of(lines)
-    return [np.unique(h[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    new = _in_order(h, first)
+    cut = np.concatenate([[0], np.cumsum(new)])[first]
+    return np.split(h[new], cut[1:-1])
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -30,6 +30,8 @@ ROUNDS = 4
 SLICE_PAIRS = 1024
 #: And the bytes of their tokens as they travel; a longer pair is alone.
 PAIR_BYTES = 4 << 20
+#: Rows of small pivots that a task takes at a time, on the average.
+LOT_ROWS = 4096
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -151,45 +153,56 @@ def _by_pivot(percent: int) -> str:
     return f"(pa is null or pb is null or pa <> pb or 100 * least(sa, sb) >= {percent} * (na + nb - least(sa, sb)))"
 
 
-def beside_pivot(rows: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each of x has in common with each of y."""
+    out = np.zeros((len(x), len(y)), np.uint32)
+    (tx, ix), (ty, iy) = ((np.concatenate([*v, np.zeros(0, np.int64)]), np.repeat(np.arange(len(v)), [len(k) for k in v])) for v in (x, y))
+    order = np.argsort(ty, kind="stable")
+    ty, iy = ty[order], iy[order]
+    order = np.argsort(tx, kind="stable")
+    tx, ix = tx[order], ix[order]
+    a, b = np.searchsorted(ty, tx), np.searchsorted(ty, tx, side="right")
+    for i, c, d in zip(ix[b > a].tolist(), a[b > a].tolist(), b[b > a].tolist(), strict=True):
+        out[i, iy[c:d]] += 1
+    return out
+
+
+def beside_pivot(rows: DataFrame, percent: int, block: int = BLOCK, lots: int = 16) -> DataFrame:
     """Pairs (a, b) of rows (id, c, n, p, s, extra) of one pivot and different components that link if all of the pivot's tokens that either
     has are common: the tokens that they have in common besides are counted.
 
     The items of a pivot are dealt to blocks of bounded size, and each two blocks meet in a group of their own, so that no task holds more than
-    two blocks, whatever the number of near copies; only pairs that pass leave it.
+    two blocks, whatever the number of near copies; only pairs that pass leave it. Pivots of one block are dealt to lots, as most have a few items.
     """
-    sizes = rows.groupBy("p").agg(F.count("*").alias("m")).select("p", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    sizes = rows.groupBy("p").agg(F.count("*").alias("m")).where("m > 1").select("p", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = rows.join(sizes, "p").withColumn("own", own)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    cells = dealt.select("id", "c", "n", "p", "s", "extra", "own", other).withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+    lot = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("p"), F.lit(lots))).otherwise(F.col("p")).alias("lot")
+    cells = dealt.select("id", "c", "n", "p", "s", "extra", "own", lot, (F.col("blocks") == 1).alias("small"), other).withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
+        ids, c, n, p, s, own = (group[k].to_numpy() for k in ("id", "c", "n", "p", "s", "own"))
         low, high = int(group["low"].iloc[0]), int(group["high"].iloc[0])
-        size = group["extra"].map(len).to_numpy()
-        item, token = np.repeat(np.arange(len(group)), size), np.concatenate([*group["extra"], np.zeros(0, np.int64)])
-        order = np.argsort(token, kind="stable")
-        item, token = item[order], token[order]
-        head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
-        ends = np.append(head, len(token))[1:]
-        common = np.zeros((len(group), len(group)), np.uint16)
-        for x, y in zip(head[ends - head > 1].tolist(), ends[ends - head > 1].tolist(), strict=True):
-            common[np.ix_(item[x:y], item[x:y])] += 1
-        ids, c, n, s, own = (group[k].to_numpy() for k in ("id", "c", "n", "s", "own"))
+        extra = group["extra"].to_numpy()
+        order = np.argsort(p, kind="stable")
         found = [np.zeros((2, 0), np.int64)]
-        for at in range(0, len(group), 64):  # a strip of the table at a time
-            x, y = np.nonzero(common[at : at + 64])
-            x += at
-            y, x = y[y > x], x[y > x]
-            same = np.minimum(s[x], s[y]) + common[x, y]
-            yes = (c[x] != c[y]) & (100 * same >= percent * (n[x] + n[y] - same)) & ((low == high) | (own[x] != own[y]))
-            found.append(np.stack([np.minimum(ids[x], ids[y])[yes], np.maximum(ids[x], ids[y])[yes]]))
+        for of in np.split(order, np.flatnonzero(np.diff(p[order])) + 1):
+            left, right = of[own[of] == low], of[own[of] == high]
+            for at in range(0, len(left), 256):  # a strip of the table at a time
+                strip = left[at : at + 256]
+                common = _common(list(extra[strip]), list(extra[right]))
+                x, y = np.nonzero(common)
+                same, x, y = common[x, y], strip[x], right[y]
+                same = np.minimum(s[x], s[y]) + same
+                yes = (c[x] != c[y]) & (100 * same >= percent * (n[x] + n[y] - same)) & ((low != high) | (ids[x] < ids[y]))
+                found.append(np.stack([np.minimum(ids[x], ids[y])[yes], np.maximum(ids[x], ids[y])[yes]]))
         a, b = np.concatenate(found, axis=1)
-        del common, found
+        del found
         give_back()
         return pd.DataFrame({"a": a, "b": b})
 
-    return cells.groupBy("p", "low", "high").applyInPandas(count, "a bigint, b bigint")
+    return cells.groupBy("lot", "small", "low", "high").applyInPandas(count, "a bigint, b bigint")
 
 
 def cross(rows: DataFrame, about: DataFrame, may: str, few: bool = False) -> DataFrame:
@@ -259,7 +272,7 @@ def link(
     if pivots is not None:
         more = about.join(pivots.drop("extra"), "id", "left")
         may = f"{may} and {_by_pivot(percent)}"
-        besides = beside_pivot(open_.select("id", "c").distinct().join(about.select("id", "n"), "id").join(pivots, "id"), percent)
+        besides = beside_pivot(open_.select("id", "c").distinct().join(about.select("id", "n"), "id").join(pivots, "id"), percent, lots=max(1, -(-n["n"] // LOT_ROWS)))
     pairs = cross(open_.select("key", "id", "c"), more, may, few)
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("k")).where(f"k >= {counted}").select("a", "b") if counted > 1 else pairs.select("a", "b")
     pairs = (pairs if besides is None else pairs.unionByName(besides)).distinct()

@@ -346,3 +346,20 @@ def test_verification_reads_a_bounded_part_at_a_time(spark):
     got = linking.verify(pairs, sets, 75, read).collect()
     of = [set(x.tolist()) for x in line_dedup._read(lines)]
     assert {(r.a, r.b): r.same for r in got} == {(i, i + 1): len(of[i] & of[i + 1]) for i in range(199)}
+
+
+def test_small_pivots_share_a_task(spark):
+    """Pivots of a few items are counted many at a time, those of more than a block in groups of their own, and lots change nothing."""
+    rng = random.Random(10)
+    rows = [(i, i % 9, 20, i // 3 if i < 300 else 1000, rng.randint(10, 16), sorted(rng.sample(range(9), rng.randint(0, 5)))) for i in range(340)]
+    table = spark.createDataFrame(rows, "id bigint, c bigint, n bigint, p bigint, s bigint, extra array<bigint>")
+    want = set()
+    for x in rows:
+        for y in rows:
+            e = len(set(x[5]) & set(y[5]))
+            same = min(x[4], y[4]) + e
+            if x[0] < y[0] and x[3] == y[3] and x[1] != y[1] and e and 100 * same >= 75 * (40 - same):
+                want.add((x[0], y[0]))
+    for lots in (1, 5):
+        got = [(r.a, r.b) for r in linking.beside_pivot(table, 75, 16, lots).collect()]
+        assert set(got) == want and len(got) == len(want) > 5
