@@ -32,31 +32,61 @@ SLICE_PAIRS = 1024
 PAIR_BYTES = 4 << 20
 #: Rows of small pivots that a task takes at a time, on the average.
 LOT_ROWS = 4096
+#: Edges that one task joins, 4 MB of them; of more, rounds over all tasks leave so many.
+LOCAL_EDGES = 1 << 18
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some edges and the least that each reaches."""
+    node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, root = at[: len(a)], at[len(a) :], np.arange(len(node))
+    while len(x):
+        x, y = root[x], root[y]
+        x, y = np.minimum(x, y)[x != y], np.maximum(x, y)[x != y]
+        np.minimum.at(root, y, x)
+        while (up := root[root] != root).any():
+            root[up] = root[root[up]]
+    return node, node[root]
+
+
+def _joined(edges: DataFrame) -> DataFrame:
+    """(node, component) of a bounded number of edges, in one task."""
+
+    def run(batches):
+        rows = pa.Table.from_batches(batches, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _roots(*(c.to_numpy() for c in rows.columns))], ["node", "component"])
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, "node bigint, component bigint")
+
+
+def components(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
     """(node, component) of edges (a, b): component is the least node reachable. Nodes without an edge are absent.
 
     Each round every node points to its least neighbour, pointers jump to the fourth ancestor, and edges are
     relabelled by it. The edge from a node to the one that it points to becomes the edge from its ancestor to where that points,
-    so nothing comes apart, and the nodes with edges at least halve in every component that isn't done.
+    so nothing comes apart, and the nodes with edges at least halve in every component that isn't done. The last `local` edges are joined by one task.
     """
     order = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
-    e, n = kept_and_counted(edges.select(*order).where("a <> b").distinct())
+    e, n = kept_and_counted(edges.select(*order).where("a <> b"))
     whole: DataFrame | None = None
-    while n["n"]:
+
+    def renamed(parent: DataFrame) -> DataFrame:
+        if whole is None:
+            return parent.select("node", F.col("p").alias("component"))
+        return whole.join(parent.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("p", "component").alias("component"))
+
+    while n["n"] > local:
         both = e.union(e.select(F.col("b"), F.col("a")))
         parent = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("p"))
         for _ in range(2):
             parent = parent.join(parent.select(F.col("node").alias("p"), F.col("p").alias("pp")), "p").select("node", F.col("pp").alias("p"))
         parent = kept(parent)
-        if whole is None:
-            whole = parent.select("node", F.col("p").alias("component"))
-        else:
-            whole = whole.join(parent.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("p", "component").alias("component"))
+        whole = renamed(parent)
         a, b = (parent.select(F.col("node").alias(c), F.col("p").alias(f"p{c}")) for c in "ab")
         moved = e.join(a, "a").join(b, "b").select(F.greatest("pa", "pb").alias("a"), F.least("pa", "pb").alias("b")).where("a <> b")
         e, n = kept_and_counted(moved.distinct())
+    if n["n"]:
+        whole = renamed(_joined(e).withColumnRenamed("component", "p"))
     return kept(whole) if whole is not None else e.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 

@@ -348,6 +348,24 @@ def test_verification_reads_a_bounded_part_at_a_time(spark):
     assert {(r.a, r.b): r.same for r in got} == {(i, i + 1): len(of[i] & of[i + 1]) for i in range(199)}
 
 
+def test_components_of_few_edges_take_one_round(spark):
+    """Few edges are joined by one task, many in rounds first, with the same result; a chain of 300 nodes takes two tables instead of some for each round."""
+    rng = random.Random(8)
+    edges = [(i, i + 1) for i in range(300)] + [(rng.randrange(400, 700), rng.randrange(400, 700)) for _ in range(200)] + [(900, 900)]
+    node = {x: x for e in edges[:-1] for x in e if e[0] != e[1]}
+    while any(node[a] != node[b] for a, b in edges[:-1] if a != b):
+        for a, b in edges[:-1]:
+            if a != b:
+                node[a] = node[b] = min(node[a], node[b])
+    table = spark.createDataFrame(edges, "a bigint, b bigint")
+    for local in (0, 20, 1000):
+        before = common.written()
+        got = linking.components(table, local).collect()
+        assert {r.node: r.component for r in got} == node and len(got) == len(node)
+        assert local < 1000 or common.written() - before == 2
+    assert linking.components(table.where("a = 900")).count() == 0
+
+
 def test_small_pivots_share_a_task(spark):
     """Pivots of a few items are counted many at a time, those of more than a block in groups of their own, and lots change nothing."""
     rng = random.Random(10)
