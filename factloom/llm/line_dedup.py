@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import clear_names, kept, kept_and_counted, map_batches
 from .exchange import DIRECT, cuts, exchange, lot_of
-from .linking import different, link
+from .linking import BLOCK, BLOCK_BYTES, blocked_components
 from .shingle_sets import range_count
 from .textcore import SPACE, U64, WORD_PATTERN, Texts, grams, hash_spans, lines_of, mix, repeated, texts_of
 
@@ -36,6 +36,8 @@ SKETCH, SKETCH_FAR = 32, 13
 #: Minima of a candidate's long sketch, two bits each, and in how many of them two candidates may differ: at similarity
 #: 0.75 they differ in 48 on the average, with a deviation of 6.2.
 LONG, LONG_FAR = 256, 70
+#: And in how many if both have a candidate beside them: their shingles are counted then, which costs less than a lost link.
+COUNT_FAR = 90
 #: A band of more lines of one chunk asks once, and all its lines are candidates.
 HOT = 64
 #: So are all lines of a band that has more different ones than this.
@@ -144,10 +146,9 @@ def _apart(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count((x | x >> U64(1)) & U64(0x5555555555555555))
 
 
-def _like_enough() -> str:
-    """Whether two long sketches agree as two lines at the threshold do, but for one pair in 4,000."""
-    differ = " + ".join(f"bit_count((neara[{i}] ^ nearb[{i}] | shiftrightunsigned(neara[{i}] ^ nearb[{i}], 1)) & 6148914691236517205L)" for i in range(LONG // 32))
-    return f"({differ}) <= {LONG_FAR}"
+def _like(x: np.ndarray, y: np.ndarray, far: int = COUNT_FAR) -> np.ndarray:
+    """Whether long sketches agree as those of two lines at the threshold do."""
+    return _apart(x ^ y).sum(axis=1) <= far
 
 
 def _near_in_bucket(key: np.ndarray, like: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
@@ -282,36 +283,53 @@ def _set_sizes(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def near_in_buckets(found: DataFrame, n_rows: int, percent: int = PERCENT) -> DataFrame:
-    """(key, id): the lines of each band that have another of like size and long sketch in it; all lines of a band of more than MANY."""
+    """A row for each band with lines that have another of like size and long sketch in it: key, ids (of these lines, in order; of a band of more than MANY
+    all), sizes (their bytes), blocks (how many linking.link_in_blocks() makes of them) and sum (equal for equal ids)."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        key, ids, n = (group[c].to_numpy() for c in ("key", "id", "n"))
+        key, ids, n, size = (group[c].to_numpy() for c in ("key", "id", "n", "size"))
         order = np.lexsort((ids, key))
         new = np.ones(len(order), bool)
         new[1:] = (key[order][1:] != key[order][:-1]) | (ids[order][1:] != ids[order][:-1])
         order = order[new]
-        key, ids, n = key[order], ids[order], n[order]
+        key, ids, n, size = key[order], ids[order], n[order], size[order]
         near = np.stack(group["near"].to_numpy()[order]).view(U64)
 
         def like(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            return (_apart(near[a] ^ near[b]).sum(axis=1) <= LONG_FAR) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+            return _like(near[a], near[b], LONG_FAR) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
 
         yes = _near_in_bucket(key, like)
-        return pd.DataFrame({"key": key[yes], "id": ids[yes]})
+        key, ids, size = key[yes], ids[yes], size[yes]
+        if not len(key):
+            return pd.DataFrame({"key": [], "ids": [], "sizes": [], "blocks": [], "sum": []}, dtype=object)
+        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        many = np.diff(np.append(head, len(key)))
+        blocks = np.maximum(-(-many // BLOCK), -(-np.add.reduceat(size, head) // BLOCK_BYTES))
+        total = np.bitwise_xor.reduceat(mix(ids.view(U64)), head).view(np.int64)
+        return pd.DataFrame({"key": key[head], "ids": np.split(ids, head[1:]), "sizes": np.split(size, head[1:]), "blocks": np.where(many == 2, 1, blocks), "sum": total})
 
     lot = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-n_rows // LOT_ROWS))))
-    rows = found.select(F.explode("keys").alias("key"), "id", "n", "near")
-    return rows.withColumn("lot", lot).groupBy("lot").applyInPandas(run, "key bigint, id bigint")
+    rows = found.select(F.explode("keys").alias("key"), "id", "n", "near", F.octet_length("line").cast("bigint").alias("size"))
+    return rows.withColumn("lot", lot).groupBy("lot").applyInPandas(run, "key bigint, ids array<bigint>, sizes array<bigint>, blocks int, sum bigint")
 
 
 def line_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, component) of the lines' ids that have a link."""
     found, n = kept_and_counted(candidate_lines(docs), keys=F.sum(F.size("keys")))
-    buckets = kept(different(kept(near_in_buckets(found, n["keys"], percent))))
-    sets = found.join(buckets.select("id").distinct(), "id", "left_semi").groupBy("id").agg(*(F.first(c).alias(c) for c in ("n", "near", "line")))
-    sets = kept(sets.select("id", "n", F.lit(0).cast("bigint").alias("r"), "near", F.col("line").alias("tokens")))
-    may = f"100 * least(na, nb) >= {percent} * greatest(na, nb) and {_like_enough()}"
-    return link(buckets, sets, percent, may, read=_read, few=True)[1]
+    near = near_in_buckets(found, n["keys"], percent)
+    # of bands with the same lines, one
+    bands = near.groupBy("sum", F.size("ids").alias("many"), F.col("ids")[0].alias("least")).agg(F.min(F.struct("key", "blocks", "ids", "sizes")).alias("b"))
+    each = bands.select(F.explode(F.arrays_zip("b.ids", "b.sizes")).alias("x"), F.struct("b.key", "b.blocks").alias("b"), F.col("b.ids")[0].alias("lead"))
+    of = kept(each.groupBy(F.col("x.ids").alias("id")).agg(F.first("x.sizes").alias("size"), F.collect_list("b").alias("keys"), F.min("lead").alias("lead")))
+    # lines that share no band may share one with a third line each: those of the same least one meet as well
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.when(F.count("*") > 2, F.ceil(F.sum("size") / BLOCK_BYTES)).otherwise(1)).cast("int")
+    besides = of.groupBy("lead").agg(F.count("*").alias("many"), blocks.alias("blocks")).where("many > 1").select("lead", F.array(F.struct(F.col("lead").alias("key"), "blocks")).alias("more"))
+    met = of.join(besides, "lead", "left").select("id", F.when(F.col("more").isNull(), F.col("keys")).otherwise(F.concat("keys", "more")).alias("keys"))
+    lines = found.groupBy("id").agg(*(F.first(c).alias(c) for c in ("n", "near", "line"))).withColumnRenamed("line", "tokens")
+    size = F.size("keys")
+    sums = {"rows": F.sum(size), "bytes": F.sum(size * F.octet_length("tokens")), "large": F.sum(F.size(F.filter("keys", lambda b: b["blocks"] > 1)))}
+    items, told = kept_and_counted(lines.join(met, "id"), **sums)
+    return blocked_components(items, told, percent, _read, _like)
 
 
 def _shingles_of(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -9,7 +9,7 @@ lie in different components and that no bound on their similarity rules out; so
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -32,6 +32,12 @@ SLICE_PAIRS = 1024
 PAIR_BYTES = 4 << 20
 #: Rows of small pivots that a task takes at a time, on the average.
 LOT_ROWS = 4096
+#: Bytes of an item's tokens, as they travel, that a block of a bucket holds on the average.
+BLOCK_BYTES = 1 << 20
+#: Bytes of the items of small buckets that a task takes, on the average.
+LOT_BYTES = 2 << 20
+#: Pairs that are compared at a time.
+PAIRS = 1 << 14
 #: Edges that one task joins, 4 MB of them; of more, rounds over all tasks leave so many.
 LOCAL_EDGES = 1 << 18
 
@@ -258,13 +264,12 @@ def link(
     small: DataFrame | None = None,
     counted: int = 1,
     read: Callable[[list[bytes]], list[np.ndarray]] = stored,
-    few: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) that were verified, and the components (node, component) of all links that there are.
 
     buckets: distinct rows (key, id) of any size. sets: id, n, r (tokens that no item has in common by a bucket), near (what `may`, an expression over na, ra, neara
     and nb, rb, nearb, asks besides), tokens as verify() takes them. counted: two linked items share so many buckets. small: rows (key, id) of buckets of bounded size, whose
-    pairs are all listed, with own (tokens that no other item has) in the place of r. few: items are in few buckets, as cross() takes it; not with counted.
+    pairs are all listed, with own (tokens that no other item has) in the place of r.
     Every pair of items that share a bucket ends in one component, was ruled out by a bound, or was tested.
     """
     may = may or may_link(percent)
@@ -303,7 +308,7 @@ def link(
         more = about.join(pivots.drop("extra"), "id", "left")
         may = f"{may} and {_by_pivot(percent)}"
         besides = beside_pivot(open_.select("id", "c").distinct().join(about.select("id", "n"), "id").join(pivots, "id"), percent, lots=max(1, -(-n["n"] // LOT_ROWS)))
-    pairs = cross(open_.select("key", "id", "c"), more, may, few)
+    pairs = cross(open_.select("key", "id", "c"), more, may)
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("k")).where(f"k >= {counted}").select("a", "b") if counted > 1 else pairs.select("a", "b")
     pairs = (pairs if besides is None else pairs.unionByName(besides)).distinct()
     if small is not None:
@@ -324,3 +329,156 @@ def link(
     if labels is None:
         return links, links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return reduce(DataFrame.unionByName, found), labels
+
+
+def _within(key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of one key, of rows in order of it, some at a time."""
+    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.append(head, len(key)))
+    left = np.repeat(head + size, size) - np.arange(len(key))  # rows from this one to the bucket's end
+    live, step = np.flatnonzero(left > 1), 1
+    while len(live):
+        yield live, live + step
+        step += 1
+        live = live[left[live] > step]
+
+
+def _across(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for i in left.tolist():
+        yield np.full(len(right), i), right
+
+
+def _shared_least(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least key that each row of x has in common with that of y; negative ones are none."""
+    same = (x[:, :, None] == y[:, None, :]).any(axis=2) & (x >= 0)
+    return np.where(same, x, np.iinfo(np.int64).max).min(axis=1)
+
+
+class _Forest:
+    """Links of some items that join components not joined before; tokens are read when an item is first compared."""
+
+    def __init__(self, c: np.ndarray, n: np.ndarray, tokens: Callable[[list[int]], list[np.ndarray]], percent: int):
+        self.root = np.unique(c, return_inverse=True)[1]
+        self.n, self.tokens, self.percent = n, tokens, percent
+        self.known: dict[int, np.ndarray] = {}
+        self.edges: list[tuple[int, int]] = []
+
+    def compare(self, x: np.ndarray, y: np.ndarray) -> None:
+        apart = self.root[x] != self.root[y]
+        x, y = x[apart], y[apart]
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        needed = np.unique(np.concatenate([x, y]))
+        if fresh := [i for i in needed.tolist() if i not in self.known]:
+            self.known |= zip(fresh, self.tokens(fresh), strict=True)
+        of = self.known
+        if dense := len(x) > 16 * len(needed):  # tokens as small numbers, so that one item's can be marked for all it is compared with
+            size = [len(of[i]) for i in needed.tolist()]
+            number = np.unique(np.concatenate([of[i] for i in needed.tolist()]), return_inverse=True)[1]
+            mark = np.zeros(number.max() + 1, np.int64)
+            of = dict(zip(needed.tolist(), np.split(number, np.cumsum(size)[:-1]), strict=True))
+        cut = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]])) if len(x) else np.zeros(1, int)
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            i, others = int(x[a]), y[a:b]
+            others = others[self.root[others] != self.root[i]]
+            if not len(others):
+                continue
+            if dense:
+                mark[of[i]] = 1
+                size = np.array([len(of[j]) for j in others.tolist()])
+                same = np.add.reduceat(mark[np.concatenate([of[j] for j in others.tolist()])], np.cumsum(size) - size)
+                mark[of[i]] = 0
+            else:
+                same = np.array([_in_common(of[i], of[j]) for j in others.tolist()])
+            for j in others[100 * same >= self.percent * (self.n[i] + self.n[others] - same)].tolist():
+                if self.root[i] != self.root[j]:
+                    self.edges.append((i, j))
+                    self.root[self.root == self.root[j]] = self.root[i]
+
+
+def link_in_blocks(rows: DataFrame, percent: int, read: Callable[[list[bytes]], list[np.ndarray]], like: Callable[[np.ndarray, np.ndarray], np.ndarray], lots: int = 16) -> DataFrame:
+    """Edges (a, b) that join all components of items which share a bucket, are `like` each other and have the similarity: of a task's links
+    those that join what wasn't joined before.
+
+    rows: key, id, blocks (of the bucket), c, n (set size), near, tokens, keys (all of the item's buckets, of which a pair is compared in the least that it
+    shares). The items of a bucket of several blocks are dealt to them, and each two blocks meet in a task of their own; buckets of one
+    block are dealt to lots. So no pair of items is a row: a bucket costs its items a row for each of its blocks, and a task gives fewer edges than it has items.
+    """
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own")
+    lot = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(lots))).otherwise(F.col("key")).alias("lot")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    cells = rows.select("key", "id", "c", "n", "near", "tokens", "keys", own, lot, (F.col("blocks") == 1).alias("small"), other)
+    cells = cells.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        key, ids, c, n, own = (group[k].to_numpy() for k in ("key", "id", "c", "n", "own"))
+        low, high = group["low"][0].as_py(), group["high"][0].as_py()
+        item, first, of = np.unique(ids, return_index=True, return_inverse=True)
+        near = pc.list_flatten(group["near"]).to_numpy().reshape(len(ids), -1).view(np.uint64)[first]
+        many = pc.list_value_length(group["keys"]).to_numpy()
+        keys = np.full((len(ids), many.max()), -1, np.int64)
+        keys[np.arange(many.max()) < many[:, None]] = pc.list_flatten(group["keys"]).to_numpy()
+        keys, n, raw = keys[first], n[first], group["tokens"]
+        forest = _Forest(c[first], n, lambda at: read([raw[first[i]].as_py() for i in at]), percent)
+        order = np.lexsort((ids, key))
+        pairs = _within(key[order]) if low == high else _across(np.flatnonzero(own[order] == low), np.flatnonzero(own[order] == high))
+        held, size = [], 0
+
+        def compare() -> None:
+            at, x, y = np.concatenate(held, axis=1)
+            here = _shared_least(keys[x], keys[y]) == at
+            forest.compare(x[here], y[here])
+
+        key, of = key[order], of[order]
+        for a, b in pairs:
+            for s in range(0, len(a), PAIRS):
+                x, y = of[a[s : s + PAIRS]], of[b[s : s + PAIRS]]
+                may = forest.root[x] != forest.root[y]
+                may &= 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+                may[may] = like(near[x[may]], near[y[may]])
+                held.append(np.stack([key[a[s : s + PAIRS]], x, y])[:, may])
+                size += held[-1].shape[1]
+                if size > PAIRS:
+                    compare()
+                    held, size = [], 0
+        if size:
+            compare()
+        edges = np.array(forest.edges, np.int64).reshape(-1, 2)
+        out = pa.table({"a": item[edges[:, 0]], "b": item[edges[:, 1]]})
+        del group, raw, forest, near, keys
+        give_back()
+        return out
+
+    return cells.groupBy("lot", "small", "low", "high").applyInArrow(run, "a bigint, b bigint")
+
+
+def blocked_components(items: DataFrame, sums: dict[str, int], percent: int, read: Callable[[list[bytes]], list[np.ndarray]], like: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(node, component) of items that share a bucket, are `like` each other and have the similarity; those without a link may be absent.
+
+    items: id, n, near, tokens, keys (array of struct key, blocks: the buckets of the item and how many blocks each makes). sums: rows, bytes and
+    large: of the buckets' rows, those of the tokens in them, and the rows in buckets of several blocks. Of these, items are tested against leaders first.
+    """
+    each = items.select("id", F.explode("keys").alias("at")).select("at.key", "id", "at.blocks")
+    labels: DataFrame | None = None
+    large = kept(each.where("blocks > 1").withColumn("r", F.lit(0))) if sums["large"] else None
+    for turn in range(ROUNDS if large is not None else 0):
+        asked = _open(large, labels, turn).where("c <> lc").groupBy(F.col("id").alias("b"), F.col("leader").alias("a")).agg(F.count("*").alias("shared"))
+        pairs = asked.groupBy("b").agg(F.max(F.struct("shared", F.negative("a").alias("less"))).alias("m")).select(F.negative("m.less").alias("a"), "b")
+        found, told = kept_and_counted(verify(pairs, items, percent, read).where("ok").select("a", "b"))
+        if not told["n"]:
+            break
+        stars = [labels.select(F.col("node").alias("a"), F.col("component").alias("b"))] if labels is not None else []
+        labels = components(reduce(DataFrame.unionByName, [*stars, found]))
+    named = items.withColumn("c", F.col("id"))
+    if labels is not None:
+        named = items.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    rows = named.select(*(F.col(c) for c in ("id", "c", "n", "near", "tokens")), F.col("keys.key").alias("keys"), F.explode("keys").alias("at")).select("*", "at.key", "at.blocks").drop("at")
+    if large is not None:
+        still = _open(large, labels, 0).select("key").distinct()
+        rows = rows.where("blocks = 1").unionByName(rows.where("blocks > 1").join(still, "key", "left_semi"))
+    lots = max(1, -(-sums["rows"] // LOT_ROWS), -(-sums["bytes"] // LOT_BYTES))
+    edges = link_in_blocks(rows, percent, read, like, lots)
+    if labels is not None:
+        edges = edges.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return components(edges)

@@ -381,3 +381,49 @@ def test_small_pivots_share_a_task(spark):
     for lots in (1, 5):
         got = [(r.a, r.b) for r in linking.beside_pivot(table, 75, 16, lots).collect()]
         assert set(got) == want and len(got) == len(want) > 5
+
+
+def near_lines(rng, n):
+    """Lines of one stem: many pairs link and many just don't."""
+    stem = prose(rng, 30).split()
+    out = set()
+    while len(out) < n:
+        w = list(stem)
+        for _ in range(rng.randint(1, 5)):
+            w[rng.randrange(len(w))] = prose(rng, 1)
+        out.add(" ".join(w))
+    return sorted(out)
+
+
+def test_pairs_of_near_lines_are_no_rows(spark, monkeypatch):
+    """A group of near lines costs rows in proportion to its lines, in one block and in several, and has the components of all its pairs."""
+    lines = near_lines(random.Random(21), 400)
+    sets = [{x[i : i + 5] for i in range(len(x) - 4)} for x in lines]
+    root = list(range(len(lines)))
+    for i in range(len(lines)):
+        for j in range(i):
+            same = len(sets[i] & sets[j])
+            if root[i] != root[j] and 100 * same >= 75 * (len(sets[i]) + len(sets[j]) - same):
+                root = [root[j] if r == root[i] else r for r in root]
+    want = {frozenset(i for i, r in enumerate(root) if r == k) for k in set(root)}
+    assert 3 < len(want) < 390
+    for blocks, cells in ((1, 1), (5, 15)):
+        rows = [(k, i, blocks, i, len(s), [0], x.encode(), [3 + i % 2, 7]) for i, (s, x) in enumerate(zip(sets, lines, strict=True)) for k in (3 + i % 2, 7)]
+        table = spark.createDataFrame(rows, "key bigint, id bigint, blocks int, c bigint, n bigint, near array<bigint>, tokens binary, keys array<bigint>")
+        edges = [(r.a, r.b) for r in linking.link_in_blocks(table, 75, line_dedup._read, lambda x, y: np.ones(len(x), bool)).collect()]
+        parent = list(range(len(lines)))
+        for a, b in edges:
+            parent = [parent[a] if p == parent[b] else p for p in parent]
+        assert {frozenset(i for i, r in enumerate(parent) if r == k) for k in set(parent)} == want
+        assert len(edges) < 2 * cells * 2 * len(lines) // blocks
+    asked, verify = [], linking.verify
+
+    def counted(pairs, *rest, **named):
+        asked.append(pairs.count())
+        return verify(pairs, *rest, **named)
+
+    monkeypatch.setattr(linking, "verify", counted)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id for r in line_dedup.line_digest(docs).where("n_removed = 1").collect()}
+    assert sum(asked) <= linking.ROUNDS * len(lines)  # 12,307 before
+    assert len(got ^ {i for k in want for i in k if i != min(k)}) <= 2
