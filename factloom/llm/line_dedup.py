@@ -21,6 +21,7 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,10 +35,10 @@ from .textcore import SPACE, U64, WORD_PATTERN, Texts, grams, hash_spans, lines_
 SHINGLE, MINIMA, ROWS, PERCENT = 5, 64, 4, 75
 SKETCH, SKETCH_FAR = 32, 13
 #: Minima of a candidate's long sketch, two bits each, and in how many of them two candidates may differ: at similarity
-#: 0.75 they differ in 48 on the average, with a deviation of 6.2.
-LONG, LONG_FAR = 256, 70
+#: 0.75 they differ in 24 on the average, with a deviation of 4.4.
+LONG, LONG_FAR = 128, 40
 #: And in how many if both have a candidate beside them: their shingles are counted then, which costs less than a lost link.
-COUNT_FAR = 90
+COUNT_FAR = 54
 #: A band of more lines of one chunk asks once, and all its lines are candidates.
 HOT = 64
 #: So are all lines of a band that has more different ones than this.
@@ -91,7 +92,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def minima(data: np.ndarray, start: np.ndarray, length: np.ndarray, count: int = MINIMA, block: int = 1 << 15) -> np.ndarray:
+def minima(data: np.ndarray, start: np.ndarray, length: np.ndarray, count: int = MINIMA, block: int = 1 << 16) -> np.ndarray:
     """count x lines: the minima of each line's shingles under so many independent orders. Lines are in order of their start."""
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), "<u4")
     at, end = start, start + length
@@ -286,31 +287,31 @@ def near_in_buckets(found: DataFrame, n_rows: int, percent: int = PERCENT) -> Da
     """A row for each band with lines that have another of like size and long sketch in it: key, ids (of these lines, in order; of a band of more than MANY
     all), sizes (their bytes), blocks (how many linking.link_in_blocks() makes of them) and sum (equal for equal ids)."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def run(group: pa.Table) -> pa.Table:
         key, ids, n, size = (group[c].to_numpy() for c in ("key", "id", "n", "size"))
         order = np.lexsort((ids, key))
         new = np.ones(len(order), bool)
         new[1:] = (key[order][1:] != key[order][:-1]) | (ids[order][1:] != ids[order][:-1])
         order = order[new]
         key, ids, n, size = key[order], ids[order], n[order], size[order]
-        near = np.stack(group["near"].to_numpy()[order]).view(U64)
+        near = pc.list_flatten(group["near"]).to_numpy().reshape(len(new), -1).view(U64)[order]
 
         def like(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return _like(near[a], near[b], LONG_FAR) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
 
         yes = _near_in_bucket(key, like)
         key, ids, size = key[yes], ids[yes], size[yes]
-        if not len(key):
-            return pd.DataFrame({"key": [], "ids": [], "sizes": [], "blocks": [], "sum": []}, dtype=object)
-        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         many = np.diff(np.append(head, len(key)))
-        blocks = np.maximum(-(-many // BLOCK), -(-np.add.reduceat(size, head) // BLOCK_BYTES))
-        total = np.bitwise_xor.reduceat(mix(ids.view(U64)), head).view(np.int64)
-        return pd.DataFrame({"key": key[head], "ids": np.split(ids, head[1:]), "sizes": np.split(size, head[1:]), "blocks": np.where(many == 2, 1, blocks), "sum": total})
+        blocks = np.maximum(-(-many // BLOCK), -(-np.add.reduceat(size, head) // BLOCK_BYTES)) if len(key) else many
+        total = np.bitwise_xor.reduceat(mix(ids.view(U64)), head).view(np.int64) if len(key) else many
+        cut = pa.array(np.append(head, len(key)).astype(np.int32))
+        lists = (pa.ListArray.from_arrays(cut, pa.array(x)) for x in (ids, size))
+        return pa.table([pa.array(key[head]), *lists, pa.array(np.where(many == 2, 1, blocks).astype(np.int32)), pa.array(total)], ["key", "ids", "sizes", "blocks", "sum"])
 
     lot = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-n_rows // LOT_ROWS))))
     rows = found.select(F.explode("keys").alias("key"), "id", "n", "near", F.octet_length("line").cast("bigint").alias("size"))
-    return rows.withColumn("lot", lot).groupBy("lot").applyInPandas(run, "key bigint, ids array<bigint>, sizes array<bigint>, blocks int, sum bigint")
+    return rows.withColumn("lot", lot).groupBy("lot").applyInArrow(run, "key bigint, ids array<bigint>, sizes array<bigint>, blocks int, sum bigint")
 
 
 def line_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

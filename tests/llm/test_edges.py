@@ -427,3 +427,12 @@ def test_pairs_of_near_lines_are_no_rows(spark, monkeypatch):
     got = {r.doc_id for r in line_dedup.line_digest(docs).where("n_removed = 1").collect()}
     assert sum(asked) <= linking.ROUNDS * len(lines)  # 12,307 before
     assert len(got ^ {i for k in want for i in k if i != min(k)}) <= 2
+
+
+def test_bands_come_with_their_lines_once(spark):
+    """A row a band, of lines that have a like one in it, however its rows are dealt."""
+    near = {1: [0] * 4, 2: [0] * 4, 3: [-1] * 4, 4: [0] * 4}
+    found = spark.createDataFrame([(i, 50 if i < 4 else 90, near[i], bytes(60), [5, 9 + i // 3]) for i in (2, 1, 3, 4, 1)], "id bigint, n bigint, near array<bigint>, line binary, keys array<bigint>")
+    got = sorted((r.key, r.ids, r.sizes, r.blocks) for r in line_dedup.near_in_buckets(found.repartition(3), 10).collect())
+    assert got == [(5, [1, 2], [60, 60], 1), (9, [1, 2], [60, 60], 1)]
+    assert line_dedup.near_in_buckets(found.where("id = 3"), 1).count() == 0
