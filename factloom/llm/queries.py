@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F  # noqa: F401
+from pyspark.sql import functions as F
 
+from . import oracles
 from .common import table
 
 
@@ -72,6 +73,25 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Toxicity.fit(docs, table(spark, sf_dir, "labels")).score_documents(docs)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_templates import judged, labelled_pages
+
+    pages = table(spark, sf_dir, "pages")
+    return judged(pages, labelled_pages(pages, table(spark, sf_dir, "labels"))).withColumn("purity", F.round("purity", 6))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -83,5 +103,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_matroska_media": op9_matroska_media,
     "op10_sentence_pieces": op10_sentence_pieces,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_url_filters": op12_url_filters,
+    "op13_spelling_variants": op13_spelling_variants,
+}
+ORACLES: dict[str, str] = {
+    "op11_importance_resampling": oracles.OP11,
+    "op12_url_filters": oracles.OP12,
+    "op13_spelling_variants": oracles.OP13,
 }
-ORACLES: dict[str, str] = {}
