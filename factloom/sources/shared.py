@@ -1,18 +1,43 @@
-"""Checkpoints in the folder that all executors share."""
+"""Checkpoints and tables in the folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Checkpointed below spark.checkpoint.dir; a temporary folder only where that is unset and all runs on one machine, as in tests."""
-    context = df.sparkSession.sparkContext
+def _ensure_folder(spark: SparkSession) -> None:
+    """spark.checkpoint.dir; a temporary folder only where that is unset and all runs on one machine, as in tests."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = context.getConf().get("spark.checkpoint.dir")
         if not folder and context.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="factloom-"))
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Checkpointed in the shared folder."""
+    _ensure_folder(df.sparkSession)
     return df.checkpoint()
+
+
+class Stored:
+    """A table written once below spark.checkpoint.dir. Unlike a checkpoint it computes its plan once; rows is how many were written."""
+
+    def __init__(self, df: DataFrame) -> None:
+        spark, seen = df.sparkSession, Observation()
+        _ensure_folder(spark)
+        self.path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stored-{uuid4().hex}"
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(self.path)
+        self.frame = spark.read.schema(df.schema).parquet(self.path)
+        self.rows = int(seen.get["n"])
+
+    def drop(self) -> None:
+        """Deletes it; nothing that reads it may be computed afterwards."""
+        spark = self.frame.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
