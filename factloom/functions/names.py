@@ -23,6 +23,7 @@ LITERALS = {
     "int": "__INT_LIT__",
     "float": "__FLOAT_LIT__",
     "verbatim": "__LIT__",
+    "bool": "__BOOL_LIT__",
 }
 
 

@@ -140,38 +140,3 @@ def isolated_families(families: DataFrame, fan_in: DataFrame) -> DataFrame:
     """family of those whose every member has fan_in (id, references) of 0; a member without a row is not isolated."""
     rows = families.join(fan_in, "id", "left")
     return rows.groupBy("family").agg(F.bool_and(F.coalesce(F.col("references") == 0, F.lit(False))).alias("alone")).where("alone").select("family")
-
-
-def clone_classes(token_rows: DataFrame, least: int = 20) -> DataFrame:
-    """The spans of clone_spans() as classes with members: rows (id, toks array) to (class, id, start, length), never a row a pair.
-
-    Windows of `least` tokens that occur in two functions or more meet by their hash. A window and the next one are one class when
-    every occurrence of either lies beside one of the other, so all members of a class are equal throughout and a hot passage
-    costs a row a member. The maximal span of two functions is their classes that follow one another on a diagonal.
-    """
-    n = F.size("toks")
-    hashed = token_rows.where(n >= least).select("id", F.transform("toks", lambda x: F.xxhash64(x)).alias("toks"))
-    docs = hashed.join(_with_common_anchor(hashed, least), "id", "left_semi")
-    # i is 1-based; at the text's ends a value of the text's own stands for the neighbour
-    near = lambda i, end: F.coalesce(F.get("toks", i), F.xxhash64("id", F.lit(end)))
-    window = F.transform(F.sequence(F.lit(1), n - least + 1), lambda i: F.struct(F.xxhash64(F.slice("toks", i, least)).alias("h"), near(i - 2, "begin").alias("before"), near(i + least - 1, "end").alias("after")))
-    w = docs.select("id", F.posexplode(window).alias("pos", "w")).select("id", "pos", "w.h", "w.before", "w.after")
-    one = lambda c: F.min(c) == F.max(c)
-    several = w.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last"), one("before").alias("one_before"), one("after").alias("one_after")).where("first < last")
-    found = w.select("id", "pos", "h").join(several.select("h", "one_before", "one_after"), "h")
-    order = Window.partitionBy("id").orderBy("pos")
-    goes_on = (F.lag("pos").over(order) == F.col("pos") - 1) & F.lag("one_after").over(order) & F.col("one_before")
-    parts = found.withColumn("begins", F.when(goes_on, 0).otherwise(1)).withColumn("part", F.sum("begins").over(order))
-    runs = parts.groupBy("id", "part").agg(F.min_by("h", "pos").alias("class"), F.min("pos").alias("start"), (F.count("*") + least - 1).cast("int").alias("length"))
-    return runs.select("class", "id", "start", "length")
-
-
-def _with_common_anchor(hashed: DataFrame, least: int) -> DataFrame:
-    """id of rows that can share a window with another: equal windows have the same least hash of half-length grams, of which a text has few."""
-    half = (least + 1) // 2
-    grams = F.transform(F.sequence(F.lit(1), F.size("toks") - half + 1), lambda i: F.xxhash64(F.slice("toks", i, half)))
-    width = least - half + 1
-    low = F.transform(F.sequence(F.lit(1), F.size("g") - width + 1), lambda i: F.array_min(F.slice("g", i, width)))
-    anchors = hashed.select("id", grams.alias("g")).select("id", F.explode(F.array_distinct(low)).alias("low"))
-    common = anchors.groupBy("low").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    return anchors.join(common.select("low"), "low", "left_semi").select("id").distinct()

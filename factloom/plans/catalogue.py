@@ -533,13 +533,6 @@ def clone_maximal_spans(spark, d):
     return text.clone_spans(rows, 5)
 
 
-@query()
-def clone_classes(spark, d):
-    """Clones between documents at the reference's 20 tokens, as classes with members."""
-    rows = t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.filter(F.split("text", r"\s+"), lambda x: x != "").alias("toks"))
-    return text.clone_classes(rows)
-
-
 # ---- provenance --------------------------------------------------------------
 
 CLASSES = """c AS (SELECT o_orderkey AS commit_id, o_orderpriority AS body, c_mktsegment AS author FROM orders JOIN customer ON c_custkey = o_custkey),

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import random
 
-from factloom.operators import graphs, text
-from factloom.plans import catalogue
+from factloom.operators import clones, graphs, text
+from factloom.plans import catalogue, clone_queries
 
 
 def test_innermost_span_takes_all_parts(spark, tmp_path):
@@ -91,7 +91,7 @@ def test_clone_classes_hold_every_span(spark):
         rows[i] = rng.choices("xyz", k=i % 4) + passage[i % 3 :] + rng.choices("xyz", k=i % 3) + other * (i % 3)
     rows |= {20: rows[8], 21: rows[9][:-6] + ["q"] + rows[9][-5:], 22: ["a"] * 12, 23: ["a"] * 9}
     df = spark.createDataFrame(list(rows.items()), "id bigint, toks array<string>")
-    got = text.clone_classes(df, 5).collect()
+    got = clones.clone_classes(df, "mild", 5).collect()
     want = pair_spans(rows, 5)
     assert spans_of_classes(got, 5) == want and len(want) > 200
     assert {(r.a, r.b, r.a_from, r.b_from, r.length) for r in text.clone_spans(df, 5).collect()} == want
@@ -101,7 +101,7 @@ def test_clone_classes_reads_documents(spark, tmp_path):
     shared = " ".join(f"w{i}" for i in range(25))
     docs = [(k, f"x{k} {shared}\ny{k}") for k in range(300)] + [(300, "w1 w2")]
     spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = [(r.id, r.start, r.length) for r in catalogue.clone_classes(spark, str(tmp_path)).collect()]
+    got = [(r.id, r.start, r.length) for r in clone_queries.clone_classes(spark, str(tmp_path)).collect()]
     assert sorted(got) == [(k, 1, 25) for k in range(300)]
 
 
