@@ -11,9 +11,12 @@ GENERIC_WORDS = ("data", "result", "temp", "handler", "manager", "processor", "h
 STOPWORDS = ("the", "a", "an", "to", "of", "and", "this", "is", "let", "mut", "fn", "if", "else", "return")
 #: The language's keywords, strict and reserved.
 KEYWORDS = (
-    "as async await break const continue dyn else enum extern fn for if impl in let loop match mod move mut pub ref return static struct trait type "
-    "unsafe use where while abstract become box do final macro override priv try typeof unsized virtual yield union"
-).split()
+    "as", "async", "await", "break", "const", "continue", "dyn", "else", "enum", "extern", "fn",
+    "for", "if", "impl", "in", "let", "loop", "match", "mod", "move", "mut", "pub", "ref",
+    "return", "static", "struct", "trait", "type", "unsafe", "use", "where", "while", "abstract",
+    "become", "box", "do", "final", "macro", "override", "priv", "try", "typeof", "unsized",
+    "virtual", "yield", "union",
+)
 #: What stands for a literal of each kind in a normalised token stream.
 LITERALS = {
     "str": "__STR_LIT__",
@@ -146,3 +149,35 @@ def seconds_of(stamp: str) -> Column:
 def rebased(path: str, root: str) -> Column:
     """A path below a root without the root; others stay."""
     return F.when(F.startswith(path, F.concat(F.col(root), F.lit("/"))), F.substring(F.col(path), F.length(root) + 2, F.length(path))).otherwise(F.col(path))
+
+
+#: Where the 64-bit FNV-1a hash begins, and what is left of its factor 2^40 + 435.
+_FNV_HIGH, _FNV_LOW, _FNV_FACTOR = 0xCBF29CE4, 0x84222325, 435
+
+
+def fnv1a(text: Column) -> Column:
+    """The 64-bit FNV-1a hash of a text's UTF-8 bytes, 16 hexadecimal digits; null of null.
+
+    The hash is two halves of 32 bits, so no product passes 64: a step multiplies both by the factor's small part, and its 2^40 moves the lower one up by eight bits.
+    """
+    digits = F.hex(F.encode(text, "UTF-8"))
+    size = (F.length(digits) / 2).cast("int")
+    places = F.when(size > 0, F.sequence(F.lit(1), size)).when(size == 0, F.array().cast("array<int>"))
+    mask = F.lit(0xFFFFFFFF).cast("bigint")
+    begun = F.struct(F.lit(_FNV_HIGH).cast("bigint").alias("high"), F.lit(_FNV_LOW).cast("bigint").alias("low"))
+
+    def step(h: Column, at: Column) -> Column:
+        byte = F.conv(F.substring(digits, 2 * at - 1, F.lit(2)), 16, 10).cast("bigint")
+        low = h["low"].bitwiseXOR(byte)
+        product = low * _FNV_FACTOR
+        high = h["high"] * _FNV_FACTOR + F.shiftright(product, 32) + F.shiftleft(low, 8)
+        return F.struct(high.bitwiseAND(mask).alias("high"), product.bitwiseAND(mask).alias("low"))
+
+    half = lambda c: F.lpad(F.lower(F.hex(c)), 8, "0")
+    return F.aggregate(places, begun, step, lambda h: F.concat(half(h["high"]), half(h["low"])))
+
+
+def candidate_id(pattern: Column, crate: Column, modules: Column, evidence: Column) -> Column:
+    """A stable name of a pattern found in a crate: of its sorted modules and its sorted distinct evidence, whatever order they come in."""
+    parts = F.concat_ws("|", pattern, crate, F.array_join(F.array_sort(modules), ","), F.array_join(F.array_sort(F.array_distinct(evidence)), ","))
+    return F.concat(F.lit("pattern:"), pattern, F.lit(":"), fnv1a(parts))

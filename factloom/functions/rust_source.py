@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .names import GENERIC_WORDS
+
 FUNCTIONS = "file string, name string, line int, is_pub boolean, is_test boolean, cyclomatic int, lines_of_code int, nesting_depth int, match_arm_count int, arg_count int"
 COMMENTS = "file string, start_line int, end_line int, text string, is_doc boolean"
 FINDINGS = "file string, line int, rule string, severity string"
@@ -100,7 +102,7 @@ PATTERNS = (
     ("merged-stub", "Warn", r"\b(?:todo|unimplemented)!\s*\("),
     ("tautological-test", "Warn", r"\bassert!\(\s*true\s*[,)]|\bassert_eq!\(\s*([\w.]+)\s*,\s*\1\s*[,)]"),
     ("ignored-test-accumulation", "Info", r"#\[ignore\b"),
-    ("generic-naming", "Info", r"\blet\s+(?:mut\s+)?(?:data|temp|tmp|value|result|item|obj|foo)\d+\b"),
+    ("generic-naming", "Info", rf"(?i:\blet\s+(?:mut\s+)?(?:{'|'.join(GENERIC_WORDS)})\d+\b)"),
 )
 
 

@@ -14,6 +14,9 @@ from .graphs import shortest_paths
 #: The roles of the hexagonal preset.
 ROLES = ("core", "ports", "adapters")
 
+#: The roles of the hexagonal preset.
+ROLES = ("core", "ports", "adapters")
+
 
 def violations(edges: DataFrame, rules: DataFrame) -> DataFrame:
     """rule, src, dst, path: forbidden pairs that an edge or, if the rule reaches further, the shortest path joins; and with dst null, sources
@@ -43,7 +46,15 @@ def layered(assigned: DataFrame, order: list) -> DataFrame:
 
 
 def hexagonal(assigned: DataFrame) -> DataFrame:
-    """Rules of the hexagonal preset: core and adapters don't touch each other, and adapters touch ports."""
+    """Rules of the hexagonal preset: core and adapters don't touch each other, and adapters touch ports.
+
+    An error for a role that isn't one of ROLES, and for one that no node has; assigned is a configuration, of which at most four roles come to the driver.
+    """
+    roles = {r[0] for r in assigned.select("grp").distinct().orderBy(F.col("grp").isin(*ROLES), "grp").limit(len(ROLES) + 1).collect()}
+    if unknown := sorted(map(str, roles - set(ROLES))):
+        raise ValueError(f"the hexagonal preset knows the roles {', '.join(ROLES)}, not {', '.join(unknown)}")
+    if missing := [r for r in ROLES if r not in roles]:
+        raise ValueError(f"the hexagonal preset needs a node of each role; none is of {', '.join(missing)}")
     pairs = _pairs(assigned, "hexagonal")
     kind = F.when((F.col("sg") == "core") & (F.col("dg") == "adapters"), "forbidden").when((F.col("sg") == "adapters") & (F.col("dg") == "core"), "forbidden").when((F.col("sg") == "adapters") & (F.col("dg") == "ports"), "required")
     return pairs.withColumn("kind", kind).where("kind is not null").select("name", "src", "dst", "kind", F.lit("direct").alias("reach"))

@@ -25,10 +25,6 @@ def severity_rank(severity: str = "severity") -> Column:
     return F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col(severity))
 
 
-def worst_first(findings: DataFrame) -> DataFrame:
-    return findings.orderBy(F.desc(severity_rank()), "rule", "id")
-
-
 def delta(current: DataFrame, baseline: DataFrame, touched: DataFrame, revisions: DataFrame) -> DataFrame:
     """id, rule, severity, evidence_class, state of every finding of either side.
 

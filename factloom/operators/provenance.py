@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,23 @@ def classify(commits: DataFrame, labels: DataFrame, agents: tuple[str, ...], sus
     return rows.select("commit_id", F.coalesce("label", "agent", F.when(suspicious, "agent?"), F.lit("unknown")).alias("class"), sure.alias("confidence"))
 
 
+def _holds(low: str) -> Callable[[Column], Column]:
+    return lambda t: F.lower(t).contains(low)
+
+
+def labelled(commits: DataFrame, labels: DataFrame) -> DataFrame:
+    """commit_id, label: of each commit (commit_id, author_email, trailers: array of values) the first configured label of which a needle is in one of its trailers or its author's
+    address, whatever the case; null if none is. labels: ord, label, needle, place (trailer or email), a configuration, whose rows become one expression.
+    """
+    rows = sorted(tuple(r) for r in labels.select("ord", "label", "needle", "place").collect())
+    found = F.lit(None).cast("string")
+    for _, label, needle, place in rows[::-1]:
+        low = needle.lower()
+        hit = F.exists("trailers", _holds(low)) if place == "trailer" else F.lower("author_email").contains(low)
+        found = F.when(hit, F.lit(label)).otherwise(found)
+    return commits.select("commit_id", found.alias("label"))
+
+
 def by_class(classes: DataFrame, touches: DataFrame) -> DataFrame:
     """class, commits, files touched, least confidence."""
     sizes = touches.groupBy("commit_id").agg(F.countDistinct("file").alias("files"))

@@ -6,11 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def bucket(major: str, minor: str) -> F.Column:
-    """The compatibility bucket of a version: its major number, or 0.minor."""
-    return F.when(F.col(major) > 0, F.col(major).cast("string")).otherwise(F.concat(F.lit("0."), F.col(minor).cast("string")))
-
-
 def several(rows: DataFrame, key: str, value: str, least: int = 2) -> DataFrame:
     """key, n, found: keys with enough distinct values (versions in buckets, requirement strings), values sorted."""
     sets = rows.groupBy(key).agg(F.array_sort(F.collect_set(F.col(value).cast("string"))).alias("f"))

@@ -11,7 +11,7 @@ from .graphs import reachable
 MIN_LINES, MAX_CYCLOMATIC = 40, 3
 COMPLEX, CHURNED, UNCOVERED = 10, 5, 0.5
 #: Traits that are derived, so that a single implementation says nothing.
-DERIVABLE = ("Debug", "Clone", "Copy", "Default", "PartialEq", "Eq", "Hash", "PartialOrd", "Ord", "Display", "Serialize", "Deserialize")
+DERIVABLE = ("Debug", "Clone", "Copy", "Default", "PartialEq", "Eq", "Hash", "PartialOrd", "Ord", "Display", "Serialize", "Deserialize", "FromStr")
 BUILDER_FIELDS = 2
 
 
@@ -101,3 +101,36 @@ def test_ratios(files: DataFrame, test_modules: DataFrame) -> DataFrame:
     production = F.when(F.col("domain") == "Dev", 0).otherwise(F.greatest(F.col("lines") - F.coalesce("inner", F.lit(0)), F.lit(0)))
     sums = rows.groupBy("krate").agg(F.sum(production).alias("production_loc"), F.sum(test).alias("test_loc"))
     return sums.withColumn("ratio", F.try_divide("test_loc", "production_loc"))
+
+
+#: Re-exports that a walk follows at most, and from how many on a chain is worth a finding.
+MAX_HOPS, LONG_CHAIN = 5, 2
+
+
+def re_export_chains(uses: DataFrame, items: DataFrame, most: int = MAX_HOPS) -> DataFrame:
+    """use, hops, status of each public re-export: how many re-exports lie between it and the definition.
+
+    uses: use, module, name, the path that it names. items: module, name, kind ("original", "re_export" or another), to_module, to_name, the first of each module and name counting.
+    status: original; capped after `most` hops, which is then a floor and also ends a ring of re-exports; unclassified where the module or the item isn't known, and hops is null.
+    """
+    order = F.struct("kind", "to_module", "to_name")
+    known = items.groupBy("module", "name").agg(F.min(order).alias("i")).select("module", "name", "i.*")
+    at = uses.select("use", "module", "name", F.lit(1).alias("hops"), F.lit(None).cast("string").alias("status"))
+    for hop in range(1, most):
+        step = at.join(known, ["module", "name"], "left")
+        on = F.col("status").isNull() & (F.col("kind") == "re_export")
+        ended = F.when(F.col("kind") == "original", "original").when(F.col("kind") == "re_export", None).otherwise("unclassified")
+        at = step.select(
+            "use",
+            F.when(on, F.col("to_module")).otherwise(F.col("module")).alias("module"),
+            F.when(on, F.col("to_name")).otherwise(F.col("name")).alias("name"),
+            F.when(on, hop + 1).otherwise(F.col("hops")).alias("hops"),
+            F.coalesce("status", ended).alias("status"),
+        )
+    status = F.coalesce("status", F.lit("capped"))
+    return at.select("use", F.when(status != "unclassified", F.col("hops")).alias("hops"), status.alias("status"))
+
+
+def long_re_exports(chains: DataFrame) -> DataFrame:
+    """Those worth a finding."""
+    return chains.where(F.col("hops") >= LONG_CHAIN)

@@ -81,12 +81,23 @@ def restating_pairs(lines: DataFrame, similarity: float = 0.7, left: int = 4, ri
     return pairs.withColumn("jaccard", F.round(j, 6)).where(F.col("jaccard") >= similarity).select("doc", "line", "jaccard")
 
 
-def chains(steps: DataFrame, least: int = 3) -> DataFrame:
-    """Runs of consecutive numbers within a group: rows (grp, n) to (grp, first, last, length) of enough length."""
-    order = Window.partitionBy("grp").orderBy("n")
-    islands = steps.distinct().withColumn("island", F.col("n") - F.row_number().over(order))
-    runs = islands.groupBy("grp", "island").agg(F.min("n").alias("first"), F.max("n").alias("last"), F.count("*").alias("length"))
-    return runs.where(F.col("length") >= least).select("grp", "first", "last", "length")
+def step_chains(steps: DataFrame, lines: DataFrame, least: int = 3, apart: int = 2) -> DataFrame:
+    """file, item, first_line, length, lines of runs of numbered step comments: each number one more than the one before in the file, within one item, with
+    `apart` non-blank lines between them at most.
+
+    steps: file, line, number, item (null: none), the comments that aren't documentation and have a number, in their order in the file. lines: file, line, text. How many
+    non-blank lines lie between two comments is a difference of two counts up to a line.
+    """
+    so_far = Window.partitionBy("file").orderBy("line")
+    filled = F.when(F.trim("text") != "", 1).otherwise(0)
+    counted = lines.withColumn("filled", filled).withColumn("up_to", F.sum("filled").over(so_far)).select("file", "line", "up_to", (F.col("up_to") - F.col("filled")).alias("before"))
+    order = Window.partitionBy("file").orderBy("line", "number")
+    placed = steps.join(counted, ["file", "line"], "left")
+    between = F.greatest(F.col("before") - F.lag("up_to").over(order), F.lit(0))
+    same = F.lag("item").over(order).eqNullSafe(F.col("item")) & (F.col("number") == F.lag("number").over(order) + 1) & (between <= apart)
+    runs = placed.withColumn("begins", F.when(same, 0).otherwise(1)).withColumn("run", F.sum("begins").over(order))
+    found = runs.groupBy("file", "run").agg(F.first("item").alias("item"), F.array_sort(F.collect_list("line")).alias("lines"))
+    return found.where(F.size("lines") >= least).select("file", "item", F.get("lines", F.lit(0)).alias("first_line"), F.size("lines").alias("length"), "lines")
 
 
 def near_names(names: DataFrame, popular: DataFrame, least: int = 6) -> DataFrame:

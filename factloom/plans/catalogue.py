@@ -321,10 +321,10 @@ def fan_in_distinct_files(spark, d):
     return structure.fan_in(references)
 
 
-@query("""WITH i AS (SELECT CASE WHEN o_custkey % 50 = 0 THEN 'Debug' ELSE 't' || o_custkey END AS trait, o_orderpriority AS type FROM orders)
-SELECT trait, min(type) AS type FROM i WHERE trait <> 'Debug' GROUP BY 1 HAVING count(*) = 1""")
+@query("""WITH i AS (SELECT CASE WHEN o_custkey % 50 = 0 THEN 'Debug' WHEN o_orderkey = 7 THEN 'FromStr' ELSE 't' || o_custkey END AS trait, o_orderpriority AS type FROM orders)
+SELECT trait, min(type) AS type FROM i WHERE trait NOT IN ('Debug', 'FromStr') GROUP BY 1 HAVING count(*) = 1""")
 def single_member_groups(spark, d):
-    trait = F.when(F.col("o_custkey") % 50 == 0, "Debug").otherwise(F.concat(F.lit("t"), F.col("o_custkey")))
+    trait = F.when(F.col("o_custkey") % 50 == 0, "Debug").when(F.col("o_orderkey") == 7, "FromStr").otherwise(F.concat(F.lit("t"), F.col("o_custkey")))
     return structure.single_implementors(t(spark, d, "orders").select(trait.alias("trait"), F.col("o_orderpriority").alias("type")))
 
 
@@ -462,8 +462,8 @@ def no_coverage_antijoin(spark, d):
 # ---- text --------------------------------------------------------------------
 
 
-@query("""WITH c AS (SELECT doc_id, unnest(string_split(left(text, 2000), '')) AS c FROM documents WHERE length(text) > 0), n AS (SELECT doc_id, c, count(*) AS n FROM c WHERE c <> '' GROUP BY 1, 2)
-SELECT doc_id, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy FROM n GROUP BY 1""".replace("left(text, 2000)", "text"))
+@query("""WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents WHERE length(text) > 0), n AS (SELECT doc_id, c, count(*) AS n FROM c WHERE c <> '' GROUP BY 1, 2)
+SELECT doc_id, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy FROM n GROUP BY 1""")
 def shannon_entropy(spark, d):
     return text.entropy(t(spark, d, "documents"), "doc_id", "text")
 
@@ -474,10 +474,23 @@ def conversational_phrases(spark, d):
     return text.phrase_hits(t(spark, d, "documents"), "text", phrases).select("doc_id", "phrase", "tier")
 
 
-@query("""WITH s AS (SELECT DISTINCT conv_id AS grp, turn AS n FROM conversations WHERE role = 'user' OR turn % 3 <> 0), i AS (SELECT *, n - row_number() OVER (PARTITION BY grp ORDER BY n) AS k FROM s)
-SELECT grp, min(n) AS first, max(n) AS last, count(*) AS length FROM i GROUP BY grp, k HAVING count(*) >= 3""")
+STEPS = """l AS (SELECT doc_id AS file, unnest(generate_series(1, len(string_split(text, chr(10)))))::INTEGER AS line, unnest(string_split(text, chr(10))) AS text FROM documents),
+ c AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY line) AS k FROM l WHERE length(text) % 3 <> 0),
+ s AS (SELECT file, line, ((k - 1) % 7 + 1)::INTEGER AS number, line // 20 AS item FROM c WHERE length(text) % 5 <> 0)"""
+
+
+@query(f"""WITH {STEPS}, p AS (SELECT *, lag(number) OVER w AS n0, lag(item) OVER w AS i0, lag(line) OVER w AS l0 FROM s WINDOW w AS (PARTITION BY file ORDER BY line)),
+g AS (SELECT p.file, p.line, count(l.line) FILTER (trim(l.text) <> '') AS between_ FROM p LEFT JOIN l ON l.file = p.file AND l.line > l0 AND l.line < p.line GROUP BY 1, 2),
+r AS (SELECT p.*, sum(CASE WHEN number = n0 + 1 AND item = i0 AND between_ <= 2 THEN 0 ELSE 1 END) OVER (PARTITION BY p.file ORDER BY p.line) AS run FROM p JOIN g USING (file, line))
+SELECT file, any_value(item)::INTEGER AS item, min(line) AS first_line, count(*)::INTEGER AS length, array_to_string(list(line ORDER BY line), ',') AS lines FROM r GROUP BY file, run HAVING count(*) >= 3""")
 def step_chain_islands(spark, d):
-    return text.chains(t(spark, d, "conversations").where("role = 'user' or turn % 3 <> 0").select(F.col("conv_id").alias("grp"), F.col("turn").alias("n")))
+    """Two of three lines of a document are comments, numbered 1 to 7 again and again; four of five of them are no documentation. Twenty lines are an item."""
+    lines = t(spark, d, "documents").select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
+    from pyspark.sql import Window
+
+    comments = lines.where(F.length("text") % 3 != 0).withColumn("k", F.row_number().over(Window.partitionBy("file").orderBy("line")))
+    steps = comments.where(F.length("text") % 5 != 0).select("file", "line", ((F.col("k") - 1) % 7 + 1).alias("number"), F.floor(F.col("line") / 20).cast("int").alias("item"))
+    return text.step_chains(steps, lines).withColumn("lines", F.array_join(F.col("lines").cast("array<string>"), ","))
 
 
 def words(spark: SparkSession, d: str, name: str) -> DataFrame:

@@ -387,3 +387,43 @@ def dependencies_added_unreferenced(spark, d):
     )
     return provenance.added_unreferenced(rows)
 
+
+@query("""SELECT o_orderkey AS commit_id, CASE WHEN contains(lower(o_orderpriority), 'urgent') THEN 'contractor-x' WHEN contains(lower(c_mktsegment), 'build') THEN 'contractor-x'
+WHEN contains(lower(o_orderstatus || '-ci'), 'f-ci') OR contains(lower(o_orderpriority), 'f-ci') THEN 'internal-bot' END AS label FROM orders JOIN customer ON c_custkey = o_custkey""")
+def provenance_labels_by_place(spark, d):
+    """The first configured label that a trailer or the author's address matches."""
+    c = t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("author_email"))
+    trailers = F.array("o_orderpriority", F.concat("o_orderstatus", F.lit("-CI")))
+    commits = t(spark, d, "orders").join(c, "o_custkey").select(F.col("o_orderkey").alias("commit_id"), "author_email", trailers.alias("trailers"))
+    labels = [(0, "contractor-x", "Urgent", "trailer"), (0, "contractor-x", "build", "email"), (1, "internal-bot", "f-ci", "trailer")]
+    return provenance.labelled(commits, spark.createDataFrame(labels, "ord int, label string, needle string, place string"))
+
+
+@query("""WITH e AS (SELECT p_brand AS crate, 'boolean-state-cluster|' || p_brand || '|' || array_to_string(list_sort(list(p_type)), ',') || '|' || array_to_string(list_sort(list(DISTINCT p_name)), ',') AS key FROM part GROUP BY 1)
+SELECT crate, 'pattern:boolean-state-cluster:' || lpad(lower(to_hex(list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(strlen(key)), lambda i: ascii(substr(key, (i + 1)::BIGINT, 1))::HUGEINT)),
+ lambda h, b: xor(h, b) * 1099511628211::HUGEINT % 18446744073709551616::HUGEINT)::UBIGINT)), 16, '0') AS id FROM e""")
+def pattern_candidate_ids(spark, d):
+    """A stable id of each brand's evidence, whatever order the rows come in."""
+    rows = t(spark, d, "part").groupBy(F.col("p_brand").alias("crate")).agg(F.collect_list("p_type").alias("modules"), F.collect_list("p_name").alias("evidence"))
+    return rows.select("crate", names.candidate_id(F.lit("boolean-state-cluster"), F.col("crate"), F.col("modules"), F.col("evidence")).alias("id"))
+
+
+_ITEMS = """i AS (SELECT o_custkey AS module, o_orderkey AS name, CASE o_orderpriority WHEN '4-NOT SPECIFIED' THEN 'macro' WHEN '5-LOW' THEN 'original' ELSE 're_export' END AS kind,
+ lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nxt, first_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS fst FROM orders)"""
+
+
+@query(f"""WITH RECURSIVE {_ITEMS}, walk(use, name, hops, status) AS (SELECT name, coalesce(nxt, fst), 1, NULL::VARCHAR FROM i WHERE kind = 're_export'
+UNION ALL SELECT use, CASE WHEN kind = 're_export' THEN coalesce(nxt, fst) ELSE w.name END, CASE WHEN kind = 're_export' THEN hops + 1 ELSE hops END,
+ CASE WHEN kind = 'original' THEN 'original' WHEN kind = 'macro' THEN 'unclassified' END FROM walk w JOIN i ON i.name = w.name WHERE status IS NULL AND hops < 5),
+last AS (SELECT use, max(hops) AS hops, max(status) AS status FROM walk GROUP BY 1)
+SELECT use, CASE WHEN status = 'unclassified' THEN NULL ELSE hops END::INTEGER AS hops, coalesce(status, 'capped') AS status FROM last""")
+def re_export_chains(spark, d):
+    """An order re-exports its customer's next one, the last the first again, so that chains end, are cut, or go round."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("module").orderBy("name")
+    o = t(spark, d, "orders").select(F.col("o_custkey").alias("module"), F.col("o_orderkey").alias("name"), "o_orderpriority")
+    kind = F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "macro").when(F.col("o_orderpriority") == "5-LOW", "original").otherwise("re_export")
+    items = o.select("module", "name", kind.alias("kind"), F.col("module").alias("to_module"), F.coalesce(F.lead("name").over(order), F.first("name").over(order)).alias("to_name"))
+    uses = items.where("kind = 're_export'").select(F.col("name").alias("use"), F.col("to_module").alias("module"), F.col("to_name").alias("name"))
+    return structure.re_export_chains(uses, items)

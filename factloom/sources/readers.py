@@ -59,18 +59,35 @@ def baseline(spark: SparkSession, path: str) -> DataFrame:
 
 
 def config_tables(spark: SparkSession, text: str) -> dict[str, DataFrame]:
-    """The rule tables of a configuration: boundaries (name, src, dst, kind, reach), modules (name, below, forbidden), assigned (node, grp), profiles (ord, krate, multiplier),
-    labels (ord, label, needle)."""
+    """The rule tables of a configuration: boundaries (name, src, dst, kind, reach, allow_empty), modules (name, below, forbidden), assigned (node, grp), layers (preset),
+    profiles (ord, krate, multiplier), labels (ord, label, needle, place: trailer or email), internal (krate).
+
+    A boundary without a reach, or with another than direct and transitive, is an error.
+    """
     c = config(text)
-    pairs = [(r["name"], a, b, kind, r.get("reach", "direct")) for r in c.get("boundary", []) for kind in ("forbidden", "required") for a in r.get("from", []) for b in r.get(kind, [])]
+    for r in c.get("boundary", []):
+        if r.get("reach") not in ("direct", "transitive"):
+            raise ValueError(f"boundary {r.get('name')}: reach must be direct or transitive")
+    pairs = [(r["name"], a, b, kind, r["reach"], bool(r.get("allow_empty", False))) for r in c.get("boundary", []) for kind in ("forbidden", "required") for a in r.get("from", []) for b in r.get(kind, [])]
     modules = [(r["name"], r["from"], f) for r in c.get("module_boundary", []) for f in r.get("forbidden", [])]
     profiles = [(i, k, float(p.get("deduction_multiplier", 1))) for i, p in enumerate(c.get("crate_profile", [])) for k in p.get("crates", [])]
-    labels = [(i, x["label"], m) for i, x in enumerate(c.get("provenance", {}).get("label", [])) for m in x.get("match", [])]
+    places = (("trailer", "trailer_contains"), ("email", "author_email_contains"))
+    labels = [(i, x["name"], m, place) for i, x in enumerate(c.get("provenance_label", [])) for place, key in places for m in x.get(key, [])]
+    layers = c.get("layers", {})
     make = spark.createDataFrame
     return {
-        "boundaries": make(pairs, "name string, src string, dst string, kind string, reach string"),
+        "boundaries": make(pairs, "name string, src string, dst string, kind string, reach string, allow_empty boolean"),
         "modules": make(modules, "name string, below string, forbidden string"),
-        "assigned": make(list(c.get("layers", {}).get("assign", {}).items()), "node string, grp string"),
+        "assigned": make(list(layers.get("assign", {}).items()), "node string, grp string"),
         "profiles": make(profiles, "ord int, krate string, multiplier double"),
-        "labels": make(labels, "ord int, label string, needle string"),
+        "layers": make([(layers["preset"],)] if "preset" in layers else [], "preset string"),
+        "labels": make(labels, "ord int, label string, needle string, place string"),
+        "internal": make([(k,) for k in c.get("internal_crates", [])], "krate string"),
     }
+
+
+def unknown_names(tables: dict[str, DataFrame], known: DataFrame) -> DataFrame:
+    """name, krate: crates that a boundary (but with allow_empty) or the internal ones (name: internal_crates) name and that known (krate) has not."""
+    b = tables["boundaries"].where("not allow_empty")
+    named = b.select("name", F.col("src").alias("krate")).union(b.select("name", "dst")).union(tables["internal"].select(F.lit("internal_crates"), "krate")).distinct()
+    return named.join(known.select("krate"), "krate", "left_anti").select("name", "krate")

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.decide import severity_rank
+
 SCHEMA_VERSION = 2
 LEVELS = {"Fail": "error", "Warn": "warning", "Info": "note"}
 
@@ -46,6 +48,6 @@ def sarif(findings: DataFrame, name: str = "factloom") -> str:
 def markdown_delta(changes: DataFrame, verdict: str, limit: int = 50, gates: dict[str, str] | None = None) -> str:
     """A pull-request comment: the gates, counts of each state and the first introduced findings."""
     counts = {r[0]: r[1] for r in changes.groupBy("state").count().collect()}
-    top = changes.where("state = 'code_introduced'").orderBy("severity", "rule", "id").limit(limit).collect()
+    top = changes.where("state = 'code_introduced'").orderBy(F.desc(severity_rank()), "rule", "id").limit(limit).collect()
     lines = [f"**Verdict: {verdict}**", "", *(f"- gate {g}: {v}" for g, v in (gates or {}).items()), "| state | findings |", "|-|-|", *(f"| {s} | {counts[s]} |" for s in sorted(counts)), ""]
     return "\n".join([*lines, *(f"- {r['severity']} `{r['rule']}` {r['id']}" for r in top)])
