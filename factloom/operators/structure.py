@@ -134,3 +134,18 @@ def re_export_chains(uses: DataFrame, items: DataFrame, most: int = MAX_HOPS) ->
 def long_re_exports(chains: DataFrame) -> DataFrame:
     """Those worth a finding."""
     return chains.where(F.col("hops") >= LONG_CHAIN)
+
+
+def dead_variants(variants: DataFrame, constructed: DataFrame, owners: DataFrame) -> DataFrame:
+    """file, line, name of public variants that no file of their workspace constructs: matching against one is no construction.
+
+    variants: file, line, name, variant, public. constructed: file, variant. owners: file, workspace. A variant counts as constructed where its own name stands, whatever enum it is of.
+    """
+    made = constructed.join(owners, "file").select("workspace", "variant").distinct()
+    return variants.where("public").join(owners, "file").join(made, ["workspace", "variant"], "left_anti").select("file", "line", "name")
+
+
+def used_items(paths: DataFrame, owners: DataFrame) -> DataFrame:
+    """krate, dependency, items, dev_only: how many items of a dependency a crate's files name, and whether only its tests do. paths: file, first, second, in_test. owners: file, krate."""
+    rows = paths.join(owners, "file")
+    return rows.groupBy("krate", F.col("first").alias("dependency")).agg(F.countDistinct("second").alias("items"), F.bool_and("in_test").alias("dev_only"))
