@@ -125,9 +125,13 @@ def _type_name(nodes: list[Node]) -> str:
 
 class Facts:
     """What a source has: uses (line, public, path, alias, glob, in_test), items (line, kind, name, public, in_test), variants (line, name, variant, public, in_test),
-    constructed (variant names), paths (first and second segment, in_test)."""
+    constructed (variant names), paths (first and second segment, in_test). For signatures.py also functions (line, name, owner, public, its nodes from the name to the body) and
+    structs (line, name, public, attributes, its body's nodes), and whether Drop is implemented."""
 
     def __init__(self, source: str) -> None:
+        self.functions: list[tuple] = []
+        self.structs: list[tuple] = []
+        self.drops = False
         self.uses: list[tuple] = []
         self.items: list[tuple] = []
         self.variants: list[tuple] = []
@@ -183,7 +187,9 @@ class Facts:
             elif kind in ("struct", "enum", "trait") and follows is not None and follows.is_name:
                 end = self._until(nodes, at, ";", "{")
                 self.items.append((follows.line, kind, name(follows.text), public, test))
-                if end < len(nodes) and nodes[end].inner is not None and kind != "struct":
+                if kind == "struct" and end < len(nodes) and nodes[end].inner is not None:
+                    self.structs.append((follows.line, follows.text, public, attributes, nodes[end].inner))
+                elif end < len(nodes) and nodes[end].inner is not None:
                     if kind == "enum":
                         self._variants(nodes[end].inner, name(follows.text), public, test)
                     else:
@@ -192,6 +198,7 @@ class Facts:
                 end = self._until(nodes, at, "{")
                 head = self._without_generics(nodes[at + 1 : end])
                 turn = next((i for i, n in enumerate(head) if n.inner is None and n.text == "for" and not _is(head, i + 1, "<")), None)
+                self.drops |= turn is not None and _type_name(head[:turn]) == "Drop"
                 if end < len(nodes):
                     self._items(nodes[end].inner, (*path, _type_name(head if turn is None else head[turn + 1 :])), "impl", test)
             elif kind in ("const", "static") and follows is not None and (follows.is_name or follows.text == "mut"):
@@ -207,6 +214,7 @@ class Facts:
                 end = self._until(nodes, at, ";", "{")
                 if end < len(nodes) and nodes[end].inner is not None:
                     self.items.append((follows.line, "fn", name(follows.text), public, test))
+                    self.functions.append((follows.line, name(follows.text), path[-1] if where == "impl" else None, public, nodes[at + 2 : end + 1]))
                     self._items(nodes[end].inner, path, "body", test)
             elif kind == "macro_rules":
                 end = self._until(nodes, at, ";", "{", "(")
@@ -408,9 +416,9 @@ CONSTRUCTED = "file string, variant string"
 PATHS = "file string, first string, second string, in_test boolean"
 
 
-def _table(files: DataFrame, rows, schema: str) -> DataFrame:
-    """files: file, text. Null texts have no rows."""
-    columns = [c.split()[0] for c in schema.split(", ")]
+def _table(files: DataFrame, rows, schema: str, columns: list[str] | None = None) -> DataFrame:
+    """files: file, text. Null texts have no rows. columns: the schema's names, where its types have commas of their own."""
+    columns = columns or [c.split()[0] for c in schema.split(", ")]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import items, rust_source
-from ..operators import structure
+from ..functions import items, rust_source, signatures
+from ..operators import patterns, structure
 from .catalogue import query, t
 
 
@@ -90,3 +90,72 @@ def syntactic_findings(spark, d):
     check = F.when(F.col("o_custkey") % 2 == 0, "run();").otherwise("assert_eq!(run(), 1);")
     text = F.concat(F.lit("fn f() {\n"), line, F.lit("\n}\n#[test]\nfn t() { "), check, F.lit(" }\n"))
     return rust_source.finding_table(t(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("file"), text.alias("text")))
+
+
+# ---- patterns and principles -------------------------------------------------
+
+#: One text with what all the rules look for, in parts that depend on the order's number.
+_PATTERNS = """pub fn age_§k§(age: u8, n§k % 3§: u32, ok: bool, name: &mut str) -> Result<u8, E> { §if(k % 4 = 0, "if age > 9 { return Err(E::Old); }", "if age > 9 { log!(age); }")§ §if(k % 5 = 0, concat("assert!(n", k % 3, " < 5);"), "")§ Ok(age) }
+fn flags(a: bool, b: bool, c: bool, d: u8) { §element_at(array("if a && b { }", "if a { if b { } }", "match (b, c) { _ => {} }", "if a == true && self.b { }"), cast(k % 4 + 1 as int))§ }
+pub struct R§k % 2§ { pub lo: u8, pub hi: u8, inner: u8 }
+impl R§k % 2§ { pub fn new(lo: u8, hi: u8) -> §if(k % 2 = 0, "Result<Self, E>", "Self")§ { §element_at(array("if lo > hi { return Err(E); }", "assert!(lo < hi);", "if lo > hi { fix(); }"), cast(k % 3 + 1 as int))§ go() } }
+fn cycle(x: X) { x.§element_at(array("lock", "open", "peek"), cast(k % 3 + 1 as int))§(); x.unlock(); }
+§if(k % 30 = 0, "impl Drop for G { fn drop(&mut self) {} }", "")§
+pub fn effect(p: P) { §element_at(array("std::fs::read(p);", "p.read_to_end();", "write!(stdout(), p);", "help(p);"), cast(k % 4 + 1 as int))§ §if(k % 6 = 0, "println!(p);", "")§ }
+pub fn other(p: P) { §element_at(array("std::env::var(p);", "eprintln!(p);", "write!(buf, p);"), cast(k % 3 + 1 as int))§ }
+"""
+
+
+def _pattern_files(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    files = _files(spark, d, _PATTERNS)
+    return files, files.select("file", "krate")
+
+
+@query(f"""WITH {_O}, p AS (SELECT c, 'age' AS param, 'u8' AS type, (k % 4 = 0)::INTEGER AS g FROM o UNION ALL SELECT c, 'n' || k % 3, 'u32', (k % 5 = 0)::INTEGER FROM o
+UNION ALL SELECT c, x, 'u8', (k % 3 < 2)::INTEGER FROM o, (VALUES ('lo'), ('hi')) v(x))
+SELECT c AS krate, param, type, count(*) AS signatures, sum(g)::BIGINT AS guarded FROM p GROUP BY 1, 2, 3 HAVING count(*) >= 2 AND sum(g) >= 1""")
+def primitive_domain_values(spark, d):
+    files, owners = _pattern_files(spark, d)
+    return patterns.primitive_values(signatures.signature_table(files), owners)
+
+
+@query(f"WITH {_O} SELECT file, 'flags' AS name, 'a,b,c' AS flags FROM o WHERE k % 4 IN (0, 2)")
+def boolean_state_clusters(spark, d):
+    files, _ = _pattern_files(spark, d)
+    return patterns.boolean_clusters(signatures.signature_table(files)).withColumn("flags", F.array_join("flags", ","))
+
+
+@query(f"WITH {_O} SELECT c AS krate, 'R' || k % 2 AS struct, 'hi,lo' AS fields, 'R' || k % 2 || '::new' AS constructors FROM o GROUP BY c, k % 2 HAVING bool_or(k % 3 < 2)")
+def public_invariant_bypasses(spark, d):
+    files, owners = _pattern_files(spark, d)
+    found = patterns.invariant_bypasses(signatures.struct_table(files), signatures.signature_table(files), owners)
+    return found.withColumn("fields", F.array_join("fields", ",")).withColumn("constructors", F.array_join("constructors", ","))
+
+
+@query(f"WITH {_O} SELECT c AS krate, count(*) AS functions FROM o WHERE k % 3 < 2 AND c NOT IN (SELECT c FROM o WHERE k % 30 = 0) GROUP BY 1")
+def manual_resource_lifecycles(spark, d):
+    files, owners = _pattern_files(spark, d)
+    return patterns.manual_lifecycles(signatures.signature_table(files), signatures.drop_table(files), owners)
+
+
+_MASKS = """m AS (SELECT *, (CASE WHEN k % 4 < 2 THEN 1 ELSE 0 END) + (CASE WHEN k % 4 = 2 OR k % 6 = 0 THEN 2 ELSE 0 END) + (CASE WHEN k % 20 IN (4, 19) THEN 4 ELSE 0 END) AS a, CASE k % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS b FROM o)"""
+
+
+def _complexity(files: DataFrame) -> DataFrame:
+    """A complexity of 12 for two functions in twenty."""
+    return files.select("file", F.lit("effect").alias("name"), F.when((F.col("file").cast("bigint") % 20).isin(4, 19), 12).otherwise(2).alias("cyclomatic"))
+
+
+@query(f"WITH {_O}, {_MASKS} SELECT file, 5 AS items, 'effect' AS first, 'other' AS second FROM m WHERE a <> 0 AND b <> 0 AND (a <> b OR a NOT IN (1, 2, 4))")
+def incohesive_files(spark, d):
+    """Five public items a file, two of which have effects."""
+    files, _ = _pattern_files(spark, d)
+    rows = patterns.effects(signatures.signature_table(files), _complexity(files), items.item_table(files))
+    return patterns.incohesive_files(rows)
+
+
+@query(f"WITH {_O} SELECT file, 'effect' AS name, 12 AS cyclomatic FROM o WHERE k % 20 IN (4, 19) AND k % 4 < 2")
+def mixed_functional_cores(spark, d):
+    """Complex functions that read: one of the two in twenty that are complex."""
+    files, _ = _pattern_files(spark, d)
+    return patterns.mixed_cores(signatures.signature_table(files), _complexity(files))
