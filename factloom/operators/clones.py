@@ -147,7 +147,8 @@ def clone_classes(rows: DataFrame, mode: str = "mild", least: int = 20) -> DataF
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(s.keys(), pa.binary()), pa.array(lows, pa.list_(pa.int64()))], ["id", "key", "lows"])
 
     all_ = Stored(_pass(source, summary, f"id {id_type}, key binary, lows array<bigint>").where("size(lows) > 0"))
-    copies = Stored(all_.frame.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    keys = Stored(all_.frame.select("id", "key"))
+    copies = Stored(keys.frame.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n")))
     streams = all_.frame.join(copies.frame.select("id", "n"), "id")  # one of each set of copies
     anchors = streams.select("id", F.explode("lows").alias("low"))
     shared = anchors.groupBy("low").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("low")
@@ -168,17 +169,21 @@ def clone_classes(rows: DataFrame, mode: str = "mild", least: int = 20) -> DataF
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array((at - (s.ends - s.sizes)[row]).astype(np.int32)), pa.array(h)], ["id", "pos", "h"])
 
     texts = source.join(wanted.select("id", "lows", (F.col("n") > 1).alias("whole")), "id")
+    all_.drop()
     w = Stored(_pass(texts, windows, f"id {id_type}, pos int, h bigint"))
+    marked.drop()
     here, moved = F.bit_xor(F.xxhash64("id", "pos")).alias("here"), F.bit_xor(F.xxhash64("id", F.col("pos") + 1)).alias("moved")
     times = w.frame.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b"), here, moved)
     several = times.join(copies.frame.where("n > 1").select(F.col("id").alias("a"), "n"), "a", "left").where("a < b or n > 1")
-    found = w.frame.join(several.select("h", "here", "moved"), "h")
+    several = Stored(several.select("h", "here", "moved"))
+    found = w.frame.join(several.frame, "h")
     order = Window.partitionBy("id").orderBy("pos")
     goes_on = (F.lag("pos").over(order) == F.col("pos") - 1) & (F.lag("moved").over(order) == F.col("here"))
     parts = found.withColumn("begins", F.when(goes_on, 0).otherwise(1)).withColumn("part", F.sum("begins").over(order))
     runs = parts.groupBy("id", "part").agg(F.min_by("h", "pos").alias("class"), F.min("pos").alias("start"), (F.count("*") + least - 1).cast("int").alias("length"))
     runs = Stored(runs.select("class", "id", "start", "length"))
-    twins = all_.frame.select("id", "key").join(copies.frame.where("n > 1").select("key", F.col("id").alias("of")), "key").where("id <> of").select("of", "id")
+    w.drop()
+    twins = keys.frame.join(copies.frame.where("n > 1").select("key", F.col("id").alias("of")), "key").where("id <> of").select("of", "id")
     more = runs.frame.withColumnRenamed("id", "of").join(twins, "of").select("class", "id", "start", "length")
     return runs.frame.unionByName(more)
 

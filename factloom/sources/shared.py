@@ -25,14 +25,26 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Whether Spark deletes the files of a query's shuffles when it ends, instead of some time after its plan is garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Stored:
-    """A table written once below spark.checkpoint.dir. Unlike a checkpoint it computes its plan once; rows is how many were written."""
+    """A table written once below spark.checkpoint.dir. Unlike a checkpoint it computes its plan once; rows is how many were written.
+
+    Nothing reads the shuffles behind it again, so their files go as soon as it is written: that setting holds while it is, and is then as before.
+    """
 
     def __init__(self, df: DataFrame) -> None:
         spark, seen = df.sparkSession, Observation()
         _ensure_folder(spark)
         self.path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stored-{uuid4().hex}"
-        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(self.path)
+        before = spark.conf.get(_CLEANUP, "false")
+        spark.conf.set(_CLEANUP, "true")
+        try:
+            df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(self.path)
+        finally:
+            spark.conf.set(_CLEANUP, before)
         self.frame = spark.read.schema(df.schema).parquet(self.path)
         self.rows = int(seen.get["n"])
 
