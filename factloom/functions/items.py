@@ -71,6 +71,11 @@ def _is(nodes: list[Node], at: int, *texts: str) -> bool:
     return all(at + k < len(nodes) and nodes[at + k].inner is None and nodes[at + k].text == t for k, t in enumerate(texts))
 
 
+def _macro_input(nodes: list[Node], at: int) -> bool:
+    """Whether the brackets at a place are what a macro is given, which is no code yet: not those after a not, nor a block."""
+    return at > 1 and _is(nodes, at - 1, "!") and nodes[at - 2].is_name and nodes[at - 2].text not in tokens._KEYWORDS
+
+
 def use_leaves(nodes: list[Node], before: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], str | None, bool]]:
     """Path, alias and whether it is a glob of each leaf of a use tree's nodes. A glob's path is that of what it takes all of; a renamed leaf keeps its own name in the path."""
     path, at = list(before), 0
@@ -218,7 +223,7 @@ class Facts:
                     self._items(nodes[end].inner, path, "body", test)
             elif kind == "macro_rules":
                 end = self._until(nodes, at, ";", "{", "(")
-            elif node.inner is not None and not (at and _is(nodes, at - 1, "!")):
+            elif node.inner is not None and not _macro_input(nodes, at):
                 self._items(node.inner, path, "body", test)  # blocks within a body
             if end is not None:
                 at = end
@@ -267,7 +272,7 @@ class Facts:
         while at < len(nodes):
             n = nodes[at]
             if n.inner is not None:
-                if not (at and _is(nodes, at - 1, "!")):
+                if not _macro_input(nodes, at):
                     self._expressions(n.inner)
                 before, at = n.text, at + 1
                 continue
@@ -293,6 +298,10 @@ class Facts:
                 at = self._until(nodes, at, "{", ";")
                 before = ""
                 continue
+            elif text == "macro_rules" and _is(nodes, at + 1, "!"):
+                at = self._until(nodes, at, "{", "(", "[", ";") + 1
+                before = ";"
+                continue
             elif text in ("struct", "enum", "union", "type", "use", "trait", "impl", "mod"):
                 end = self._until(nodes, at, ";", "{")
                 if end < len(nodes) and nodes[end].inner is not None and text in ("trait", "impl", "mod"):
@@ -397,7 +406,7 @@ class Facts:
                     self._paths(nodes[end].inner, in_test or _tests(attributes))
                 at, attributes = end, []
             elif n.inner is not None:
-                if not (at and _is(nodes, at - 1, "!")):
+                if not _macro_input(nodes, at):
                     self._paths(n.inner, in_test)
                 attributes = [] if n.text == "{" else attributes
             elif n.is_name and not _is(nodes, at - 1, ":") and not _is(nodes, at - 1, ".") and n.text not in _LEADING:

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
-from .items import Facts, Node, _is, _table, _type_name
+from .items import Facts, Node, _is, _macro_input, _table, _type_name
 
 #: Types whose values often stand for something of the domain.
 PRIMITIVES = ("u8", "u16", "u32", "u64", "usize", "i8", "i16", "i32", "i64", "isize", "f32", "f64", "String", "&str")
@@ -24,14 +24,14 @@ ACQUIRE = ("register", "acquire", "open", "lock", "begin", "start", "connect", "
 RELEASE = ("unregister", "release", "close", "unlock", "end", "stop", "disconnect", "unsubscribe")
 
 
-def _walk(nodes: list[Node]) -> Iterator[tuple[list[Node], int]]:
-    """Every list of nodes and place in it, depth first."""
+def _walk(nodes: list[Node], macros: bool = False) -> Iterator[tuple[list[Node], int]]:
+    """Every list of nodes and place in it, but for what macros are given unless asked for."""
     todo = [nodes]
     while todo:
         level = todo.pop()
         for at, n in enumerate(level):
             yield level, at
-            if n.inner is not None:
+            if n.inner is not None and (macros or not _macro_input(level, at)):
                 todo.append(n.inner)
 
 
@@ -46,7 +46,7 @@ def _names(nodes: list[Node]) -> set[str]:
         level = todo.pop()
         for at, n in enumerate(level):
             if n.inner is not None:
-                if not (at and _is(level, at - 1, "!")):
+                if not _macro_input(level, at):
                     todo.append(n.inner)
             elif n.is_name and not (at and level[at - 1].inner is None and level[at - 1].text in (".", ":")) and not _is(level, at + 1, ":", ":") and not _is(level, at + 1, "!"):
                 out.add(n.text)
@@ -55,7 +55,7 @@ def _names(nodes: list[Node]) -> set[str]:
 
 def _all_names(nodes: list[Node]) -> set[str]:
     """Names anywhere, as a macro's input is searched."""
-    return {level[at].text for level, at in _walk(nodes) if level[at].is_name}
+    return {level[at].text for level, at in _walk(nodes, macros=True) if level[at].is_name}
 
 
 def _fails(nodes: list[Node]) -> bool:

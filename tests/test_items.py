@@ -47,6 +47,11 @@ def test_a_pattern_constructs_nothing():
     assert not made & {"C", "Q", "Z", "P1", "P3", "P4", "P6", "P7", "T1", "MACRO", "COMMENT", "RAW", "f", "u8", "crate"}
 
 
+def test_macros_and_negations():
+    made = Facts("fn f() { if !(a == E::A) { return !(E::B); } m!(E::C); m![E::D]; x::m! { E::F } macro_rules! q { () => { E::G } } ok(E::H) }").constructed
+    assert {"A", "B", "H"} <= made and not made & {"C", "D", "F", "G"}
+
+
 def test_paths():
     found = Facts(SOURCE).paths
     assert {("std", "fmt", False), ("serde", None, False), ("proptest", "prelude", True), ("rand", "random", True), ("m1", "m2", False), ("foo", None, False)} <= found

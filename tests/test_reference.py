@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import names, rust_source
 from factloom.operators import boundaries, decide, graphs, history, manifests, registry
-from factloom.plans import catalogue, clone_queries, graph_queries, rule_queries, source_queries, rules  # noqa: F401
+from factloom.plans import catalogue, clone_queries, graph_queries, rule_queries, source_queries, stream_queries, rules  # noqa: F401
 from factloom.sources import readers, writers
 from factloom.streaming.findings import churn_windows
 from tests.oracle import compare
