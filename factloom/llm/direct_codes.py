@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, give_back, id_and_text, new_folder
+from .exchange import steady
 from .subwords import ID, ChunkEncoder, public_path
 
 MAGIC = b"DACT0001"
@@ -120,7 +121,7 @@ class Segment:
 def write_codes(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID, segment_tokens: int = SEGMENT_TOKENS) -> None:
     """Encodes every text and writes the segments, in ascending order of doc_id (null first, ties by row), below folder.
 
-    The files are rows of a Parquet table (part, segment, part_start, tokens, first_doc, last_doc, raw), so that any store Spark can
+    Input that comes from a shuffle is written first, so that a repeated task numbers its rows as before. The files are rows of a Parquet table (part, segment, part_start, tokens, first_doc, last_doc, raw), so that any store Spark can
     write to will do. A segment holds about segment_tokens tokens, and a longer document alone.
     """
     path = path or public_path("byte_bpe_50k.json")
@@ -158,7 +159,7 @@ def write_codes(docs: DataFrame, folder: str, path: str | None = None, end_id: i
             yield flush()
         give_back()
 
-    rows = id_and_text(docs).withColumn("row", F.monotonically_increasing_id())
+    rows = steady(id_and_text(docs)).withColumn("row", F.monotonically_increasing_id())
     ordered = rows.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "text")
     ordered.mapInArrow(run, _FILE).write.parquet(folder)
 
@@ -192,7 +193,7 @@ def read_codes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tokens_at(spark: SparkSession, folder: str, doc_id: int, places: list[int]) -> list[int]:
-    """Single tokens of one document by direct access, in a task that reads the segments whose range of ids has the document and decodes none."""
+    """Single tokens of one document, which come to the driver, `places` times the rows of that id; by direct access, in a task that reads the segments whose range of ids has the document and decodes none."""
 
     def run(batches):
         for batch in batches:

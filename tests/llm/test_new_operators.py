@@ -269,3 +269,16 @@ def test_deep_paths_end_in_one_segment(spark):
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id bigint, url string")
     got = {r["page_id"]: r["template"] for r in url_templates.judged(pages, spark.createDataFrame([], "url string, good bigint"), ()).collect()}
     assert got[0] == "/a/b/c/d/e/f/g/h/i/j/k/l/#" and got[20] == "" and got[21] == "/*"
+
+
+def test_direct_codes_of_shuffled_rows(spark):
+    """Input past a shuffle, with rows of equal ids and equal texts."""
+    pytest.importorskip("public_tokenizers")
+    from factloom.llm import direct_codes
+
+    rows = [(i % 7, f"text {i % 3} " * (i % 5)) for i in range(400)] + [(None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6).join(spark.range(7).withColumnRenamed("id", "doc_id"), "doc_id", "left").distinct().repartition(5)
+    got = direct_codes.write_and_read(docs).collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"] for r in got)) == sorted(-1 if i is None else i for i, _ in set(rows))
+    starts = sorted((r["start"], r["n_tokens"]) for r in got)
+    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
