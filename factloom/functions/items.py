@@ -38,6 +38,10 @@ class Node:
     def is_name(self) -> bool:
         return self.inner is None and (self.text[0].isalpha() or self.text[0] == "_") and self.text[-1] not in "\"'#"
 
+    @property
+    def is_doc(self) -> bool:
+        return self.inner is None and self.text.startswith(("///", "/**"))
+
 
 def tree(source: str) -> list[Node]:
     """The nodes of a source. A closing bracket that none opened is a token; what is never closed ends with the text. Brackets nested deeper than DEEPEST are plain tokens, in one list with what they hold."""
@@ -46,7 +50,7 @@ def tree(source: str) -> list[Node]:
     open_: list[list[Node]] = [top]
     wanted: list[str] = []
     flat: list[str] = []  # closing brackets of those that are too deep
-    for a, b in tokens.spans(source):
+    for a, b in tokens.spans(source, docs=True):
         text, line = source[a:b], bisect_right(breaks, a - 1) + 1
         if text in _CLOSE and len(wanted) >= DEEPEST:
             flat.append(_CLOSE[text])
@@ -130,7 +134,7 @@ def _type_name(nodes: list[Node]) -> str:
 
 class Facts:
     """What a source has: uses (line, public, path, alias, glob, in_test), items (line, kind, name, public, in_test), variants (line, name, variant, public, in_test),
-    constructed (variant names), paths (first and second segment, in_test). For signatures.py also functions (line, name, owner, public, its nodes from the name to the body) and
+    constructed (variant names), paths (first and second segment, in_test). For signatures.py also functions (line, name, owner, public, its nodes from the name to the body, attributes and documentation, where it stands) and
     structs (line, name, public, attributes, its body's nodes), and whether Drop is implemented."""
 
     def __init__(self, source: str) -> None:
@@ -157,6 +161,10 @@ class Facts:
         name = lambda n: "::".join((*path, n))
         while at < len(nodes):
             node = nodes[at]
+            if node.is_doc:
+                attributes.append(node)
+                at += 1
+                continue
             if node.text == "#" and node.inner is None and at + 1 < len(nodes):
                 inner = at + (2 if _is(nodes, at + 1, "!") else 1)
                 if inner < len(nodes) and nodes[inner].is_group("["):
@@ -219,7 +227,7 @@ class Facts:
                 end = self._until(nodes, at, ";", "{")
                 if end < len(nodes) and nodes[end].inner is not None:
                     self.items.append((follows.line, "fn", name(follows.text), public, test))
-                    self.functions.append((follows.line, name(follows.text), path[-1] if where == "impl" else None, public, nodes[at + 2 : end + 1]))
+                    self.functions.append((follows.line, name(follows.text), path[-1] if where == "impl" else None, public, nodes[at + 2 : end + 1], attributes, where))
                     self._items(nodes[end].inner, path, "body", test)
             elif kind == "macro_rules":
                 end = self._until(nodes, at, ";", "{", "(")

@@ -155,7 +155,7 @@ class Signature:
 
 
 def _functions(f: Facts) -> Iterator[tuple]:
-    for line, name, owner, public, nodes in f.functions:
+    for line, name, owner, public, nodes, *_ in f.functions:
         s = Signature(nodes)
         own = {p for p, _ in s.params}
         returned = owner if s.returned == "Self" else s.returned

@@ -23,13 +23,15 @@ _KEYWORDS = frozenset(KEYWORDS)
 _PLACES = frozenset(("self", "Self", "crate", "super"))
 
 
-def spans(source: str) -> Iterator[tuple[int, int]]:
-    """Begin and end of each token."""
+def spans(source: str, docs: bool = False) -> Iterator[tuple[int, int]]:
+    """Begin and end of each token; if asked for, of each outer documentation comment too."""
     at = 0
     while m := _TOKEN.search(source, at):
         at = m.end()
         text = m[0]
         if text.startswith("//"):
+            if docs and text.startswith("///") and not text.startswith("////"):
+                yield m.start(), at
             continue
         if text == "/*":
             depth = 1
@@ -38,6 +40,8 @@ def spans(source: str) -> Iterator[tuple[int, int]]:
                 at = edge.end()
             if depth:  # an open comment takes the rest
                 return
+            if docs and source.startswith("/**", m.start()) and source[m.start() + 3] not in "*/":
+                yield m.start(), at
             continue
         yield m.start(), at
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import items, rust_source, signatures
+from ..functions import items, rust_source, signatures, syntax_rules
 from ..operators import patterns, structure
 from .catalogue import query, t
 
@@ -159,3 +159,20 @@ def mixed_functional_cores(spark, d):
     """Complex functions that read: one of the two in twenty that are complex."""
     files, _ = _pattern_files(spark, d)
     return patterns.mixed_cores(signatures.signature_table(files), _complexity(files))
+
+
+#: What a public function gives back and does, and its documentation.
+_CRAFT = """/// §element_at(array("Returns the u8.", "Gets the total of all parts, with tax", "", "The Order."), cast(c % 4 + 1 as int))§
+pub fn total_§k§(order: Order) -> §element_at(array("Result<u8, Box<dyn std::error::Error + Send>>", "anyhow::Result<u8>", "Result<u8, Known>"), cast(k % 3 + 1 as int))§ { §if(k % 2 = 0, "read(order).map_err(|_| Bad)", "read(order).map_err(|e| Bad(e))")§ }
+/// Does things.
+fn quiet() { §if(k % 5 = 0, "/* nothing */", "run();")§ }
+fn kind(s: &str) -> u8 { if s.contains("err") §if(k % 7 = 0, "&& is_word(s)", "")§ { 1 } §if(k % 3 = 0, "", "else if s.len() > 3 ")§ { 2 } match s { x if x.contains("a") => {} _ => {} } 0 }
+"""
+
+
+@query(f"""WITH {_O} SELECT file, 2 AS line, 'catch-all-error' AS rule, 'Warn' AS severity, 'total_' || k AS item FROM o WHERE k % 3 < 2 AND k % 2 = 0
+UNION ALL SELECT file, 2, 'doc-restates-signature', 'Info', 'total_' || k FROM o WHERE c % 4 = 3 UNION ALL SELECT file, 4, 'empty-impl', 'Warn', 'quiet' FROM o WHERE k % 5 = 0
+UNION ALL SELECT file, 5, 'fragile-substring-classification', 'Warn', 'kind' FROM o WHERE k % 3 <> 0 AND k % 7 <> 0""")
+def craft_findings(spark, d):
+    """Four rules that need a function's tree."""
+    return syntax_rules.rule_table(_files(spark, d, _CRAFT))

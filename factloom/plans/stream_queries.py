@@ -70,6 +70,7 @@ DETECTORS = (
     Detector("re_export_chains", "re-export-chain", ("use",), "use", evidence=("hops", "status"), where="hops >= 2"),
     Detector("dead_enum_variants", "dead-enum-variant", ("file", "name"), "file", "line", item="name"),
     Detector("syntactic_findings", "{rule}", ("file", "line"), "file", "line"),
+    Detector("craft_findings", "{rule}", ("file", "line"), "file", "line", item="item"),
     Detector("clone_families_outside_ranges", "duplicate-code", ("family", "id", "start"), "id", evidence=("length", "members")),
     Detector("dependencies_added_unreferenced", "dep-added-by-agent", ("commit_id", "name"), MANIFEST, item="name"),
 )
