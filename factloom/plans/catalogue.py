@@ -573,13 +573,14 @@ def churn_and_confidence_by_class(spark, d):
     return provenance.by_class(classes(spark, d), touched)
 
 
-@query("""WITH a AS (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, url FROM pages), r AS (SELECT DISTINCT regexp_extract(url, '^(https?://[^/]+/[^/]*)', 1) AS root FROM pages WHERE page_id % 3 = 0)
+@query("""WITH a AS (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, url FROM pages), r AS (SELECT DISTINCT CASE WHEN page_id % 3 = 0 THEN regexp_extract(url, '^(https?://[^/]+/[^/]*)', 1) ELSE regexp_extract(url, '^(https?://[^/]+/)', 1) END AS root FROM pages)
 SELECT page_id, (SELECT arg_max(root, (length(root), root)) FROM r WHERE root <> '' AND starts_with(url, root)) AS owner FROM a""")
 def longest_prefix_owner(spark, d):
-    """The most specific root that a page's URL begins with. The equi key is the host, so no page meets all roots."""
+    """The most specific root that a page's URL begins with: hosts, and of one page in three the first segment too. The equi key is the host, so no page meets all roots."""
     host = F.regexp_extract("path", "^https?://([^/]+)", 1)
     pages = t(spark, d, "pages").select("page_id", F.col("url").alias("path")).withColumn("host", host)
-    roots = pages.where("page_id % 3 = 0").select(F.regexp_extract("path", "^(https?://[^/]+/[^/]*)", 1).alias("root"), "host").where("root <> ''").distinct()
+    root = F.when(F.col("page_id") % 3 == 0, F.regexp_extract("path", "^(https?://[^/]+/[^/]*)", 1)).otherwise(F.regexp_extract("path", "^(https?://[^/]+/)", 1))
+    roots = pages.select(root.alias("root"), "host").where("root <> ''").distinct()
     return structure.owner_by_prefix(pages, roots, "host").select("page_id", "owner")
 
 

@@ -109,7 +109,7 @@ def stamp_seconds(spark, d):
 # ---- manifests ---------------------------------------------------------------
 
 _DEPS = """deps AS (SELECT DISTINCT l_suppkey AS krate, 'd' || (l_partkey % 40) AS name, CASE l_linenumber % 3 WHEN 0 THEN 'dev' WHEN 1 THEN 'normal' ELSE 'build' END AS kind, (l_partkey % 40) % 3 AS features FROM lineitem WHERE l_linenumber <= 3),
- used AS (SELECT DISTINCT l_suppkey AS krate, 'd' || (l_partkey % 40) AS name, CASE l_linenumber WHEN 4 THEN 'Normal' WHEN 5 THEN 'Dev' ELSE 'Build' END AS domain FROM lineitem WHERE l_linenumber > 3 AND l_partkey % 7 <> 0 AND l_orderkey % 3 = 0),
+ used AS (SELECT DISTINCT l_suppkey AS krate, CASE WHEN l_partkey % 7 <> 0 AND l_orderkey % 3 = 0 THEN 'd' ELSE 'own' END || (l_partkey % 40) AS name, CASE l_linenumber WHEN 4 THEN 'Normal' WHEN 5 THEN 'Dev' ELSE 'Build' END AS domain FROM lineitem WHERE l_linenumber > 3),
  d AS (SELECT deps.*, count(domain) > 0 AS any_, count(*) FILTER (domain = 'Normal') > 0 AS n, count(*) FILTER (domain = 'Dev') > 0 AS v, count(*) FILTER (domain = 'Build') > 0 AS b, krate % 10 = 3 AS blind,
  (SELECT count(*) FROM deps o WHERE o.krate = deps.krate AND o.name = deps.name AND o.kind <> 'dev') > 0 AS elsewhere FROM deps LEFT JOIN used USING (krate, name) GROUP BY ALL)"""
 
@@ -119,13 +119,15 @@ UNION ALL SELECT krate, name, 'default-features-unused', NULL FROM d WHERE NOT a
 UNION ALL SELECT krate, name, 'unused-dev-dependency', NULL FROM d WHERE NOT (NOT any_ AND NOT blind AND features > 0) AND kind = 'dev' AND NOT v AND NOT blind AND NOT elsewhere
 UNION ALL SELECT krate, name, 'misplaced-dependency-kind', NULL FROM d WHERE NOT (NOT any_ AND NOT blind AND features > 0) AND ((kind = 'normal' AND v AND NOT n AND features <= 1 AND NOT blind) OR (kind = 'build' AND NOT b))""")
 def dependency_findings(spark, d):
+    """An order's first three lines declare dependencies, the others name identifiers, of which two of seven are a dependency's."""
     li = t(spark, d, "lineitem").withColumn("name", F.concat(F.lit("d"), F.col("l_partkey") % 40))
     kind = F.element_at(F.array(F.lit("dev"), F.lit("normal"), F.lit("build")), (F.col("l_linenumber") % 3 + 1).cast("int"))
     n = (F.col("l_partkey") % 40 % 3).cast("int")
     flags = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("f"), i))).otherwise(F.array().cast("array<string>"))
     deps = li.where("l_linenumber <= 3").select(F.col("l_suppkey").alias("krate"), "name", F.col("name").alias("ident"), kind.alias("kind"), flags.alias("features"), (n == 1).alias("explicit_defaults")).distinct()
     domain = F.when(F.col("l_linenumber") == 4, "Normal").when(F.col("l_linenumber") == 5, "Dev").otherwise("Build")
-    usage = li.where("l_linenumber > 3 and l_partkey % 7 <> 0 and l_orderkey % 3 = 0").select(F.col("l_suppkey").alias("krate"), F.col("name").alias("ident"), domain.alias("domain"))
+    ident = F.when((F.col("l_partkey") % 7 != 0) & (F.col("l_orderkey") % 3 == 0), F.col("name")).otherwise(F.concat(F.lit("own"), F.col("l_partkey") % 40))
+    usage = li.where("l_linenumber > 3").select(F.col("l_suppkey").alias("krate"), ident.alias("ident"), domain.alias("domain"))
     failed = t(spark, d, "supplier").where("s_suppkey % 10 = 3").select(F.col("s_suppkey").alias("krate"), F.lit("Normal").alias("domain"))
     return manifests.dependency_findings(deps, usage, failed)
 
@@ -220,16 +222,17 @@ def unlinked_files(spark, d):
 
 
 @query("""WITH m AS (SELECT DISTINCT c_nationkey AS krate, 'm' || (c_custkey % 12) AS top, CASE WHEN c_custkey % 2 = 0 THEN 'm' || (c_custkey % 12) ELSE 'm' || (c_custkey % 12) || '::k' END AS module, c_custkey AS file FROM customer),
-a AS (SELECT DISTINCT krate, module FROM m), r AS (SELECT c_nationkey AS krate, o_custkey AS file, 'm' || (o_orderkey % 12) || CASE WHEN o_orderkey % 5 = 0 THEN '::k' ELSE '' END AS "to" FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 40 = 0),
+a AS (SELECT DISTINCT krate, module FROM m), r AS (SELECT c_nationkey AS krate, o_custkey AS file, CASE WHEN o_orderkey % 40 = 0 THEN 'm' ELSE 'other' END || (o_orderkey % 12) || CASE WHEN o_orderkey % 5 = 0 THEN '::k' ELSE '' END AS "to" FROM orders JOIN customer ON c_custkey = o_custkey),
 o AS (SELECT DISTINCT a.krate, a.module FROM a JOIN r ON r.krate = a.krate AND (r."to" = a.module OR starts_with(r."to", a.module || '::')) WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.krate = a.krate AND m.file = r.file AND (m.module = a.module OR starts_with(m.module, a.module || '::')))),
 e AS (SELECT DISTINCT a.krate, a.module FROM a JOIN m ON m.krate = a.krate AND m.file % 90 = 0 AND (m.module = a.module OR starts_with(m.module, a.module || '::')))
 SELECT krate, module FROM a WHERE (krate, module) NOT IN (SELECT krate, module FROM o) AND (krate, module) NOT IN (SELECT krate, module FROM e)""")
 def orphan_modules(spark, d):
+    """One reference in forty is to a module of the crate, the others to none of its."""
     c = t(spark, d, "customer")
     top = F.concat(F.lit("m"), F.col("c_custkey") % 12)
     modules = c.select(F.col("c_nationkey").alias("krate"), F.when(F.col("c_custkey") % 2 == 0, top).otherwise(F.concat(top, F.lit("::k"))).alias("module"), F.col("c_custkey").alias("file"))
-    to = F.concat(F.lit("m"), F.col("o_orderkey") % 12, F.when(F.col("o_orderkey") % 5 == 0, "::k").otherwise(""))
-    references = t(spark, d, "orders").where("o_orderkey % 40 = 0").join(c, F.col("c_custkey") == F.col("o_custkey")).select(F.col("c_nationkey").alias("krate"), to.alias("to"), F.col("o_custkey").alias("file"))
+    to = F.concat(F.when(F.col("o_orderkey") % 40 == 0, "m").otherwise("other"), F.col("o_orderkey") % 12, F.when(F.col("o_orderkey") % 5 == 0, "::k").otherwise(""))
+    references = t(spark, d, "orders").join(c, F.col("c_custkey") == F.col("o_custkey")).select(F.col("c_nationkey").alias("krate"), to.alias("to"), F.col("o_custkey").alias("file"))
     entries = c.where("c_custkey % 90 = 0").select(F.col("c_nationkey").alias("krate"), F.col("c_custkey").alias("file"))
     return structure.orphan_modules(modules, references, entries)
 
@@ -367,12 +370,13 @@ def verdict_with_gates(spark, d):
 # ---- provenance --------------------------------------------------------------
 
 
-@query(f"""WITH {CLASSES}, p AS (SELECT event_id, user_id AS file, event_id % 100 AS line FROM events), b AS (SELECT o_custkey AS file, (o_orderkey % 4) * 25 AS a, (o_orderkey % 4) * 25 + 24 AS z, o_orderkey AS commit_id FROM orders WHERE o_orderkey % 3 = 0)
+@query(f"""WITH {CLASSES}, p AS (SELECT event_id, user_id AS file, event_id % 100 AS line FROM events), b AS (SELECT o_custkey AS file, (o_orderkey % 4) * 25 AS a, (o_orderkey % 4) * 25 + 24 AS z, max(o_orderkey) AS commit_id FROM orders GROUP BY 1, 2, 3)
 SELECT class, count(*) AS n, min(confidence) AS confidence FROM p JOIN b ON b.file = p.file AND line BETWEEN a AND z JOIN k USING (commit_id) GROUP BY 1""")
 def suppression_debt_by_class(spark, d):
+    """Each quarter of a file's hundred lines was last changed by the latest commit of those that touch it."""
     places = t(spark, d, "events").select(F.col("user_id").alias("file"), (F.col("event_id") % 100).alias("line"))
     at = F.col("o_orderkey") % 4 * 25
-    blamed = t(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("file"), at.alias("from_line"), (at + 24).alias("to_line"), F.col("o_orderkey").alias("commit_id"))
+    blamed = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("file"), at.alias("from_line"), (at + 24).alias("to_line")).agg(F.max("o_orderkey").alias("commit_id"))
     return findings.by_blamed_class(places, blamed, classes(spark, d))
 
 
