@@ -118,6 +118,16 @@ def _tests(attributes: list[Node]) -> bool:
     return False
 
 
+def _derives(attributes: list[Node], trait: str) -> bool:
+    """Whether a derive has a path that ends with the trait."""
+    for a in attributes:
+        if a.inner and a.inner[0].text == "derive" and len(a.inner) > 1 and a.inner[1].is_group("("):
+            given = a.inner[1].inner
+            if any(n.text == trait and (at + 1 == len(given) or _is(given, at + 1, ",")) for at, n in enumerate(given)):
+                return True
+    return False
+
+
 def _type_name(nodes: list[Node]) -> str:
     """The last segment of a type's path before its arguments; ? for what is no path."""
     last, depth = "?", 0
@@ -135,12 +145,14 @@ def _type_name(nodes: list[Node]) -> str:
 class Facts:
     """What a source has: uses (line, public, path, alias, glob, in_test), items (line, kind, name, public, in_test), variants (line, name, variant, public, in_test),
     constructed (variant names), paths (first and second segment, in_test). For signatures.py also functions (line, name, owner, public, its nodes from the name to the body, attributes and documentation, where it stands) and
-    structs (line, name, public, attributes, its body's nodes), and whether Drop is implemented."""
+    structs (line, name, public, attributes, its body's nodes), whether Drop is implemented, and errors (line, name): enums with Error in their name, items that derive an
+    Error, and types that Error is implemented for."""
 
     def __init__(self, source: str) -> None:
         self.functions: list[tuple] = []
         self.structs: list[tuple] = []
         self.drops = False
+        self.errors: list[tuple[int, str]] = []
         self.uses: list[tuple] = []
         self.items: list[tuple] = []
         self.variants: list[tuple] = []
@@ -200,6 +212,8 @@ class Facts:
             elif kind in ("struct", "enum", "trait") and follows is not None and follows.is_name:
                 end = self._until(nodes, at, ";", "{")
                 self.items.append((follows.line, kind, name(follows.text), public, test))
+                if kind != "trait" and (_derives(attributes, "Error") or (kind == "enum" and "Error" in follows.text)):
+                    self.errors.append((follows.line, name(follows.text)))
                 if kind == "struct" and end < len(nodes) and nodes[end].inner is not None:
                     self.structs.append((follows.line, follows.text, public, attributes, nodes[end].inner))
                 elif end < len(nodes) and nodes[end].inner is not None:
@@ -211,7 +225,10 @@ class Facts:
                 end = self._until(nodes, at, "{")
                 head = self._without_generics(nodes[at + 1 : end])
                 turn = next((i for i, n in enumerate(head) if n.inner is None and n.text == "for" and not _is(head, i + 1, "<")), None)
-                self.drops |= turn is not None and _type_name(head[:turn]) == "Drop"
+                given = _type_name(head[:turn]) if turn is not None else ""
+                self.drops |= given == "Drop"
+                if given == "Error":
+                    self.errors.append((node.line, name(_type_name(head[turn + 1 :]))))
                 if end < len(nodes):
                     self._items(nodes[end].inner, (*path, _type_name(head if turn is None else head[turn + 1 :])), "impl", test)
             elif kind in ("const", "static") and follows is not None and (follows.is_name or follows.text == "mut"):
@@ -466,3 +483,8 @@ def constructed_table(files: DataFrame) -> DataFrame:
 
 def path_table(files: DataFrame) -> DataFrame:
     return _table(files, lambda f: sorted(f.paths, key=str), PATHS)
+
+
+def error_table(files: DataFrame) -> DataFrame:
+    """file, line, name of error types of a package's own."""
+    return _table(files, lambda f: f.errors, "file string, line int, name string")

@@ -190,3 +190,24 @@ def struct_table(files: DataFrame) -> DataFrame:
 def drop_table(files: DataFrame) -> DataFrame:
     """file of those that implement Drop."""
     return _table(files, lambda f: [()] if f.drops else [], "file string")
+
+
+def _exposed(f: Facts) -> Iterator[tuple]:
+    for line, name, _, public, nodes, *_ in f.functions:
+        if public:
+            found = set()
+            for level, at in _walk(nodes[:-1]):
+                if _is(level, at, "crate", ":", ":") and not _is(level, at - 1, ":"):
+                    parts, i = [], at + 3
+                    while i < len(level) and level[i].is_name:
+                        parts.append(level[i].text)
+                        if not _is(level, i + 1, ":", ":"):
+                            break
+                        i += 3
+                    found.add("::".join(parts))
+            yield from ((line, name, path) for path in sorted(found - {""}))
+
+
+def exposed_table(files: DataFrame) -> DataFrame:
+    """file, line, name, path: what public functions name of their own package, by paths from its root, in parameters and what they give back."""
+    return _table(files, _exposed, "file string, line int, name string, path string")

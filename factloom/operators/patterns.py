@@ -86,3 +86,21 @@ def incohesive_files(effects: DataFrame) -> DataFrame:
     differs = ~F.col("a.mask").isin(IO, OUTPUT, COMPUTES) | (F.col("mask") != F.col("a.mask"))
     found = after.where(differs).groupBy("file").agg(F.first("items").alias("items"), F.first("a").alias("a"), F.min(F.struct("place", "name")).alias("b"))
     return found.select("file", "items", F.col("a.name").alias("first"), F.col("b.name").alias("second"))
+
+
+def stringly_boundaries(findings: DataFrame, errors: DataFrame, owners: DataFrame) -> DataFrame:
+    """krate, findings: crates with two catch-all errors or more that have an error type of their own. findings: file, rule. errors: file."""
+    typed = errors.join(owners, "file").select("krate").distinct()
+    rows = findings.where("rule = 'catch-all-error'").join(owners, "file").groupBy("krate").agg(F.count("*").alias("findings")).where("findings >= 2")
+    return rows.join(typed, "krate", "left_semi")
+
+
+def dependency_inversions(violations: DataFrame, exposed: DataFrame, modules: DataFrame, rules: DataFrame) -> DataFrame:
+    """rule, violations, leaks: module boundaries that are crossed, and whose forbidden modules are named in public signatures of the modules that they hold for.
+
+    violations: rule. exposed: file, name, path. modules: file, module. rules: name, below, forbidden (one row a forbidden module), a configuration, whose rows become one expression."""
+    asked = sorted({tuple(r) for r in rules.select("name", "below", "forbidden").collect()})
+    under = lambda c, p: (F.col(c) == p) | F.col(c).startswith(p + "::")
+    hits = F.array_distinct(F.array_compact(F.array(*(F.when(under("module", below) & under("path", forbidden), F.lit(name)) for name, below, forbidden in asked), F.lit(None).cast("string"))))
+    leaks = exposed.join(modules, "file").select(F.explode(hits).alias("rule")).groupBy("rule").agg(F.count("*").alias("leaks"))
+    return violations.groupBy("rule").agg(F.count("*").alias("violations")).join(leaks, "rule")

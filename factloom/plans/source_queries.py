@@ -176,3 +176,30 @@ UNION ALL SELECT file, 5, 'fragile-substring-classification', 'Warn', 'kind' FRO
 def craft_findings(spark, d):
     """Four rules that need a function's tree."""
     return syntax_rules.rule_table(_files(spark, d, _CRAFT))
+
+
+@query(f"""WITH {_O} SELECT c AS krate, count(*) AS findings FROM o WHERE k % 3 < 2 AND k % 2 = 0 AND c IN (SELECT c FROM o WHERE k % 4 < 3) GROUP BY 1 HAVING count(*) >= 2""")
+def stringly_error_boundaries(spark, d):
+    """Crates that give back erased errors twice, of those that have an error type of their own in one of three ways."""
+    files = _files(spark, d, _CRAFT + """§element_at(array("enum LoadError { A }", "#[derive(Debug, thiserror::Error)] struct Failed;", "impl std::error::Error for Bad {}", "struct ErrorLog;"), cast(k % 4 + 1 as int))§""")
+    return patterns.stringly_boundaries(syntax_rules.rule_table(files), items.error_table(files), files.select("file", "krate"))
+
+
+_LEAKS = """pub fn a(x: &crate::infra::§element_at(array("db", "net", "log"), cast(k % 3 + 1 as int))§::Pool<u8>) -> Vec<crate::domain::Thing> { x }
+fn b(x: crate::infra::db::Hidden) {} pub fn c(x: infra::db::Relative) -> §if(k % 5 = 0, "Option<crate::infra::db::Row>", "u8")§ { y }
+"""
+_BOUNDARIES = (("store", "domain", "infra::db"), ("wire", "domain::core", "infra::net"), ("wire", "domain::core", "infra::log"), ("quiet", "ui", "infra"))
+
+
+@query(f"""WITH {_O}, m AS (SELECT file, k, CASE c % 4 WHEN 0 THEN 'domain' WHEN 1 THEN 'domain::core' WHEN 2 THEN 'domains' ELSE 'ui' END AS module FROM o), p AS (SELECT module, 'infra::' || CASE k % 3 WHEN 0 THEN 'db' WHEN 1 THEN 'net' ELSE 'log' END AS path FROM m
+UNION ALL SELECT module, 'domain' FROM m UNION ALL SELECT module, 'infra::db' FROM m WHERE k % 5 = 0), r(name, below, forbidden) AS (VALUES {", ".join(map(str, _BOUNDARIES))}),
+l AS (SELECT name AS rule, count(*) AS leaks FROM p JOIN r ON (module = below OR starts_with(module, below || '::')) AND (path = forbidden OR starts_with(path, forbidden || '::')) GROUP BY 1),
+v AS (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'store' WHEN 1 THEN 'wire' ELSE 'other' END AS rule, count(*) AS violations FROM orders GROUP BY 1)
+SELECT rule, violations, leaks FROM v JOIN l USING (rule)""")
+def dependency_inversions(spark, d):
+    """Boundaries that are crossed and leak; one that leaks isn't crossed."""
+    files = _files(spark, d, _LEAKS)
+    module = F.element_at(F.array(*map(F.lit, ("domain", "domain::core", "domains", "ui"))), (F.col("krate") % 4 + 1).cast("int"))
+    rule = F.element_at(F.array(*map(F.lit, ("store", "wire", "other"))), (F.col("file").cast("bigint") % 3 + 1).cast("int"))
+    rules = spark.createDataFrame(list(_BOUNDARIES), "name string, below string, forbidden string")
+    return patterns.dependency_inversions(files.select(rule.alias("rule")), signatures.exposed_table(files), files.select("file", module.alias("module")), rules)

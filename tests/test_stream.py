@@ -109,3 +109,17 @@ CRAFT = [
 def test_craft_rules():
     for source, want in CRAFT:
         assert {rule for _, rule, _, _ in syntax_rules.rules(items.Facts(source))} == want, source
+
+
+def test_error_types_and_exposed_paths(spark):
+    source = """enum LoadError { A } #[derive(Debug, thiserror::Error)] pub struct Failed; mod m { impl<T> std::error::Error for Bad<T> {} } struct ErrorLog; #[derive(ErrorKind)] struct X; impl Error { }
+pub fn a(x: &crate::infra::db::Pool<crate::b::C>, y: u8) -> Vec<crate::d::E> { crate::f::G } fn b(x: crate::h::I) {} pub fn c(x: other::crate_::J) {}"""
+    f = items.Facts(source)
+    assert [n for _, n in f.errors] == ["LoadError", "Failed", "m::Bad"]
+    assert [(n, p) for _, n, p in signatures._exposed(f)] == [("a", "b::C"), ("a", "d::E"), ("a", "infra::db::Pool")]
+    exposed = spark.createDataFrame([("f", "a", "infra::db::Pool"), ("g", "a", "infra::dbx::Pool"), ("h", "a", "infra::db")], "file string, name string, path string")
+    modules = spark.createDataFrame([("f", "domain::x"), ("g", "domain"), ("h", "domainx")], "file string, module string")
+    rules = spark.createDataFrame([("r", "domain", "infra::db"), ("s", "domain", "infra")], "name string, below string, forbidden string")
+    violations = spark.createDataFrame([("r",), ("r",), ("t",)], "rule string")
+    assert [tuple(r) for r in patterns.dependency_inversions(violations, exposed, modules, rules).collect()] == [("r", 2, 1)]
+    assert patterns.dependency_inversions(violations, exposed, modules, rules.where("false")).collect() == []
