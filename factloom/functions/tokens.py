@@ -11,8 +11,9 @@ from collections.abc import Iterator
 
 from .names import KEYWORDS, LITERALS
 
+#: The first alternative is the commonest: words that can't begin a literal.
 _TOKEN = re.compile(
-    r"//[^\n]*|/\*|[bc]?r(\#*)\".*?\"\1|[bc]?\"(?:\\.|[^\"\\])*\"|b?'(?:\\(?:x[0-9A-Fa-f]{2}|u\{[^}]*\}|.)|[^'\\])'|r\#[^\W\d]\w*"
+    r"[^\W\dbcr]\w*|//[^\n]*|/\*|[bc]?r(\#*)\".*?\"\1|[bc]?\"(?:\\.|[^\"\\])*\"|b?'(?:\\(?:x[0-9A-Fa-f]{2}|u\{[^}]*\}|.)|[^'\\])'|r\#[^\W\d]\w*"
     r"|0[xob]\w+|\d[\d_]*(?:\.\d[\d_]*|\.(?![.\w]))?(?:[eE][+-]?\d[\d_]*)?\w*|[^\W\d]\w*|\S",
     re.S,
 )
@@ -47,6 +48,8 @@ def spans(source: str, docs: bool = False) -> Iterator[tuple[int, int]]:
 
 
 def tokens(source: str) -> list[str]:
+    if "/*" not in source:
+        return [m[0] for m in _TOKEN.finditer(source) if not m[0].startswith("//")]
     return [source[a:b] for a, b in spans(source)]
 
 
@@ -80,6 +83,11 @@ def _is_name(token: str) -> bool:
     return token[0] == "_" or token[0].isalpha()
 
 
+def may_be_variable(token: str) -> bool:
+    """Whether a token that is no literal can be a variable's name, wherever it stands."""
+    return _is_name(token) and token not in _KEYWORDS and token not in _PLACES and not token[0].isupper()
+
+
 def normalised(toks: list[str], mode: str, kinds: dict[str, str | None] | None = None) -> list[str]:
     """mild: the tokens. weak: literals as what stands for their kind. semantic: besides, names that look like variables of the function by the order of
     their first occurrence in it.
@@ -97,7 +105,7 @@ def normalised(toks: list[str], mode: str, kinds: dict[str, str | None] | None =
         kind = kinds[tok]
         if kind is not None:
             out.append(LITERALS[kind])
-        elif mode == "weak" or not _is_name(tok) or tok in _KEYWORDS or tok in _PLACES or tok[0].isupper():
+        elif mode == "weak" or not may_be_variable(tok):
             out.append(tok)
         elif i + 1 < n and (toks[i + 1] in ("(", "!") or (toks[i + 1] == ":" and i + 2 < n and toks[i + 2] == ":")):
             out.append(tok)

@@ -18,6 +18,7 @@ Windows, anchors and places are told apart by 64-bit hashes, streams by 128 bits
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,12 +28,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens
+from ..functions.names import LITERALS
 from ..sources.shared import Stored
 
 #: Text that is hashed at a time; a longer text is alone.
 SLICE_BYTES = 2 << 20
-#: Literal kinds of distinct tokens that a task remembers.
-_CACHED = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,35 +53,68 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(begin)
 
 
-def _units(column: pa.Array, mode: str, kinds: dict) -> list[list[str]]:
-    """A stream of each row: of a text by its tokens, of an array of tokens as it is, of "words" what white space separates."""
-    if len(kinds) > _CACHED:
-        kinds.clear()
+def _units(column: pa.Array, mode: str) -> list[list[str]]:
+    """What a stream of each row is made of: the tokens of a text, an array of tokens as it is, what white space separates, or tokens with the gaps before them."""
     rows = column.to_pylist()
     if mode == "words":
         return [[w.decode() for w in r.encode().split()] if r else [] for r in rows]
     if mode == "strict":
         return [tokens.with_gaps(r) if r else [] for r in rows]
-    return [tokens.normalised(r if isinstance(r, list) else tokens.tokens(r), mode, kinds) if r else [] for r in rows]
+    return [(r if isinstance(r, list) else tokens.tokens(r)) if r else [] for r in rows]
+
+
+def _hashes(texts: list[str]) -> np.ndarray:
+    return pd.util.hash_array(np.array(texts, object)) if texts else np.zeros(0, np.uint64)
 
 
 class _Hashed:
-    """A slice's streams as hashes of their units, one after another."""
+    """A slice's streams as hashes of their units, one after another: those of tokens.normalised(), without making its texts."""
 
-    def __init__(self, column: pa.Array, mode: str, kinds: dict) -> None:
-        rows = _units(column, mode, kinds)
+    def __init__(self, column: pa.Array, mode: str) -> None:
+        rows = _units(column, mode)
         self.sizes = np.fromiter(map(len, rows), np.int64, len(rows))
         self.ends = np.cumsum(self.sizes)
-        flat = pa.array([u for r in rows for u in r], pa.string()).dictionary_encode()
+        self.row = np.repeat(np.arange(len(rows)), self.sizes)
+        flat = pa.array(chain.from_iterable(rows), pa.string(), size=int(self.sizes.sum())).dictionary_encode()
         distinct = flat.dictionary.to_pylist()
-        at = flat.indices.to_numpy(zero_copy_only=False) if len(flat) else np.zeros(0, np.int64)
-        own = pd.util.hash_array(np.array(distinct, object)) if distinct else np.zeros(0, np.uint64)
+        at = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        kinds = [tokens.literal_kind(t) for t in distinct] if mode in ("weak", "semantic") else [None] * len(distinct)
+        own = _hashes([t if k is None else LITERALS[k] for t, k in zip(distinct, kinds, strict=True)])
         self.unit = own[at] if len(at) else np.zeros(0, np.uint64)
         self.first = self.unit
-        if mode == "strict":  # what stands before a window's first token is no part of it
-            bare = [tokens.tokens(u)[-1] for u in distinct]
-            self.first = pd.util.hash_array(np.array(bare, object))[at] if bare else self.unit
-        self.row = np.repeat(np.arange(len(rows)), self.sizes)
+        if mode == "strict" and distinct:  # what stands before a window's first token is no part of it
+            self.first = _hashes([tokens.tokens(u)[-1] for u in distinct])[at]
+        if mode == "semantic" and distinct:
+            self._number(at, distinct, np.array([k is None and tokens.may_be_variable(t) for t, k in zip(distinct, kinds, strict=True)]))
+
+    def _number(self, at: np.ndarray, distinct: list[str], variable: np.ndarray) -> None:
+        """Gives variables the hashes of their numbers, by first occurrence in their text."""
+        sign = {t: i for i, t in enumerate(distinct) if t in ("(", "!", ":", ".")}
+        n = len(at)
+
+        def beside(test: np.ndarray, by: int) -> np.ndarray:
+            """Where the token `by` places on is one of test, in the same text."""
+            out = np.zeros(n, bool)
+            if by > 0:
+                out[:-by] = test[by:] & (self.row[by:] == self.row[:-by])
+            else:
+                out[-by:] = test[:by] & (self.row[:by] == self.row[-by:])
+            return out
+
+        colon, called = at == sign.get(":", -1), (at == sign.get("(", -1)) | (at == sign.get("!", -1))
+        keeps = beside(called, 1) | (beside(colon, 1) & beside(colon, 2)) | beside(at == sign.get(".", -1), -1) | (beside(colon, -1) & beside(colon, -2))
+        place = np.flatnonzero(variable[at] & ~keeps)
+        if not len(place):
+            return
+        pair, first, back = np.unique(self.row[place] * len(distinct) + at[place], return_index=True, return_inverse=True)
+        rank = np.empty(len(pair), np.int64)
+        rank[np.argsort(first)] = np.arange(len(pair))
+        owner = pair // len(distinct)
+        before = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(self.sizes)))])
+        number = (rank - before[owner])[back]
+        self.unit = self.unit.copy()
+        self.unit[place] = _hashes([f"__ID_{i}__" for i in range(int(number.max()) + 1)])[number]
+        self.first = self.unit
 
     def grams(self, n: int) -> np.ndarray:
         """Hash of each n units in a row, whatever text they are of."""
@@ -123,9 +156,7 @@ class _Hashed:
 
 def _pass(rows: DataFrame, fn, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds: dict = {}
-        for batch in _slices(batches):
-            yield fn(batch, kinds)
+        yield from map(fn, _slices(batches))
 
     return rows.mapInArrow(run, schema)
 
@@ -139,8 +170,8 @@ def clone_classes(rows: DataFrame, mode: str = "mild", least: int = 20) -> DataF
     id_type = rows.schema["id"].dataType.simpleString()
     source = rows.select("id", rows.columns[1 - rows.columns.index("id")])
 
-    def summary(batch: pa.RecordBatch, kinds: dict) -> pa.RecordBatch:
-        s = _Hashed(batch.column(1), mode, kinds)
+    def summary(batch: pa.RecordBatch) -> pa.RecordBatch:
+        s = _Hashed(batch.column(1), mode)
         at, low = s.anchors(least)
         cut = np.searchsorted(s.row[at], np.arange(batch.num_rows + 1)) if len(at) else np.zeros(batch.num_rows + 1, np.int64)
         lows = [np.unique(low[a:b]).view(np.int64) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
@@ -155,8 +186,8 @@ def clone_classes(rows: DataFrame, mode: str = "mild", least: int = 20) -> DataF
     marked = Stored(anchors.join(shared, "low", "left_semi").groupBy("id").agg(F.collect_list("low").alias("lows")))  # a text's own anchors
     wanted = marked.frame.join(copies.frame.select("id", "n"), "id", "right").where("lows is not null or n > 1")
 
-    def windows(batch: pa.RecordBatch, kinds: dict) -> pa.RecordBatch:
-        s = _Hashed(batch.column(1), mode, kinds)
+    def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        s = _Hashed(batch.column(1), mode)
         at, low = s.anchors(least)
         keep = np.zeros(len(at), bool)
         cut = np.searchsorted(s.row[at], np.arange(batch.num_rows + 1)) if len(at) else np.zeros(batch.num_rows + 1, np.int64)
@@ -270,6 +301,4 @@ def duplicated_tokens(found: DataFrame) -> DataFrame:
 
 def literal_evidence(toks: Column) -> Column:
     """The distinct literal placeholders in an array of normalised tokens, in order of occurrence: which kinds a weak match left out."""
-    from ..functions.names import LITERALS
-
     return F.array_distinct(F.filter(toks, lambda t: t.isin(*LITERALS.values())))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from factloom.functions import tokens
@@ -36,6 +38,18 @@ def test_streams():
     assert semantic[-2:] == ["__ID_0__", "]"]
 
 
+@pytest.mark.parametrize("mode", ["mild", "weak", "semantic"])
+def test_hashed_streams_are_the_normalised_ones(mode):
+    rng = random.Random(5)
+    signs = ["(", ")", ":", ":", ".", "!", "a", "b", "Cc", "self", "let", "1", '"s"', "true", "_x", "é", "b'q'", "crate", "r", "cb"]
+    rows = [[rng.choice(signs) for _ in range(rng.randint(0, 40))] for _ in range(60)] + [[], ["a"], [":", ":", "a"], ["a", ":", ":"]]
+    found = clones._Hashed(pa.array(rows, pa.list_(pa.string())), mode)
+    want = [u for r in rows for u in tokens.normalised(r, mode)]
+    assert np.array_equal(found.unit, clones._hashes(want)) and found.sizes.tolist() == [len(r) for r in rows]
+    texts = [" ".join(r) for r in rows]
+    assert np.array_equal(clones._Hashed(pa.array(texts), mode).unit, clones._hashes([u for t in texts for u in tokens.normalised(tokens.tokens(t), mode)]))
+
+
 def functions(rng, n):
     """Sources of a few statements, some of them copies with other names, literals or spaces."""
     names = ["alpha", "beta", "gamma", "delta"]
