@@ -52,7 +52,8 @@ def dead_enum_variants(spark, d):
     """Variants of a crate that are matched and stand in macros and comments, but of which only some are constructed."""
     source = "pub enum E§k % 4§ { A§k % 3§, B§k % 5§(u8) }\nfn f(v: E) -> E { match v { E::A§k % 3§ if x == E::B§(k + 2) % 5§(1) => log!(E::A0), E::A1 | E::A2 => {} /* E::A0 */ _ => §if(c % 2 = 0, concat('E::A', k % 2), '()')§ } }\n"
     files = _files(spark, d, source)
-    return structure.dead_variants(items.variant_table(files), items.constructed_table(files), files.select("file", F.col("krate").alias("workspace")))
+    variants, constructed = items.tables(files, items.VARIANT_ROWS, items.CONSTRUCTED_ROWS)
+    return structure.dead_variants(variants, constructed, files.select("file", F.col("krate").alias("workspace")))
 
 
 @query(f"""WITH {_O}, p AS (SELECT c, 'serde' AS f, CASE WHEN k % 3 = 0 THEN 'de' ELSE 'ser' END AS s, false AS t FROM o UNION ALL SELECT c, 'rand', 'random', true FROM o UNION ALL SELECT c, 'tokio', 'spawn' || k % 4, k % 2 = 0 FROM o UNION ALL SELECT c, 'println', NULL, false FROM o)
@@ -128,14 +129,16 @@ def boolean_state_clusters(spark, d):
 @query(f"WITH {_O} SELECT c AS krate, 'R' || k % 2 AS struct, 'hi,lo' AS fields, 'R' || k % 2 || '::new' AS constructors FROM o GROUP BY c, k % 2 HAVING bool_or(k % 3 < 2)")
 def public_invariant_bypasses(spark, d):
     files, owners = _pattern_files(spark, d)
-    found = patterns.invariant_bypasses(signatures.struct_table(files), signatures.signature_table(files), owners)
+    structs, functions = items.tables(files, signatures.STRUCT_ROWS, signatures.FUNCTION_ROWS)
+    found = patterns.invariant_bypasses(structs, functions, owners)
     return found.withColumn("fields", F.array_join("fields", ",")).withColumn("constructors", F.array_join("constructors", ","))
 
 
 @query(f"WITH {_O} SELECT c AS krate, count(*) AS functions FROM o WHERE k % 3 < 2 AND c NOT IN (SELECT c FROM o WHERE k % 30 = 0) GROUP BY 1")
 def manual_resource_lifecycles(spark, d):
     files, owners = _pattern_files(spark, d)
-    return patterns.manual_lifecycles(signatures.signature_table(files), signatures.drop_table(files), owners)
+    functions, drops = items.tables(files, signatures.FUNCTION_ROWS, signatures.DROP_ROWS)
+    return patterns.manual_lifecycles(functions, drops, owners)
 
 
 _MASKS = """m AS (SELECT *, (CASE WHEN k % 4 < 2 THEN 1 ELSE 0 END) + (CASE WHEN k % 4 = 2 OR k % 6 = 0 THEN 2 ELSE 0 END) + (CASE WHEN k % 20 IN (4, 19) THEN 4 ELSE 0 END) AS a, CASE k % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS b FROM o)"""
@@ -150,8 +153,8 @@ def _complexity(files: DataFrame) -> DataFrame:
 def incohesive_files(spark, d):
     """Five public items a file, two of which have effects."""
     files, _ = _pattern_files(spark, d)
-    rows = patterns.effects(signatures.signature_table(files), _complexity(files), items.item_table(files))
-    return patterns.incohesive_files(rows)
+    functions, declared = items.tables(files, signatures.FUNCTION_ROWS, items.ITEM_ROWS)
+    return patterns.incohesive_files(patterns.effects(functions, _complexity(files), declared))
 
 
 @query(f"WITH {_O} SELECT file, 'effect' AS name, 12 AS cyclomatic FROM o WHERE k % 20 IN (4, 19) AND k % 4 < 2")
@@ -182,7 +185,8 @@ def craft_findings(spark, d):
 def stringly_error_boundaries(spark, d):
     """Crates that give back erased errors twice, of those that have an error type of their own in one of three ways."""
     files = _files(spark, d, _CRAFT + """§element_at(array("enum LoadError { A }", "#[derive(Debug, thiserror::Error)] struct Failed;", "impl std::error::Error for Bad {}", "struct ErrorLog;"), cast(k % 4 + 1 as int))§""")
-    return patterns.stringly_boundaries(syntax_rules.rule_table(files), items.error_table(files), files.select("file", "krate"))
+    found, errors = items.tables(files, syntax_rules.RULE_ROWS, items.ERROR_ROWS)
+    return patterns.stringly_boundaries(found, errors, files.select("file", "krate"))
 
 
 _LEAKS = """pub fn a(x: &crate::infra::§element_at(array("db", "net", "log"), cast(k % 3 + 1 as int))§::Pool<u8>) -> Vec<crate::domain::Thing> { x }
