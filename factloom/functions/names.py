@@ -160,21 +160,20 @@ def fnv1a(text: Column) -> Column:
 
     The hash is two halves of 32 bits, so no product passes 64: a step multiplies both by the factor's small part, and its 2^40 moves the lower one up by eight bits.
     """
-    digits = F.hex(F.encode(text, "UTF-8"))
-    size = (F.length(digits) / 2).cast("int")
-    places = F.when(size > 0, F.sequence(F.lit(1), size)).when(size == 0, F.array().cast("array<int>"))
+    # an array of bytes: a step that named the text would compute it anew for each
+    digits = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0))
     mask = F.lit(0xFFFFFFFF).cast("bigint")
     begun = F.struct(F.lit(_FNV_HIGH).cast("bigint").alias("high"), F.lit(_FNV_LOW).cast("bigint").alias("low"))
 
-    def step(h: Column, at: Column) -> Column:
-        byte = F.conv(F.substring(digits, 2 * at - 1, F.lit(2)), 16, 10).cast("bigint")
+    def step(h: Column, digit: Column) -> Column:
+        byte = F.conv(digit, 16, 10).cast("bigint")
         low = h["low"].bitwiseXOR(byte)
         product = low * _FNV_FACTOR
         high = h["high"] * _FNV_FACTOR + F.shiftright(product, 32) + F.shiftleft(low, 8)
         return F.struct(high.bitwiseAND(mask).alias("high"), product.bitwiseAND(mask).alias("low"))
 
     half = lambda c: F.lpad(F.lower(F.hex(c)), 8, "0")
-    return F.aggregate(places, begun, step, lambda h: F.concat(half(h["high"]), half(h["low"])))
+    return F.aggregate(digits, begun, step, lambda h: F.concat(half(h["high"]), half(h["low"])))
 
 
 def candidate_id(pattern: Column, crate: Column, modules: Column, evidence: Column) -> Column:

@@ -29,3 +29,16 @@ def test_lines_of_tokens_do_not_depend_on_how_they_are_found():
     want = [(simple[a:b], simple.count("\n", 0, a) + 1) for a, b in tokens.spans(simple, docs=True)]
     assert list(tokens.with_lines(simple)) == want
     assert list(tokens.with_lines(simple + "/* x\n */ y"))[: len(want)] == want
+
+
+def test_a_long_texts_hash_takes_time_by_its_length(spark):
+    from time import monotonic
+
+    from factloom.functions import names
+    from tests.test_values import fnv
+
+    words = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(30_000)), lambda i: F.concat(F.lit("é"), i.cast("string"))).alias("w"))
+    began = monotonic()
+    got = words.select(names.fnv1a(F.array_join(F.array_sort("w"), ","))).first()[0]
+    assert monotonic() - began < 20
+    assert got == fnv(",".join(sorted(f"é{i}" for i in range(1, 30_001))).encode())
