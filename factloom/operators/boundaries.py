@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
+from ..sources.shared import Stored
 from .graphs import shortest_paths
 
 #: The roles of the hexagonal preset.
@@ -21,7 +22,7 @@ ROLES = ("core", "ports", "adapters")
 def violations(edges: DataFrame, rules: DataFrame) -> DataFrame:
     """rule, src, dst, path: forbidden pairs that an edge or, if the rule reaches further, the shortest path joins; and with dst null, sources
     that reach none of the targets that their rule requires."""
-    e = edges.select("src", "dst").distinct()
+    e = Stored(edges.select("src", "dst").distinct()).frame
     far = shortest_paths(e, rules.where("reach = 'transitive'").select(F.col("src").alias("node")).distinct()).select(F.col("start").alias("src"), F.col("node").alias("dst"), F.col("path").cast("array<string>").alias("path"))
     near = e.select("src", "dst", F.array("src", "dst").cast("array<string>").alias("path"))
     met = rules.where("reach = 'direct'").join(near, ["src", "dst"]).unionByName(rules.where("reach = 'transitive'").join(far, ["src", "dst"]))

@@ -101,7 +101,7 @@ def dead_items(items: DataFrame, calls: DataFrame, entries: DataFrame) -> DataFr
 
     items: node, crate, published, the public ones. Items of one node stand once. The two rules can both hold.
     """
-    m = item_masks(items.dropDuplicates(["node"]), calls, entries)
+    m = item_masks(items.dropDuplicates(["node"]), Stored(calls.select("src", "dst", "test")).frame, entries)
     has = lambda bit: F.col("mask").bitwiseAND(F.lit(bit)) != 0
     unused = F.when(~has(USED) & ~has(PRODUCTION), F.when(F.col("published"), "unused-pub-api").otherwise("unused-pub-workspace"))
     tests = F.when(~has(USED_BY_ANY) & ~has(PRODUCTION) & has(ANY), F.lit("test-only-pub"))
@@ -204,6 +204,7 @@ def named_cycles(edges: DataFrame) -> DataFrame:
 
     A node with an edge to itself gives that; else it is the shortest, of several the one whose last node is least.
     """
+    edges = Stored(edges.select("src", "dst").distinct()).frame
     inner = Stored(inner_edges(edges, components(edges))).frame
     roots = inner.select(F.col("component").alias("node")).distinct()
     live = live_from(inner.select("src", "dst", F.lit("").alias("kind")), roots)
@@ -222,6 +223,7 @@ def graph_errors(findings: DataFrame, edges: DataFrame) -> DataFrame:
     duplicate_finding and duplicate_edge (detail: how often), unknown_finding (an end of an edge), cycle (the nodes joined by " -> "). No row: the graph is sound.
     """
     text = lambda c: F.col(c).cast("string")
+    edges = Stored(edges.select("cause", "effect")).frame  # read by each check, and by every loop
     twice = findings.groupBy("id").count().where("count > 1").select(F.lit("duplicate_finding").alias("error"), text("id").alias("id"), text("count").alias("detail"))
     pairs = edges.groupBy("cause", "effect").count().where("count > 1")
     again = pairs.select(F.lit("duplicate_edge").alias("error"), F.concat_ws(" -> ", text("cause"), text("effect")).alias("id"), text("count").alias("detail"))

@@ -1,7 +1,7 @@
 """Graph operators over edges (src, dst): reachability, shortest paths, cycles, closure, boundary rules.
 
-Frontier loops: each step joins the frontier with the edges, drops what is known and is checkpointed, so lineage
-stays short and a lost executor costs one step.
+Frontier loops: the edges are written once, however they were made; each step joins the frontier with them, drops what is
+known and is written too, so lineage stays short and a lost executor costs one step.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import kept
+from ..sources.shared import Stored
 
 
 def shortest_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -19,35 +19,43 @@ def shortest_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
 
     Of paths of equal length the least in order of nodes is kept.
     """
-    e = edges.select("src", "dst").distinct()
-    frontier = starts.select(F.col("node").alias("start"), "node", F.array("node").alias("path")).distinct()
-    known: DataFrame | None = None
+    e = Stored(edges.select("src", "dst").distinct())
+    frontier = Stored(starts.select(F.col("node").alias("start"), "node", F.array("node").alias("path")).distinct())
+    known: Stored | None = None
     for depth in count(1):
-        step = frontier.join(e, frontier["node"] == e["src"]).groupBy("start", F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
+        step = frontier.frame.join(e.frame, F.col("node") == F.col("src")).groupBy("start", F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
         if known is not None:
-            step = step.join(known.select("start", "node"), ["start", "node"], "left_anti")
-        frontier = kept(step)
-        if frontier.isEmpty():
+            step = step.join(known.frame.select("start", "node"), ["start", "node"], "left_anti")
+        fresh = Stored(step)
+        frontier.drop()
+        frontier = fresh
+        if not frontier.rows:
             break
-        layer = frontier.withColumn("depth", F.lit(depth))
-        known = layer if known is None else kept(known.unionByName(layer))
-    return known if known is not None else frontier.withColumn("depth", F.lit(0))
+        layer = frontier.frame.withColumn("depth", F.lit(depth))
+        grown = Stored(layer if known is None else known.frame.unionByName(layer))
+        if known is not None:
+            known.drop()
+        known = grown
+    e.drop()
+    return known.frame if known is not None else frontier.frame.withColumn("depth", F.lit(0))
 
 
 def closure(edges: DataFrame) -> DataFrame:
     """src, dst: all pairs that a path joins, a node with itself over a cycle. Each round joins what is known with itself, so rounds grow with the logarithm of the depth."""
-    known = kept(edges.select("src", "dst").distinct())
-    n = known.count()
+    known = Stored(edges.select("src", "dst").distinct())
     while True:
-        further = known.select("src", F.col("dst").alias("via")).join(known.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst")
-        known = kept(known.unionByName(further).distinct())
-        if (m := known.count()) == n:
-            return known
-        n = m
+        further = known.frame.select("src", F.col("dst").alias("via")).join(known.frame.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst")
+        grown = Stored(known.frame.unionByName(further).distinct())
+        ended = grown.rows == known.rows
+        known.drop()
+        known = grown
+        if ended:
+            return known.frame
 
 
 def closure_size(edges: DataFrame) -> DataFrame:
     """node, reachable: how many nodes it reaches; itself counts if it lies on a cycle."""
+    edges = Stored(edges.select("src", "dst").distinct()).frame
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     counts = closure(edges).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("reachable"))
     return nodes.join(counts, "node", "left").select("node", F.coalesce("reachable", F.lit(0)).alias("reachable"))
@@ -55,22 +63,28 @@ def closure_size(edges: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """Nodes reached from any start, starts included."""
-    found = starts.select("node").distinct()
+    e = Stored(edges.select("src", "dst").distinct())
+    found = frontier = Stored(starts.select("node").distinct())
     while True:
-        more = found.join(edges, found["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct().join(found, "node", "left_anti")
-        more = kept(more)
-        if more.isEmpty():
-            return found
-        found = kept(found.unionByName(more))
+        more = frontier.frame.join(e.frame, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(found.frame, "node", "left_anti")
+        fresh = Stored(more)
+        if not fresh.rows:
+            e.drop()
+            return found.frame
+        grown = Stored(found.frame.unionByName(fresh.frame))
+        found.drop()
+        if frontier is not found:
+            frontier.drop()
+        found, frontier = grown, fresh
 
 
 def cycles(edges: DataFrame, longest: int) -> DataFrame:
     """cycle (nodes from its least one, comma-joined), length: all simple cycles up to a length. The bound is part of the result's meaning."""
-    e = edges.select("src", "dst").distinct()
+    e = Stored(edges.select("src", "dst").distinct()).frame
     paths = e.where("src <= dst").select(F.col("src").alias("root"), "dst", F.array("src").alias("path"))
     found: list[DataFrame] = []
     for n in range(1, longest + 1):
-        paths = kept(paths)
+        paths = Stored(paths).frame
         found.append(paths.where("dst = root").select(F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("cycle"), F.lit(n).alias("length")))
         if n < longest:
             grown = paths.where("dst > root").join(e.withColumnsRenamed({"src": "s", "dst": "d"}), F.col("dst") == F.col("s"))

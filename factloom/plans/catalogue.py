@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import decide, graphs, history, provenance, registry, structure, text
+from ..sources.shared import Stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -237,6 +238,7 @@ CASE WHEN n.node IS NOT NULL AND r.node IS NOT NULL THEN 'Fail' ELSE 'Warn' END
 def advisory_reachability(spark, d):
     edges = trade(spark, d)
     advisories = t(spark, d, "benchmark").select(F.col("item_id").alias("id"), (F.col("item_id") % 40).alias("name"))
+    edges = Stored(edges).frame
     resolved = edges.select(F.col("src").alias("name")).union(edges.select("dst")).distinct()
     production = graphs.reachable(edges.where("production"), spark.range(1).select(F.col("id").alias("node"))).select(F.col("node").alias("name"))
     return registry.advisory_state(advisories, resolved, production)
