@@ -113,5 +113,7 @@ def phantom_versions(declared: DataFrame, published: DataFrame) -> DataFrame:
     have = published.where(~F.col("yanked")).groupBy("name").agg(F.array_sort(F.collect_set(version_key(F.col("v.major"), F.col("v.minor"), F.col("v.patch")))).alias("have"))
     known = published.select("name").distinct().join(have, "name", "left")
     rows = declared.join(known, "name").withColumn("r", requirement_range("requirement")).where("r is not null")
-    met = F.exists(F.coalesce("have", F.array().cast("array<bigint>")), lambda v: (v >= F.col("r.low")) & (v < F.col("r.high")))
+    # the range as a lambda's argument: a column would be read from its text anew for each version
+    have = F.coalesce("have", F.array().cast("array<bigint>"))
+    met = F.get(F.transform(F.array("r"), lambda r: F.exists(have, lambda v: (v >= r["low"]) & (v < r["high"]))), F.lit(0))
     return rows.where(~met).select("krate", "name", "requirement")
