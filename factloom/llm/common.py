@@ -121,14 +121,19 @@ def remainder(column: str, modulus: int) -> F.Column:
     return F.crc32(F.col(column).cast("string")) % modulus
 
 
+def label_rows(labels: DataFrame, label: str, modulus: int, held_out: int) -> DataFrame:
+    """(doc_id, y) of all labelled rows outside the held-out remainder. Rows with a null id or label are no labels. Contradicting labels of one id all count."""
+    ids = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null")
+    return ids.where(remainder("doc_id", modulus) != held_out)
+
+
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, bound: int = FIT_ROWS) -> DataFrame:
     """(doc_id, y, text) of at most `bound` labelled rows outside the held-out remainder.
 
     Rows with a null id or label are no labels. Contradicting labels of one id all count.
     The sample is broadcast: it has `bound` rows of two numbers at most.
     """
-    ids = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null")
-    ids = ids.where(remainder("doc_id", modulus) != held_out).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    ids = label_rows(labels, label, modulus, held_out).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     return id_and_text(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text")
 
 

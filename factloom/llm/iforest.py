@@ -96,3 +96,13 @@ def calibrate(score: np.ndarray, good: np.ndarray, keep: float = 0.995) -> float
     missed = np.searchsorted(bad, options, side="right") / max(len(bad), 1)
     lost = 1 - np.searchsorted(normal, options, side="right") / len(normal)
     return float(options[np.argmin(missed + lost)])
+
+
+def calibrate_counts(step: np.ndarray, good: np.ndarray, bad: np.ndarray, keep: float = 0.995) -> int | None:
+    """The same from counts of good and bad rows at each step of the score, in rising order; None without good rows."""
+    if not good.sum():
+        return None
+    kept, passed = np.cumsum(good), np.cumsum(bad)
+    least = int(np.searchsorted(kept, max(int(np.ceil(keep * kept[-1])), 1)))
+    lost, missed = 1 - kept[least:] / kept[-1], passed[least:] / max(passed[-1], 1)
+    return int(step[least + np.argmin(missed + lost)])
