@@ -18,6 +18,7 @@ Windows, anchors and places are told apart by 64-bit hashes, streams by 128 bits
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -279,6 +280,11 @@ def families(spans: DataFrame, contents: DataFrame, places: DataFrame, ranges: D
     placed = sides.join(places, "id").withColumns({"first_line": F.get(lines, F.col("start")), "last_line": F.get(lines, F.col("start") + F.col("length") - 1)}).drop("lines")
     dropped = within_range(placed.select(*b, "file", "first_line", "last_line"), ranges).select("pair").distinct()
     members = sides.join(dropped, "pair", "left_anti").select("id", "start", "length").distinct()
+    return _by_content(members, contents)
+
+
+def _by_content(members: DataFrame, contents: DataFrame) -> DataFrame:
+    """Families of the spans (id, start, length) that lie within no other of their text, by content, of two members or more."""
     end = F.col("start") + F.col("length")
     # a span lies within another of its text if one that begins no later ends no earlier: the furthest end so far, longest first at one start
     order = Window.partitionBy("id").orderBy("start", F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)
@@ -288,6 +294,92 @@ def families(spans: DataFrame, contents: DataFrame, places: DataFrame, ranges: D
     return named.join(sizes, "family")
 
 
+def families_of_texts(rows: DataFrame, places: DataFrame, ranges: DataFrame, least: int = 20) -> DataFrame:
+    """families() of text.clone_spans(rows, least), without listing a pair: what is sent grows with the texts and not with how many pairs have a window in common."""
+    return _by_content(reaches(rows, places, ranges, least), rows.select("id", "toks"))
+
+
+class _Lengths:
+    """Hashes of a slice's windows of any length, and which of them count. Columns of the batch: id, toks, lines, starts, ends."""
+
+    def __init__(self, batch: pa.RecordBatch, least: int) -> None:
+        s = _Hashed(batch.column(1), "mild")
+        self.row, self.least, place = s.row, least, np.arange(len(s.unit))
+        begins = s.ends - s.sizes
+        self.pos = place - begins[s.row]
+        self.room = s.ends[s.row] - place
+        self.need = np.full(len(s.unit), least)  # the length from which on a span from here is not wholly in a range
+        for i, (lines, starts, ends) in enumerate(zip(*(batch.column(k) for k in (2, 3, 4)), strict=True)):
+            if starts.is_valid and lines.is_valid:
+                lines, starts, ends = (x.values.to_numpy() for x in (lines, starts, ends))
+                k = np.searchsorted(starts, lines, "right") - 1
+                upto = np.searchsorted(lines, np.where(k >= 0, ends[k], -1), "right")
+                self.need[begins[i] : begins[i] + len(lines)] = np.maximum(least, upto - np.arange(len(lines)) + 1)
+        ids = _hashes([f"\u0001{i}" for i in batch.column(0).to_pylist()])  # where a text begins, nothing else stands before
+        self.left = np.where(self.pos == 0, ids[s.row], np.roll(s.unit, 1)) if len(s.unit) else s.unit
+        grams = s.grams(least)
+        self.power, self.back = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(grams), x, np.uint64)])) for x in (int(_MIX), pow(int(_MIX), -1, 1 << 64)))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(grams * self.power[:-1], dtype=np.uint64)])
+
+    def hashes(self, at: np.ndarray, n: int) -> np.ndarray:
+        """Of the windows of n units from the places at, by the grams of `least` in them."""
+        h = (self.sums[at + n - self.least + 1] - self.sums[at]) * self.back[at] + np.uint64(n)
+        return ((h ^ (h >> np.uint64(29))) * _MIX).view(np.int64)
+
+
+def reaches(rows: DataFrame, places: DataFrame, ranges: DataFrame, least: int = 20) -> DataFrame:
+    """id, start, length: spans of `least` units or more that a text shares with another, neither side wholly in a range: all that lie within no other such span, and some that do.
+
+    rows: id, toks. places and ranges: as families() has them. The longest such spans are those of the places whose unit before differs from that of some other occurrence, as far as any
+    other text goes along. So windows of a few lengths are counted by their hash, then those of longer ones from the places that are left, twice as many lengths each time: a span sends at
+    most some two windows for each of its units from its first place, and places within a passage that all its texts go on with drop out.
+    """
+    per_file = ranges.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("r")).select("file", F.col("r.start").alias("starts"), F.col("r.end").alias("ends"))
+    kind = rows.schema["id"].dataType.simpleString()
+    placed = rows.select("id", "toks").join(places.select("id", "file", "lines"), "id", "left").join(per_file, "file", "left")
+    texts = Stored(placed.where(F.size("toks") >= least).select("id", "toks", F.when(F.col("starts").isNotNull(), F.col("lines")).alias("lines"), "starts", "ends"))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            x = _Lengths(batch, least)
+            at = np.flatnonzero(x.room >= x.need)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(x.row[at])), pa.array(x.pos[at].astype(np.int32)), pa.array(x.hashes(at, least))], ["id", "pos", "h"])
+
+    def longer(low: int, high: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in _slices(batches):
+                x = _Lengths(batch, least)
+                sizes = np.bincount(x.row, minlength=batch.num_rows)
+                begins = np.cumsum(sizes) - sizes
+                places = np.concatenate([begins[i] + own.values.to_numpy() for i, own in enumerate(batch.column(5))])
+                for n in range(low, high + 1):
+                    at = places[x.room[places] >= n]
+                    columns = [batch.column(0).take(pa.array(x.row[at])), pa.array(x.pos[at].astype(np.int32)), pa.array(np.full(len(at), n, np.int32)), pa.array(x.left[at].view(np.int64)), pa.array(x.need[at] <= n), pa.array(x.hashes(at, n))]
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "pos", "n", "left", "free", "h"])
+
+        return run
+
+    w = Stored(texts.frame.mapInArrow(first, f"id {kind}, pos int, h bigint"))
+    several = w.frame.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("h")
+    left = Stored(w.frame.join(several, "h", "left_semi").groupBy("id").agg(F.collect_list("pos").alias("places")))
+    w.drop()
+    found, low, high = [], least, least + 2
+    while left.rows:
+        tried = Stored(texts.frame.join(left.frame, "id").mapInArrow(longer(low, high), f"id {kind}, pos int, n int, left bigint, free boolean, h bigint"))
+        left.drop()
+        free = F.when(F.col("free"), F.col("id"))
+        meet = tried.frame.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min("left").alias("c"), F.max("left").alias("d"), F.min(free).alias("e"), F.max(free).alias("f")).where("a < b and c < d")
+        both = tried.frame.join(meet, "h").groupBy("id", "pos").agg(F.max(F.expr("case when free and (e <> id or f <> id) then n end")).alias("length"), F.max("n").alias("n"))
+        ends = Stored(both.where(F.col("length").isNotNull() | (F.col("n") == high)))
+        tried.drop()
+        found.append(ends.frame.where("length is not null").select("id", F.col("pos").alias("start"), "length"))
+        left = Stored(ends.frame.where(F.col("n") == high).groupBy("id").agg(F.collect_list("pos").alias("places")))
+        low, high = high + 1, high + 2 * (high - low + 1)
+    texts.drop()
+    none = rows.where("false").select("id", F.lit(0).alias("start"), F.lit(0).alias("length"))
+    return reduce(DataFrame.unionByName, found, none)
+
+
 def largest_families(found: DataFrame, shown: int = 15) -> DataFrame:
     """The `shown` families of most members, which a report prints: family, members, rank; ties by name."""
     sizes = found.select("family", "members").distinct().orderBy(F.desc("members"), "family").limit(shown)

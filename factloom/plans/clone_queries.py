@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clones, text
+from ..operators import clones
 from .catalogue import query, t
 
 
@@ -142,7 +142,7 @@ def found_families(spark: SparkSession, d: str) -> DataFrame:
     rows = turns(spark, d)
     lines = F.transform(F.sequence(F.lit(1), F.size("toks")), lambda i: ((i - 1) / 4).cast("int") + 1)
     places = rows.where(F.size("toks") > 0).select("id", F.col("id").alias("file"), lines.alias("lines"))
-    return clones.families(text.clone_spans(rows, LEAST), rows, places, turn_ranges(spark, d))
+    return clones.families_of_texts(rows, places, turn_ranges(spark, d), LEAST)
 
 
 @query(f"WITH {FAMILIES} SELECT * FROM fam WHERE members > 1")
