@@ -110,12 +110,13 @@ def size_outliers(files: DataFrame, least: float = 0.6) -> DataFrame:
 def change_coupling(touches: DataFrame, layer_of: DataFrame, least: int = 5, ratio: float = 0.6) -> DataFrame:
     """Pairs of groups of different layers that change in the same commits.
 
-    The pairs of a commit come from its distinct groups; counts are combined before the shuffle.
+    The pairs of a commit come from the set of its groups, one row a commit, without a join of the touches with themselves; counts are combined before the shuffle.
     """
-    own = touches.select("commit_id", "grp").distinct()
-    total = own.groupBy("grp").agg(F.count("*").alias("total"))
-    a, b = own.select("commit_id", F.col("grp").alias("a")), own.select("commit_id", F.col("grp").alias("b"))
-    pairs = a.join(b, "commit_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("together")).where(F.col("together") >= least)
+    own = touches.groupBy("commit_id").agg(F.sort_array(F.collect_set("grp")).alias("grps"))
+    total = own.select(F.explode("grps").alias("grp")).groupBy("grp").agg(F.count("*").alias("total"))
+    firsts = own.where("commit_id is not null").select("grps", F.posexplode("grps").alias("i", "a"))
+    both = firsts.select("a", F.explode(F.slice("grps", F.col("i") + 2, F.size("grps"))).alias("b"))
+    pairs = both.groupBy("a", "b").agg(F.count("*").alias("together")).where(F.col("together") >= least)
     for c in "ab":
         pairs = pairs.join(total.select(F.col("grp").alias(c), F.col("total").alias(f"total_{c}")), c).join(layer_of.select(F.col("grp").alias(c), F.col("layer").alias(f"layer_{c}")), c)
     pairs = pairs.where("layer_a <> layer_b").withColumn("ratio", F.col("together") / F.least("total_a", "total_b"))

@@ -177,7 +177,11 @@ SELECT a, b, together, round(together / least(ta.n, tb.n), 6) AS ratio FROM p JO
 WHERE together >= 5 AND la.layer <> lb.layer AND together / least(ta.n, tb.n) >= 0.12""")
 def change_coupling(spark, d):
     layer = t(spark, d, "part").select(F.col("p_brand").alias("grp"), (F.right("p_brand", F.lit(1)).cast("int") % 4).alias("layer")).distinct()
-    return history.change_coupling(touches(spark, d), layer, 5, 0.12)
+    groups = t(spark, d, "part").select(F.col("p_partkey").alias("file"), F.col("p_brand").alias("grp"))
+    items = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("commit_id"), F.col("l_partkey").alias("file"))
+    commits = t(spark, d, "orders").select(F.col("o_orderkey").alias("commit_id"))
+    # a commit's groups are a set, so its touches need not be made distinct first
+    return history.change_coupling(items.join(groups, "file").join(commits, "commit_id").select("commit_id", "grp"), layer, 5, 0.12)
 
 
 @query(f"""WITH {TOUCHES}, s AS (SELECT commit_id, count(DISTINCT file) AS files FROM touches GROUP BY 1), l AS (SELECT count(*) AS n, avg(files) + 2 * stddev_pop(files) AS th FROM s)
