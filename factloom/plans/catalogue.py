@@ -33,14 +33,29 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+#: Rows of a fact table that one task of a shuffle takes at most, on the average: a fixed number of partitions would give a task more memory to fill the larger the table is.
+TASK_ROWS = 1 << 19
+
+
+def parts(df: DataFrame, rows: int = TASK_ROWS) -> int:
+    """Partitions for a shuffle of a table's rows: those of the session, or more if the table needs them. The count of a Parquet table reads its footers."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+
+
+def dealt(df: DataFrame, n: int, key: str) -> DataFrame:
+    """df in n partitions by a key, for a join or an aggregation by it; as it is where the session's partitions do."""
+    return df.repartition(n, key) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 # ---- facts -------------------------------------------------------------------
 
 
 def touches(spark: SparkSession, d: str) -> DataFrame:
     o = t(spark, d, "orders").select(F.col("o_orderkey").alias("commit_id"), F.to_date("o_orderdate").alias("day"), F.col("o_custkey").alias("author"))
-    li = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("commit_id"), F.col("l_partkey").alias("file")).distinct()
+    li = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("commit_id"), F.col("l_partkey").alias("file"))
     p = t(spark, d, "part").select(F.col("p_partkey").alias("file"), F.col("p_brand").alias("grp"))
-    return li.join(o, "commit_id").join(p, "file")
+    n = parts(li)
+    return dealt(dealt(li, n, "commit_id").distinct().join(o, "commit_id"), n, "file").join(p, "file")
 
 
 TOUCHES = """touches AS (SELECT DISTINCT l_orderkey AS commit_id, l_partkey AS file, CAST(o_orderdate AS DATE) AS day, o_custkey AS author, p_brand AS grp
@@ -49,7 +64,8 @@ TOUCHES = """touches AS (SELECT DISTINCT l_orderkey AS commit_id, l_partkey AS f
 
 
 def blame(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "lineitem").select(F.col("l_partkey").alias("file"), F.col("l_suppkey").alias("author"), F.col("l_quantity").cast("long").alias("lines"))
+    li = t(spark, d, "lineitem").select(F.col("l_partkey").alias("file"), F.col("l_suppkey").alias("author"), F.col("l_quantity").cast("long").alias("lines"))
+    return dealt(li, parts(li), "file")
 
 
 BLAME = """blame AS (SELECT l_partkey AS file, l_suppkey AS author, sum(CAST(l_quantity AS BIGINT)) AS lines FROM lineitem GROUP BY 1, 2),
@@ -67,7 +83,7 @@ def trade(spark: SparkSession, d: str) -> DataFrame:
     c = t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("long").alias("dst"))
     o = t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderstatus")
     li = t(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
-    n = li.join(o, "l_orderkey").join(c, "o_custkey").join(s, "l_suppkey").groupBy("src", "dst").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("f"))
+    n = dealt(li, parts(li), "l_orderkey").join(o.join(c, "o_custkey"), "l_orderkey").join(s, "l_suppkey").groupBy("src", "dst").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("f"))
     from pyspark.sql import Window
 
     return n.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("n"), "dst"))).where("r <= 2").select("src", "dst", (2 * F.col("f") < F.col("n")).alias("production"))
@@ -92,9 +108,9 @@ def layers(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {TOUCHES}, w AS (SELECT file, count(*) AS commits, sum(pow(0.5, age / 90.0)) AS weight FROM aged WHERE age <= 365 GROUP BY 1)
 SELECT file, CAST(p_size AS BIGINT) AS complexity, commits, round(p_size * weight, 4) AS score FROM w JOIN part ON p_partkey = file ORDER BY score DESC, file LIMIT 15""")
-def hotspot_top15(spark, d):
+def hotspot_top15(spark, d, touched=None):
     complexity = t(spark, d, "part").select(F.col("p_partkey").alias("file"), F.col("p_size").cast("long").alias("complexity"))
-    return history.hotspots(touches(spark, d), complexity, 365)
+    return history.hotspots(touches(spark, d) if touched is None else touched, complexity, 365)
 
 
 @query(f"WITH {TOUCHES} SELECT file, count(*) AS commits FROM aged WHERE age <= 365 GROUP BY 1")
@@ -108,15 +124,15 @@ def churn_recency_weight(spark, d):
 
 
 @query(f"WITH {TOUCHES} SELECT file, count(*) AS commits FROM aged WHERE age <= 300 GROUP BY 1 HAVING count(*) >= 5")
-def churn_hotspot_window(spark, d):
-    return history.churn_hotspots(touches(spark, d), 300, 5)
+def churn_hotspot_window(spark, d, touched=None):
+    return history.churn_hotspots(touches(spark, d) if touched is None else touched, 300, 5)
 
 
 @query(f"""WITH {TOUCHES}, seen AS (SELECT file, count(*) AS c FROM aged WHERE age <= 150 GROUP BY 1),
 f AS (SELECT p_partkey AS file, p_brand AS grp, CASE WHEN c > 0 THEN 1 ELSE 0 END AS active FROM part LEFT JOIN seen ON file = p_partkey)
 SELECT file, grp, CAST(s AS BIGINT) AS active_siblings FROM (SELECT *, sum(active) OVER (PARTITION BY grp) AS s FROM f) WHERE active = 0 AND s >= 2""")
-def legacy_freeze_siblings(spark, d):
-    return history.legacy_freeze(t(spark, d, "part").select(F.col("p_partkey").alias("file"), F.col("p_brand").alias("grp")), touches(spark, d), 150)
+def legacy_freeze_siblings(spark, d, touched=None):
+    return history.legacy_freeze(t(spark, d, "part").select(F.col("p_partkey").alias("file"), F.col("p_brand").alias("grp")), touches(spark, d) if touched is None else touched, 150)
 
 
 @query(f"WITH {TOUCHES} SELECT DISTINCT author FROM aged WHERE age <= 60")

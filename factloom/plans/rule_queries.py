@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..functions.rust_source import usage_domain
 from ..operators import boundaries, decide, findings, graphs, manifests, provenance, structure
+from ..sources.shared import Stored
 from . import catalogue
 from .catalogue import CLASSES, PATHS, TRADE, classes, layers, query, t, trade
 
@@ -303,11 +304,12 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
     q = catalogue.QUERIES
     make = findings.as_findings
     collisions = q["duplicate_versions"](spark, d)
+    touched = Stored(catalogue.touches(spark, d)).frame  # three of them read it
     return findings.all_of(
         [
-            make(q["hotspot_top15"](spark, d), "hotspot", [c("file")], c("file"), evidence=c("commits")),
-            make(q["churn_hotspot_window"](spark, d), "churn-hotspot", [c("file")], c("file"), evidence=c("commits")),
-            make(q["legacy_freeze_siblings"](spark, d), "legacy-freeze", [c("file")], c("file"), evidence=c("active_siblings")),
+            make(q["hotspot_top15"](spark, d, touched), "hotspot", [c("file")], c("file"), evidence=c("commits")),
+            make(q["churn_hotspot_window"](spark, d, touched), "churn-hotspot", [c("file")], c("file"), evidence=c("commits")),
+            make(q["legacy_freeze_siblings"](spark, d, touched), "legacy-freeze", [c("file")], c("file"), evidence=c("active_siblings")),
             make(q["size_distribution_outliers"](spark, d), "size-distribution", [c("file")], c("file"), evidence=c("size")),
             make(q["low_bus_factor_severity"](spark, d), "low-bus-factor", [c("file")], c("file"), item=c("author"), severity=c("severity")),
             make(q["ownership_fragmentation"](spark, d), "ownership-fragmentation", [c("file")], c("file"), evidence=c("authors")),
