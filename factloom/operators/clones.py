@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
@@ -65,7 +65,7 @@ def _units(column: pa.Array, mode: str) -> list[list[str]]:
 
 
 def _hashes(texts: list[str]) -> np.ndarray:
-    return pd.util.hash_array(np.array(texts, object)) if texts else np.zeros(0, np.uint64)
+    return pd.util.hash_array(np.array(texts, object), categorize=False) if texts else np.zeros(0, np.uint64)
 
 
 class _Hashed:
@@ -76,17 +76,18 @@ class _Hashed:
         self.sizes = np.fromiter(map(len, rows), np.int64, len(rows))
         self.ends = np.cumsum(self.sizes)
         self.row = np.repeat(np.arange(len(rows)), self.sizes)
-        flat = pa.array(chain.from_iterable(rows), pa.string(), size=int(self.sizes.sum())).dictionary_encode()
-        distinct = flat.dictionary.to_pylist()
-        at = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        kinds = [tokens.literal_kind(t) for t in distinct] if mode in ("weak", "semantic") else [None] * len(distinct)
+        code = dict(zip(dict.fromkeys(chain.from_iterable(rows)), count(), strict=False))
+        distinct = list(code)
+        at = np.fromiter(map(code.__getitem__, chain.from_iterable(rows)), np.int64, int(self.sizes.sum()))
+        del rows, code
+        kinds = tokens.literal_kinds(distinct) if mode in ("weak", "semantic") else [None] * len(distinct)
         own = _hashes([t if k is None else LITERALS[k] for t, k in zip(distinct, kinds, strict=True)])
         self.unit = own[at] if len(at) else np.zeros(0, np.uint64)
         self.first = self.unit
         if mode == "strict" and distinct:  # what stands before a window's first token is no part of it
             self.first = _hashes([tokens.tokens(u)[-1] for u in distinct])[at]
         if mode == "semantic" and distinct:
-            self._number(at, distinct, np.array([k is None and tokens.may_be_variable(t) for t, k in zip(distinct, kinds, strict=True)]))
+            self._number(at, distinct, np.array([k is None and v for k, v in zip(kinds, tokens.may_be_variables(distinct), strict=True)]))
 
     def _number(self, at: np.ndarray, distinct: list[str], variable: np.ndarray) -> None:
         """Gives variables the hashes of their numbers, by first occurrence in their text."""
