@@ -33,7 +33,7 @@ from ..functions.names import LITERALS
 from ..sources.shared import Stored
 
 #: Text that is hashed at a time; a longer text is alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
