@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ from .common import clear_names, kept, kept_and_counted, map_batches
 from .exchange import DIRECT, cuts, exchange, lot_of
 from .linking import BLOCK, BLOCK_BYTES, blocked_components
 from .shingle_sets import range_count
-from .textcore import SPACE, U64, WORD_PATTERN, Texts, grams, hash_spans, lines_of, mix, repeated, texts_of
+from .textcore import SPACE, U64, WORD_PATTERN, Texts, grams, hash_spans, lines_of, mix, texts_of
 
 SHINGLE, MINIMA, ROWS, PERCENT = 5, 64, 4, 75
 SKETCH, SKETCH_FAR = 32, 13
@@ -57,27 +58,46 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _text_lines(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, length, row and number within the row of each line with a word."""
     lines = lines_of(t)
-    cut = np.stack([lines.start, lines.start + lines.length], axis=1).ravel()
-    has = (np.logical_or.reduceat(np.append(~SPACE[t.data], False), cut)[::2] if len(cut) else np.zeros(0, bool)) & (lines.length > 0)
+    has = lines.length > 0
+    led = np.flatnonzero(has)
+    led = led[SPACE[t.data[lines.start[led]]]]  # few lines begin with white space
+    raw, a, n = memoryview(t.data), lines.start[led], lines.length[led]
+    has[led] = [bool(bytes(raw[i:j]).strip()) for i, j in zip(a.tolist(), (a + n).tolist(), strict=True)]
     number = np.arange(len(lines.start)) - np.repeat(lines.first[:-1], lines.count)
     return lines.start[has], lines.length[has], lines.row[has], number[has]
 
 
-def _line_ids(t: Texts, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    return (hash_spans(t.data, start, length) >> U64(1)).astype(np.int64)
+def _line_ids(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    return (hash_spans(data, start, length) >> U64(1)).astype(np.int64)
+
+
+def _line_numbers(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of lines that take a quarter of the time; only chunks and ranges know lines by them."""
+    raw = memoryview(data)
+    return np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) >> 1 for a, b in zip(start.tolist(), (start + length).tolist(), strict=True)), np.int64, len(start))
+
+
+def _points(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points, and where each line begins and ends among them."""
+    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), "<u4")
+    at, end = start, start + length
+    if len(points) < len(data):
+        inner = np.flatnonzero(data.view(np.int8) < -64)  # bytes that begin no code point
+        at, end = at - np.searchsorted(inner, at), end - np.searchsorted(inner, end)
+    return points, at, end
 
 
 def shingles(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each line's character shingles, in order, and where each line's begin."""
-    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), "<u4")
-    at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    a, n = at[start], at[start + length] - at[start]
-    g = grams(mix(points.astype(U64) + U64(1)), SHINGLE)
+    points, a, end = _points(data, start, length)
+    n = end - a
+    top = int(points.max(initial=0)) + 1
+    letter = mix(np.arange(1, top + 1, dtype=U64))[points] if top <= len(points) else mix(points.astype(U64) + U64(1))
+    g = np.append(grams(letter, SHINGLE), np.zeros(SHINGLE, U64))
     count = np.maximum(n - SHINGLE + 1, 1)
     first = np.concatenate([[0], np.cumsum(count)])
-    place = np.arange(first[-1]) - np.repeat(first[:-1], count) + np.repeat(a, count)
     short = n < SHINGLE
-    out = g[np.minimum(place, max(len(g) - 1, 0))] if len(g) else np.zeros(first[-1], U64)
+    out = g[np.arange(first[-1]) + np.repeat(a - first[:-1], count)]
     out[first[:-1][short]] = hash_spans(data, start[short], length[short])
     return out, first
 
@@ -94,30 +114,34 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def minima(data: np.ndarray, start: np.ndarray, length: np.ndarray, count: int = MINIMA, block: int = 1 << 16) -> np.ndarray:
     """count x lines: the minima of each line's shingles under so many independent orders. Lines are in order of their start."""
-    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), "<u4")
-    at, end = start, start + length
-    if len(points) < len(data):
-        number = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)])
-        at, end = number[start], number[end]
-    letter = _mixed(points * np.uint32(0x9E3779B1))
-    gram = np.zeros(max(len(letter) - SHINGLE + 1, 0), np.uint32)
-    for k in range(SHINGLE):
-        gram *= np.uint32(0x01000193)
-        gram += letter[k : k + len(gram)]
-    gram = np.append(_mixed(gram), np.zeros(SHINGLE, np.uint32))
+    points, at, end = _points(data, start, length)
     times = (mix(np.arange(1, count + 1, dtype=U64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
     plus = (mix(np.arange(count + 1, 2 * count + 1, dtype=U64)) >> U64(32)).astype(np.uint32)
+    size = np.maximum(end - at - SHINGLE + 1, 1)
     short = np.flatnonzero(end - at < SHINGLE)
-    gram[at[short]] = (hash_spans(data, start[short], length[short]) >> U64(32)).astype(np.uint32)  # such a line is one shingle
-    stop = np.maximum(end - SHINGLE + 1, at + 1)
+    whole = (hash_spans(data, start[short], length[short]) >> U64(32)).astype(np.uint32)  # such a line is one shingle
     out = np.empty((count, len(start)), np.uint32)
+    held = np.empty(block, np.uint32)
     a = 0
     while a < len(start):
-        b = max(int(np.searchsorted(stop, at[a] + block, side="right")), a + 1)
-        part = gram[at[a] : stop[b - 1] + 1]
-        cut = np.stack([at[a:b], stop[a:b]], axis=1).ravel() - at[a]
+        b = max(int(np.searchsorted(end, at[a] + block, side="right")), a + 1)
+        letter = _mixed(points[at[a] : end[b - 1]] * np.uint32(0x9E3779B1))
+        gram = letter[: max(len(letter) - SHINGLE + 1, 0)].copy()
+        for k in range(1, SHINGLE):
+            gram *= np.uint32(0x01000193)
+            gram += letter[k : k + len(gram)]
+        gram = np.append(_mixed(gram), np.zeros(SHINGLE, np.uint32))
+        here = slice(*np.searchsorted(short, [a, b]))
+        gram[at[short[here]] - at[a]] = whole[here]
+        # only what is in lines, so that each ends where the next begins
+        cut = np.concatenate([[0], np.cumsum(size[a:b])])
+        gram = gram[np.arange(cut[-1]) + np.repeat(at[a:b] - at[a] - cut[:-1], size[a:b])]
+        held = held if len(held) >= len(gram) else np.empty_like(gram)
+        x = held[: len(gram)]
         for j in range(count):
-            out[j, a:b] = np.minimum.reduceat((part ^ plus[j]) * times[j], cut)[::2]
+            np.bitwise_xor(gram, plus[j], out=x)
+            np.multiply(x, times[j], out=x)
+            np.minimum.reduceat(x, cut[:-1], out=out[j, a:b])
         a = b
     return out
 
@@ -175,7 +199,7 @@ def candidate_lines(docs: DataFrame, direct: int = DIRECT) -> DataFrame:
     def lines_in(batch: pa.RecordBatch) -> tuple[Texts, np.ndarray, np.ndarray, np.ndarray]:
         t = texts_of(batch.column(1))
         start, length, *_ = _text_lines(t)
-        ids = _line_ids(t, start, length)
+        ids = _line_numbers(t.data, start, length)
         first = np.sort(np.unique(ids, return_index=True)[1])  # in order of their start
         return t, ids[first], start[first], length[first]
 
@@ -210,8 +234,16 @@ def candidate_lines(docs: DataFrame, direct: int = DIRECT) -> DataFrame:
         of = np.repeat(np.arange(len(asked)), [len(k) for k in key])
         k, i, sk = np.concatenate(key), np.concatenate(ids), np.concatenate(sketch)
         hot = np.unique(np.concatenate([np.frombuffer(x[3], "<u4") for x in asked]))
-        met = np.flatnonzero(repeated(k) | np.isin(k, hot))  # most bands have one line
-        k, i, sk, of = k[met], i[met], sk[met], of[met]
+        order = np.argsort(k)
+        k = k[order]
+        same = np.zeros(len(k) + 1, bool)
+        same[1:-1] = k[1:] == k[:-1]
+        many = same[1:] | same[:-1]
+        if len(hot):
+            many |= np.isin(k, hot)
+        met = order[many]  # most bands have one line
+        k = k[many]
+        i, sk, of = i[met], sk[met], of[met]
         # a line is known by 40 bits of its id and its sketch here; of equal ones of several chunks, the first chunk asks for all
         order = np.lexsort((of, sk, i, k))
         k, i, sk, of = k[order], i[order], sk[order], of[order]
@@ -233,7 +265,7 @@ def candidate_lines(docs: DataFrame, direct: int = DIRECT) -> DataFrame:
     def own(batch: pa.RecordBatch) -> Any:
         t, ids, start, length = lines_in(batch)
         raw = t.data.tobytes()
-        return ids, length, zstandard.compress(b"".join(raw[a : a + n] for a, n in zip(start.tolist(), length.tolist(), strict=True)), 3)
+        return ids, length, zstandard.compress(b"".join(raw[a : a + n] for a, n in zip(start.tolist(), length.tolist(), strict=True)), 1)
 
     def gather(own: Any, replies: list) -> pd.DataFrame:
         ids, length, raw = own
@@ -250,11 +282,10 @@ def candidate_lines(docs: DataFrame, direct: int = DIRECT) -> DataFrame:
         at, cut = np.unique(line, return_index=True)
         text, end = zstandard.decompress(raw), np.cumsum(length)
         lines = [text[end[i] - length[i] : end[i]] for i in at.tolist()]
-        h, first = _shingles_of(lines)
-        size = np.array([len(x) for x in lines], np.int64)
-        low = minima(np.frombuffer(b"".join(lines), np.uint8), np.cumsum(size) - size, size, LONG)
-        near = list(sketches(low, LONG).view(np.int64))
-        return pd.DataFrame({"id": ids[at], "n": _set_sizes(h, first), "near": near, "line": lines, "keys": np.split(key, cut[1:])})
+        data, size = np.frombuffer(b"".join(lines), np.uint8), length[at]
+        spans = data, np.cumsum(size) - size, size
+        near = list(sketches(minima(*spans, LONG), LONG).view(np.int64))
+        return pd.DataFrame({"id": _line_ids(*spans), "n": _set_sizes(*shingles(*spans)), "near": near, "line": lines, "keys": np.split(key, cut[1:])})
 
     return exchange(_keyed(docs), ranges, deal, answer, gather, "id bigint, n bigint, near array<bigint>, line binary, keys array<bigint>", own, direct)
 
@@ -357,7 +388,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     def number(batch: pa.RecordBatch) -> pa.RecordBatch:
         t = texts_of(batch.column(1))
         start, length, row, line = _text_lines(t)
-        ids = _line_ids(t, start, length)
+        ids = _line_ids(t.data, start, length)
         doc, key = batch.column(0).to_numpy()[row], batch.column(2).to_numpy()[row]
         order = np.lexsort((line, key, doc, ids))
         ids, doc, key, line = ids[order], doc[order], key[order], line[order].astype(np.int32)

@@ -103,7 +103,7 @@ def stored(tokens: list[bytes]) -> list[np.ndarray]:
 def _in_common(x: np.ndarray, y: np.ndarray) -> int:
     if len(x) > len(y):
         x, y = y, x
-    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0
+    return int(np.count_nonzero(y.take(y.searchsorted(x), mode="clip") == x)) if len(y) else 0
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int, read: Callable[[list[bytes]], list[np.ndarray]] = stored, extras: bool = False) -> DataFrame:
@@ -350,7 +350,10 @@ def _across(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, n
 
 def _shared_least(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The least key that each row of x has in common with that of y; negative ones are none."""
-    same = (x[:, :, None] == y[:, None, :]).any(axis=2) & (x >= 0)
+    same = x == y[:, :1]
+    for c in range(1, y.shape[1]):
+        same |= x == y[:, c : c + 1]
+    same &= x >= 0
     return np.where(same, x, np.iinfo(np.int64).max).min(axis=1)
 
 

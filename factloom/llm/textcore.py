@@ -24,14 +24,19 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Spans longer than this are hashed one by one, so that a huge span costs one call.
 _LONG_SPAN = 2048
+#: grams() makes so many at a time, which a processor's cache holds.
+_GRAMS = 1 << 14
 _GAMMA, _M1, _M2 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: every input bit reaches every output bit."""
-    h = (h ^ (h >> U64(30))) * _M1
-    h = (h ^ (h >> U64(27))) * _M2
-    return h ^ (h >> U64(31))
+    h = h ^ (h >> U64(30))
+    h *= _M1
+    h ^= h >> U64(27)
+    h *= _M2
+    h ^= h >> U64(31)
+    return h
 
 
 @dataclass
@@ -112,12 +117,10 @@ def lines_of(t: Texts) -> Spans:
     """Lines split at \\n; an empty row has one empty line."""
     breaks = np.flatnonzero(t.data == 10)
     first = np.searchsorted(breaks, t.offs) + np.arange(len(t.offs))
-    n = len(t)
-    start = np.concatenate([breaks + 1, t.offs[:-1]])
-    end = np.concatenate([breaks, t.offs[1:]])
-    owner = np.searchsorted(t.offs[1:], breaks, side="right")
-    start = start[np.lexsort((start, np.concatenate([owner, np.arange(n)])))]
-    end = end[np.lexsort((end, np.concatenate([owner, np.arange(n)])))]
+    ends = np.arange(len(breaks)) + np.searchsorted(t.offs[1:], breaks, side="right")  # each row before has one line more than breaks
+    start, end = np.empty((2, first[-1]), np.int64)
+    start[first[:-1]], start[ends + 1] = t.offs[:-1], breaks + 1
+    end[first[1:] - 1], end[ends] = t.offs[1:], breaks
     return Spans(start, end - start, first)
 
 
@@ -146,10 +149,15 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of each n consecutive items, as if all rows were one; see gram_mask."""
     m = max(0, len(h) - n + 1)
     out = np.zeros(m, U64)
-    for k in range(n):
-        out = (out + h[k : k + m]) * _M1 + _GAMMA
-        out ^= out >> U64(29)
-    return mix(out)
+    for a in range(0, m, _GRAMS):
+        part = out[a : a + _GRAMS]
+        for k in range(a, a + n):
+            part += h[k : k + len(part)]
+            part *= _M1
+            part += _GAMMA
+            part ^= part >> U64(29)
+        part[:] = mix(part)
+    return out
 
 
 def gram_mask(first: np.ndarray, n: int) -> np.ndarray:
